@@ -60,3 +60,26 @@ def unit_hash(*parts: Column | str) -> Column:
 def crc_fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5. Fold 0 is held out; a null id counts as held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)), F.lit(0))
+
+
+def by_value() -> None:
+    """Ship this package's functions inside the task, so executors need no copy of it on their path."""
+    import shelfmark
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(shelfmark)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts can be long: Arrow batches of 1,000 rows, unless the session has its own setting."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
+def as_bytes(column) -> list[bytes | None]:
+    """The UTF-8 bytes of an Arrow string column, without decoding them."""
+    import pyarrow as pa
+
+    large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    return column.cast(pa.large_binary() if large else pa.binary()).to_pylist()
