@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, neardup, secrets, sharding, shared, warc
+from . import decontam, licenses, mixing, neardup, quality, secrets, sharding, shared, toxicity, vptree, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,16 +22,42 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_read(spark, sf_dir, "documents"), coverage=0.8)
+
+
+def op3_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _read(spark, sf_dir, "embeddings")
+    return vptree.nearest(table, F.pmod(F.col("vec_id"), F.lit(20)) == 0, k=20)
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.cluster(_read(spark, sf_dir, "documents"), words=2, num=80, den=100)
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = quality.fit(docs, _read(spark, sf_dir, "labels"), "quality")
+    scored = quality.add_scores(docs, model, carry=["doc_id"], threshold=0.3)
+    held = (shared.crc_fold(F.col("doc_id")) == 0).alias("held_out")
+    return scored.select("doc_id", held, "score", "predicted")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.poisson_replicate(docs)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    chain = toxicity.fit(docs, _read(spark, sf_dir, "labels"), "toxic")
+    scored = toxicity.score_documents(docs, chain, carry=["doc_id"], threshold=0.5)
+    held = (shared.crc_fold(F.col("doc_id")) == 0).alias("held_out")
+    span = F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string")))
+    return scored.select("doc_id", held, "score", "predicted", F.concat_ws(",", span).alias("toxic_spans"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(_read(spark, sf_dir, "documents"))
 
@@ -74,8 +100,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_licenses": op2_licenses,
+    "op3_vptree": op3_vptree,
     "op4_minhash": op4_minhash,
+    "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
+    "op7_toxicity": op7_toxicity,
     "op8_secrets": op8_secrets,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
