@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import as_bytes, by_value, materialise, small_batches
+from .shared import as_bytes, by_value, materialise, small_batches, with_text
 
 by_value()
 
@@ -127,12 +127,13 @@ def find_contamination(
 def _one_pass(docs: DataFrame, items: list, carry: list[str], window: int, text_col: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
     kept, schema = _carried(docs, carry)
+    source, at = with_text(docs, kept, text_col)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value, window)
         for batch in batches:
             rows = []
-            for text in as_bytes(batch.column("__text")):
+            for text in as_bytes(batch.column(at)):
                 words = words_of(text)
                 ranges, found = matcher.search(words)
                 rows.append(_verdict(len(words), covered(ranges), found))
@@ -141,7 +142,7 @@ def _one_pass(docs: DataFrame, items: list, carry: list[str], window: int, text_
             new = [pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays(columns + new, names=schema.names)
 
-    return docs.select(*kept, F.col(text_col).alias("__text")).mapInArrow(search, schema)
+    return source.mapInArrow(search, schema)
 
 
 def _many_passes(

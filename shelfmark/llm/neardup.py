@@ -71,8 +71,14 @@ def _signatures(k: int):
                     digest[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
                     half[i] = keys[row].tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(half, pa.binary())],
-                names=["id", "n", "digest", "half"],
+                [
+                    batch.column(0),
+                    batch.column(2),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(digest, pa.binary()),
+                    pa.array(half, pa.binary()),
+                ],
+                names=["id", "key", "n", "digest", "half"],
             )
 
     return run
@@ -161,14 +167,16 @@ def cluster(
     num: int = 80,
     den: int = 100,
 ) -> DataFrame:
-    """Per row: id, n (distinct shingles), component_id (smallest id reachable), kept.
+    """Per row: id, key (hash of id and text), n (distinct shingles), component_id (smallest id reachable), kept.
 
     Texts are linked if den * |intersection| >= num * |union| of their `words`-word shingle sets.
     """
     spark = docs.sparkSession
     small_batches(spark)
     plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    rows = materialise(plain.mapInArrow(_signatures(words), "id bigint, n bigint, digest binary, half binary"), "signatures")
+    plain = plain.withColumn("key", F.xxhash64("id", "text"))
+    rows = plain.mapInArrow(_signatures(words), "id bigint, key bigint, n bigint, digest binary, half binary")
+    rows = materialise(rows, "signatures")
     nodes = rows.filter("n > 0").groupBy("digest").agg(
         F.min("id").alias("min_id"), F.first("n").alias("n"), F.first("half").alias("half")
     )
@@ -177,14 +185,37 @@ def cluster(
     named = nodes.select("node", "digest", "min_id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = named.groupBy("comp").agg(F.min("min_id").alias("component_id"))
     by_digest = named.join(names, "comp").select("digest", "component_id")
-    out = rows.select("id", "n", "digest").join(by_digest, "digest", "left")
+    out = rows.select("id", "key", "n", "digest").join(by_digest, "digest", "left")
     return out.select(
         "id",
+        "key",
         "n",
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
     ).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """The rows of `docs`, one of each component: that with the smallest id; of equal such rows one."""
+    found = cluster(docs, id_col, text_col, words)
+    fate = found.groupBy("id", "key").agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
+    fate = materialise(fate.filter(~F.col("kept") | (F.col("times") > 1)), "fate")
+    drop, twins = fate.filter(~F.col("kept")), fate.filter("kept")
+    columns = docs.columns
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("bigint"), "__key": F.xxhash64(F.col(id_col).cast("bigint"), text_col)})
+
+    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        small = right.count() <= BROADCAST_IDS
+        right = F.broadcast(right) if small else right
+        same = left["__id"].eqNullSafe(right["id"]) & (left["__key"] == right["key"])
+        return left.join(right, same, how)
+
+    rest = joined(keyed, drop.select("id", "key"), "left_anti")
+    if twins.limit(1).count():
+        pair = twins.select("id", "key")
+        rest = joined(rest, pair, "left_anti").unionAll(joined(rest, pair, "left_semi").dropDuplicates(["__id", "__key"]))
+    return rest.select(*columns)
+
+
 def _link(plain: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """node, comp of every node that has a link."""
     keys = nodes.select("node", "half").mapInArrow(_table_keys, "key bigint, node bigint")

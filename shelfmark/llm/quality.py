@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import as_bytes, by_value, crc_fold, materialise, small_batches
+from .shared import as_bytes, by_value, crc_fold, materialise, small_batches, with_text
 
 by_value()
 
@@ -225,13 +225,14 @@ def add_scores(docs: DataFrame, model, carry: list[str], text_col: str = "text",
         [docs.schema[c] for c in kept] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
     )
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows, at = with_text(docs, kept, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            scores = own.score(as_bytes(batch.column(len(kept))))
+            scores = own.score(as_bytes(batch.column(at)))
             columns = [batch.column(i) for i in range(len(kept))]
             columns += [pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32), pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(*kept, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

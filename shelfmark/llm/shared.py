@@ -83,3 +83,10 @@ def as_bytes(column) -> list[bytes | None]:
 
     large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     return column.cast(pa.large_binary() if large else pa.binary()).to_pylist()
+
+
+def with_text(docs: DataFrame, kept: list[str], text_col: str) -> tuple[DataFrame, int]:
+    """The kept columns with the text among them or behind them, and the text's place."""
+    if text_col in kept:
+        return docs.select(*kept), kept.index(text_col)
+    return docs.select(*kept, F.col(text_col).alias("__text")), len(kept)

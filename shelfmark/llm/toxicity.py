@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .decontam import words_of
 from .quality import calibrated, isotonic, training_sample
-from .shared import as_bytes, by_value, materialise, small_batches
+from .shared import as_bytes, by_value, materialise, small_batches, with_text
 
 by_value()
 
@@ -312,12 +312,13 @@ def score_documents(docs: DataFrame, chain: Chain, carry: list[str], threshold:
     for field in docs.sparkSession.createDataFrame([], own).schema:
         schema = schema.add(field)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
+    rows, at = with_text(docs, kept, "text")
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = as_bytes(batch.column(len(kept)))
+            texts = as_bytes(batch.column(at))
             scores = model.score(texts)
             spans = [
                 [{"start": s, "end": e, "p": p} for s, e, p in model.spans(t.decode())] if t and x >= threshold else []
@@ -331,4 +332,4 @@ def score_documents(docs: DataFrame, chain: Chain, carry: list[str], threshold:
             ]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(*kept, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
