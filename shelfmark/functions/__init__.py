@@ -1,0 +1 @@
+"""Column functions: text forms, field parsers, closed vocabularies."""

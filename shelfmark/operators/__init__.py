@@ -1,0 +1 @@
+"""Operators over DataFrames: normalize, resolve, enrich, embed, search."""

@@ -1,0 +1 @@
+"""Whole pipelines and the registered queries."""
