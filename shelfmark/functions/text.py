@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import shelfmark
 
@@ -34,13 +35,13 @@ def _fold(text: str) -> str:
     return "".join(c for c in plain if not unicodedata.combining(c)).casefold()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold(text: pd.Series) -> pd.Series:
     """Case and diacritics removed, for comparison only. Spark has no NFKD."""
     return text.map(_fold, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(text: pd.Series) -> pd.Series:
     """Full Unicode case folding; `lower` keeps sharp s."""
     return text.str.casefold()
