@@ -82,16 +82,17 @@ def scan(docs: DataFrame, owner_col: str = "source", repo_cols: tuple[str, ...]
         "loose_all",
         lambda x: ~F.exists("assign", covers(x)) & ~F.exists("access", covers(x)) & ~F.exists("hex", covers(x)),
     )
-    tagged = [
-        F.transform(
-            c,
-            lambda x, k=i: F.struct(
-                F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.sha2(x["v"], 256).alias("hash")
+
+    def tagged(spans: Column, kind: int) -> Column:
+        return F.transform(
+            spans,
+            lambda x: F.struct(
+                F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.sha2(x["v"], 256).alias("hash")
             ),
         )
-        for i, c in enumerate([F.col("assign"), F.col("access"), F.col("hex"), free])
-    ]
-    return found.select("doc_id", "owner", "repo", F.concat(*tagged).alias("candidates"))
+
+    parts = [tagged(c, i) for i, c in enumerate([F.col("assign"), F.col("access"), F.col("hex"), free])]
+    return found.select("doc_id", "owner", "repo", F.concat(*parts).alias("candidates"))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
