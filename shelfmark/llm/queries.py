@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, licenses, mixing, neardup, quality, secrets, sharding, shared, toxicity, vptree, warc
+from .oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -110,5 +113,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
 }
-
-ORACLE_SQL: dict[str, str] = {}
