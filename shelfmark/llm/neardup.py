@@ -6,10 +6,10 @@ need 720. Two texts meet in a table if they agree on two halves; at similarity 0
 fails with probability 2e-4, at 0.85 with 6e-6.
 
 Equal shingle sets are one node from the start, so copies are never paired. In a table the members
-of a bucket meet its pivot, not each other. Links are confirmed on the full sets. Buckets whose
-members still lie in several components get further pivots, and in the end all their pairs across
-components, except those that the triangle inequality of the Jaccard distance rules out; so
-within the buckets no link between components is lost, and no bucket is paired in full.
+of a bucket meet its smallest member, not each other. Links are confirmed on the full sets. Where
+members of a bucket then still lie in different components, prefix and position filters on the full
+sets, which are exact, find all pairs that could link them: within the buckets no link between
+components is lost, and no bucket is paired in full.
 
 Edge cases: null or empty texts have the empty set, are linked with nothing and are their own
 component; texts shorter than a shingle are one shingle; repeated rows share a set; a null id never
@@ -18,6 +18,7 @@ names a component that has another id; empty tables give empty results. Other co
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import as_bytes, by_value, drop_table, materialise, small_batches
 from .shingles import mix, shingle_sets
@@ -34,8 +36,8 @@ by_value()
 HALVES, WIDTH = 16, 3
 #: Ids of candidate documents are broadcast up to this count (16 bytes each); beyond, both sides are shuffled.
 BROADCAST_IDS = 2_000_000
-#: Further pivots are tried while the pairs left over exceed this number for each node in a bucket.
-PAIRS_PER_MEMBER, MAX_ROUNDS = 4, 6
+#: Tables of links and labels have few rows for each node: as many files as nodes need.
+NODES_PER_FILE = 20_000
 _NO_ID = -(2**63)
 
 
@@ -110,16 +112,17 @@ def _full_sets(k: int):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """node, comp: the smallest node of each connected component, by hooking and pointer jumping.
 
     Every round is written to the shared folder and reread, so the lineage stays short.
     """
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialise(both.distinct(), "edges")
+    both = materialise(both.distinct(), "edges", parts)
     labels = materialise(
         both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("comp")),
         "labels",
+        parts,
     )
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("low"))
@@ -128,7 +131,7 @@ def components(edges: DataFrame) -> DataFrame:
         )
         up = labels.select(F.col("node").alias("up"), F.col("comp").alias("top"))
         jumped = hooked.join(up, F.col("comp") == F.col("up")).select("node", "was", F.least("comp", "top").alias("comp"))
-        after = materialise(jumped, "labels")
+        after = materialise(jumped, "labels", parts)
         changed = after.filter("was <> comp").limit(1).count()
         drop_table(labels)
         labels = after.select("node", "comp")
@@ -137,8 +140,22 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame, parts: int | None = None) -> DataFrame:
+    """The components after further links: those between components join them, as a graph of components."""
+    ends = links
+    for end in ("a", "b"):
+        own = labels.select(F.col("node").alias("__node"), F.col("comp").alias("__comp"))
+        ends = ends.join(own, F.col(end) == F.col("__node"), "left").withColumn(end, F.coalesce("__comp", end)).drop("__node", "__comp")
+    above = components(ends.filter("a <> b"), parts)
+    up = above.select(F.col("node").alias("__node"), F.col("comp").alias("__comp"))
+    lifted = labels.join(up, F.col("comp") == F.col("__node"), "left").select("node", F.coalesce("__comp", "comp").alias("comp"))
+    # Nodes without a label so far are components of their own.
+    fresh = above.join(labels, "node", "left_anti")
+    return materialise(lifted.unionAll(fresh), "labels", parts)
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b, far (Jaccard distance) and linked of each pair, by full sets; sizes rule pairs out first."""
+    """a, b and linked of each pair, by full sets; sizes rule pairs out first."""
     sizes = sets.select("node", "n")
     a = sizes.select(F.col("node").alias("a"), F.col("n").alias("na"))
     b = sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
@@ -153,7 +170,6 @@ def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         .select(
             "a",
             "b",
-            (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far"),
             (den * F.col("common") >= num * (F.col("na") + F.col("nb") - F.col("common"))).alias("linked"),
         )
     )
@@ -218,99 +234,68 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _link(plain: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """node, comp of every node that has a link."""
+    parts = max(1, math.ceil(nodes.count() / NODES_PER_FILE))
     keys = nodes.select("node", "half").mapInArrow(_table_keys, "key bigint, node bigint")
-    met = (
-        keys.groupBy("key")
-        .agg(
-            F.min("node").alias("low"),
-            F.max("node").alias("high"),
-            F.count("*").alias("size"),
-            F.bit_xor(F.xxhash64("node")).alias("members"),
-        )
-        .filter("low <> high")
-    )
+    # Most keys have one node: they go in the first aggregate, which adds up hot keys before its shuffle.
+    met = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
     met = materialise(met, "met")
-    # Buckets of equal members are one bucket.
-    buckets = met.filter("size > 2").groupBy("low", "high", "size", "members").agg(F.min("key").alias("key"))
-    member = keys.join(buckets.select("key", "low"), "key")
-    member = materialise(member, "members")
-    pairs = (
-        met.filter("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-        .unionAll(member.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")))
-        .distinct()
-    )
-    pairs = materialise(pairs, "pairs")
+    member = materialise(keys.join(met.select("key", "low"), "key"), "members")
     drop_table(met)
-    sets = _sets_of(plain, nodes, pairs, words)
+    # Buckets of equal members are one bucket.
+    same = member.groupBy("key", "low").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("members"))
+    buckets = materialise(same.groupBy("low", "size", "members").agg(F.min("key").alias("key")), "buckets", parts)
+    member = materialise(member.join(buckets.select("key"), "key", "left_semi"), "members", parts)
+    pairs = member.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = materialise(pairs, "pairs", parts)
+    sets = _sets_of(plain, nodes, pairs, words, parts)
     tested = materialise(_confirm(pairs, sets, num, den), "tested")
-    links = tested.filter("linked").select("a", "b")
-    comp = components(links)
-    open_pairs_before = None
-    for turn in range(MAX_ROUNDS + 1):
-        labelled = member.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).drop("low")
-        state = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        mixed = (
-            state.groupBy("key")
-            .agg(F.sum("n").alias("all"), F.sum(F.col("n").cast("double") ** 2).alias("same"), F.count("*").alias("comps"))
-            .filter("comps > 1")
-        )
-        tally = mixed.agg(F.sum((F.col("all").cast("double") ** 2 - F.col("same")) / 2).alias("p"), F.sum("all").alias("m")).collect()[0]
-        open_pairs, members = tally["p"] or 0, tally["m"] or 0
-        if not open_pairs:
-            return comp
-        last = open_pairs <= PAIRS_PER_MEMBER * members or turn == MAX_ROUNDS or open_pairs == open_pairs_before
-        open_pairs_before = open_pairs
-        labelled = materialise(labelled.join(mixed.select("key"), "key"), "open")
-        new = _across(labelled, tested, num, den) if last else _pivots(labelled, turn)
-        new = new.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        new = materialise(_confirm(new, sets, num, den), "tested")
-        tested = tested.unionAll(new)
-        links = tested.filter("linked").select("a", "b")
-        comp = components(links)
-        drop_table(labelled)
-        if last:
-            return comp
-    raise AssertionError("unreachable")
-
-
-def _pivots(labelled: DataFrame, turn: int) -> DataFrame:
-    """Each mixed bucket's next pivot against its members of other components."""
-    draw = F.xxhash64(F.lit(turn), "node")
-    # The component of the smallest node had its pivot; the next is drawn from the others.
-    first = labelled.groupBy("key").agg(F.min("node").alias("low"))
-    base = first.join(labelled.select("key", F.col("node").alias("low"), F.col("comp").alias("base")), ["key", "low"])
-    pivot = (
-        labelled.join(base.select("key", "base"), "key")
-        .filter("comp <> base")
-        .groupBy("key")
-        .agg(F.min_by(F.struct("node", "comp"), draw).alias("p"))
-    )
-    pairs = labelled.join(pivot, "key").filter(F.col("comp") != F.col("p.comp"))
-    return pairs.select(
-        F.least("node", F.col("p.node")).alias("a"), F.greatest("node", F.col("p.node")).alias("b")
-    ).distinct()
-
-
-def _across(labelled: DataFrame, tested: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of a mixed bucket that lie in different components and that its pivot does not rule out.
-
-    Jaccard distance is a metric: d(x, y) >= |d(p, x) - d(p, y)| for the pivot p.
+    comp = components(tested.filter("linked"), parts)
+    labelled = member.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most")
+    still = labelled.join(mixed.select("key"), "key").select("node", "comp").distinct()
+    still = materialise(still, "open", parts)
+    if not still.limit(1).count():
+        return comp
+    rest = _across(still, sets, num, den).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    rest = materialise(_confirm(materialise(rest, "pairs", parts), sets, num, den), "tested", parts)
+    return merged(comp, rest.filter("linked").select("a", "b"), parts)
+
+
+def _across(still: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs of nodes in different components that can be similar enough, by prefix and position.
+
+    With all sets in one order, rare shingles first, sets of that similarity share a shingle among
+    their first n - ceil(t * n) + 1, and what stands before the first shared one bounds their overlap.
+    This is exact for all pairs of `still`. In the group of a shingle, members of its most frequent
+    component meet the others only, so a group of copies is not paired with itself.
     """
-    reach = 1 - num / den + 1e-9
-    pivot = labelled.groupBy("key").agg(F.min("node").alias("p"))
-    far = tested.select(F.col("a").alias("p"), F.col("b").alias("node"), "far")
-    side = labelled.join(pivot, "key").join(far, ["p", "node"], "left")
-    x = side.select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("far").alias("fa"))
-    y = side.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("far").alias("fb"))
-    near = F.coalesce(F.abs(F.col("fa") - F.col("fb")) <= reach, F.lit(True))
-    return x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
+    rows = sets.join(still, "node").select("node", "comp", "n", F.explode("shingles").alias("s"))
+    common = rows.groupBy("s").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("node").orderBy("df", "s")
+    prefix = rows.join(common, "s").withColumn("pos", F.row_number().over(order))
+    longest = F.col("n") - F.floor((F.col("n") * num + den - 1) / den) + 1
+    prefix = materialise(prefix.filter((F.col("pos") <= longest) & (F.col("df") > 1)), "prefixes")
+    groups = prefix.groupBy("s", "comp").agg(F.count("*").alias("k"))
+    groups = groups.groupBy("s").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps"))
+    told = prefix.join(groups.filter("comps > 1").select("s", "main"), "s")
+    x = told.filter("comp <> main").select("s", *[F.col(c).alias(f"x_{c}") for c in ("node", "comp", "n", "pos")])
+    y = told.select("s", "main", *[F.col(c).alias(f"y_{c}") for c in ("node", "comp", "n", "pos")])
+    overlap = 1 + F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
+    able = (
+        (x["s"] == y["s"])
+        & (F.col("x_comp") != F.col("y_comp"))
+        & ((F.col("y_comp") == F.col("main")) | (F.col("x_node") < F.col("y_node")))
+        & (den * F.least("x_n", "y_n") >= num * F.greatest("x_n", "y_n"))
+        & ((num + den) * overlap >= num * (F.col("x_n") + F.col("y_n")))
+    )
+    return x.join(y, able).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
-def _sets_of(plain: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+def _sets_of(plain: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, parts: int) -> DataFrame:
     """node, n, shingles of every node in `pairs`; only their texts are read into sets."""
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = nodes.select("node", "digest", "n", F.coalesce("min_id", F.lit(_NO_ID)).alias("ident")).join(wanted, "node")
-    wanted = materialise(wanted, "wanted")
+    wanted = materialise(wanted, "wanted", parts)
     idents = wanted.select("ident").distinct()
     if wanted.count() <= BROADCAST_IDS:
         idents = F.broadcast(idents)

@@ -33,11 +33,14 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: cuts lineage and pins ids."""
+def materialise(df: DataFrame, tag: str, parts: int | None = None) -> DataFrame:
+    """Write `df` as Parquet in the shared folder and read it back: cuts lineage and pins ids.
+
+    `parts` bounds the number of files where the rows are known to be few for the input's partitions.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    (df.coalesce(parts) if parts else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
