@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.vocabulary import CATEGORY_LABELS, lookup
 
-RECIPE = "normalized-field-centroid-v1"
+RECIPE = "unit-field-mean/1"
 
 
 class Embedder(Protocol):

@@ -1,15 +1,13 @@
 """The store: seed once, add, delete, search, and what it refuses."""
 
 import pytest
-from pyspark.sql import functions as F
-
 from shelfmark.operators.normalize import normalize
 from shelfmark.operators.resolve import resolve
 from shelfmark.operators.enrich import without_cards
 from shelfmark.plans.catalogue import CANDIDATES, Catalogue
 from shelfmark.store import CatalogueStore, InvalidProduct, ProductConflict, ProductInput, ProductNotFound
 
-from test_catalogue import rows  # noqa: E402
+from test_catalogue import rows
 
 
 class Keywords:
@@ -118,4 +116,3 @@ def test_stale_writer_is_refused(spark, tmp_path, catalogue):
     store._publish(version + 1, state)
     with pytest.raises(ConcurrentWrite):
         store._publish(version + 1, state)
-    assert F is not None
