@@ -347,13 +347,82 @@ def catalogue_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(None)
+@query(
+    f"""WITH p AS (SELECT p_partkey, {_VARIANT_SKU} AS sku, 'PA-' || p_partkey // 4 AS base,
+            CASE WHEN p_partkey % 3 <> 0 THEN CAST(p_size % 2 AS VARCHAR) END AS price FROM part),
+        s0 AS (SELECT p_partkey, sku, price FROM p WHERE p_partkey % 4 = 0),
+        s1 AS (SELECT s0.*, v.sku AS a, s0.price IS NULL OR v.price IS NULL OR s0.price = v.price AS ok_a, v.price AS pa
+            FROM s0 LEFT JOIN p v ON v.p_partkey = s0.p_partkey + 1),
+        s2 AS (SELECT s1.*, CASE WHEN a IS NOT NULL AND ok_a THEN coalesce(price, pa) ELSE price END AS p1 FROM s1),
+        s3 AS (SELECT s2.*, v.sku AS c, p1 IS NULL OR v.price IS NULL OR p1 = v.price AS ok_c, v.price AS pc
+            FROM s2 LEFT JOIN p v ON v.p_partkey = s2.p_partkey + 2)
+        SELECT sku AS canonical_sku, concat_ws(',', CASE WHEN ok_a THEN a END, CASE WHEN ok_c THEN c END) AS aliases,
+            CASE WHEN c IS NOT NULL AND ok_c THEN coalesce(p1, pc) ELSE p1 END AS price FROM s3
+        UNION ALL SELECT a, '', pa FROM s3 WHERE a IS NOT NULL AND NOT ok_a
+        UNION ALL SELECT c, '', pc FROM s3 WHERE c IS NOT NULL AND NOT ok_c
+        UNION ALL SELECT sku, '', price FROM p WHERE p_partkey % 4 = 3
+        UNION ALL SELECT sku, '', price FROM p WHERE p_partkey % 4 IN (1, 2) AND base NOT IN (SELECT sku FROM s0)"""
+)
 def variant_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ordered fold alone: later variants meet the base as earlier ones left it."""
-    products = resolve.merge_same_sku(normalize.normalize(_part_rows(spark, sf_dir)))
+    raw = F.when(F.col("p_partkey") % 3 != 0, (F.col("p_size") % 2).cast("string")).otherwise("")
+    none = F.array().cast("array<string>")
+    products = _variant_parts(spark, sf_dir).select(
+        F.col("sku").alias("canonical_sku"),
+        F.col("p_partkey").alias("first_row"),
+        F.lit("Item").alias("name"),
+        F.lit("Maker").alias("manufacturer"),
+        F.lit("LAB_EQUIPMENT").alias("category"),
+        F.lit("row").alias("category_source"),
+        parse.package_of(F.lit("x5"), F.lit("x5")).alias("package"),
+        parse.price_of(raw).alias("price"),
+        parse.attributes_of(F.lit(""), F.lit("")).alias("attributes"),
+        F.array("p_partkey").alias("source_rows"),
+        none.alias("alias_skus"),
+        none.alias("resolution_notes"),
+        F.array().cast(f"array<{parse.ISSUE}>").alias("issues"),
+    )
     folded = resolve.fold_variants(products)
-    return folded.select(
-        "canonical_sku", F.array_join("alias_skus", ",").alias("aliases"), parse.price_text(F.col("price")).alias("price")
+    return folded.select("canonical_sku", F.array_join("alias_skus", ",").alias("aliases"), F.col("price.amount_text").alias("price"))
+
+
+_KINDS = ["pomiary", "", "odczynniki"]
+
+
+@query(
+    f"""WITH r AS (SELECT p_partkey AS k, 'PA-' || p_partkey // 3 AS sku, p_brand, CASE {_sql_nth(_KINDS, "p_partkey // 2")} WHEN 'pomiary' THEN 'LAB_EQUIPMENT'
+            WHEN 'odczynniki' THEN 'LAB_CHEMICAL' END AS cat, CASE WHEN p_partkey % 4 <> 0 THEN p_size || ' PLN' END AS price,
+            p_partkey % {len(PHRASES)} AS phrase FROM part)
+        SELECT sku AS canonical_sku, min(k) + 1 AS first_row, arg_min(p_brand, k) AS manufacturer, arg_min(cat, k) FILTER (WHERE cat IS NOT NULL) AS category,
+            coalesce(arg_min(price, k) FILTER (WHERE price IS NOT NULL), 'brak ceny') AS price, bool_or(phrase = 2) AS dry_ice_required,
+            CAST(arg_min(CASE phrase WHEN 0 THEN -20 ELSE 4 END, k) FILTER (WHERE phrase IN (0, 3)) AS INTEGER) AS storage_temperature_c, count(*) AS n_rows,
+            CAST((count(DISTINCT p_brand) > 1)::INT + (count(DISTINCT cat) > 1)::INT + (count(DISTINCT price) > 1)::INT
+            + (count(DISTINCT CASE WHEN phrase <> 4 THEN phrase END) > 1)::INT AS BIGINT) AS conflicts FROM r GROUP BY sku"""
+)
+def merge_same_sku(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one number merged by the operator itself, over rows made of the part table."""
+    key = F.col("p_partkey")
+    rows = _read(spark, sf_dir, "part").select(
+        (key + 1).alias("row_number"),
+        F.lit("Item").alias("name"),
+        F.concat(F.lit("PA-"), F.expr("p_partkey div 3").cast("string")).alias("sku"),
+        F.col("p_brand").alias("manufacturer"),
+        _nth(_KINDS, F.expr("p_partkey div 2")).alias("category"),
+        F.lit("x5").alias("package"),
+        F.when(key % 4 != 0, F.concat(F.col("p_size").cast("string"), F.lit(" PLN"))).otherwise("").alias("price"),
+        _nth(PHRASES, key).alias("attributes"),
+    )
+    merged = resolve.merge_same_sku(normalize.normalize_rows(rows))
+    return merged.select(
+        "canonical_sku",
+        "first_row",
+        "manufacturer",
+        "category",
+        parse.price_text(F.col("price")).alias("price"),
+        "attributes.dry_ice_required",
+        "attributes.storage_temperature_c",
+        F.size("source_rows").cast("bigint").alias("n_rows"),
+        F.size(F.filter("issues", lambda i: i["code"] == "duplicate_field_conflict")).cast("bigint").alias("conflicts"),
     )
 
 
