@@ -38,6 +38,7 @@ HALVES, WIDTH = 16, 3
 BROADCAST_IDS = 2_000_000
 #: Tables of links and labels have few rows for each node: as many files as nodes need.
 NODES_PER_FILE = 20_000
+NODES_PER_TASK = 5_000
 _NO_ID = -(2**63)
 
 
@@ -154,24 +155,24 @@ def merged(labels: DataFrame, links: DataFrame, parts: int | None = None) -> Dat
     return materialise(lifted.unionAll(fresh), "labels", parts)
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b and linked of each pair, by full sets; sizes rule pairs out first."""
-    sizes = sets.select("node", "n")
-    a = sizes.select(F.col("node").alias("a"), F.col("n").alias("na"))
-    b = sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
+def _sized(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose set sizes allow the similarity."""
+    a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"))
+    b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"))
     fit = pairs.join(a, "a").join(b, "b").filter(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    return fit.select("a", "b")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b and linked of each pair, by full sets."""
+    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     return (
-        fit.join(left, "a")
+        pairs.join(left, "a")
         .join(right, "b")
         .select("a", "b", "na", "nb", common.alias("common"))
-        .select(
-            "a",
-            "b",
-            (den * F.col("common") >= num * (F.col("na") + F.col("nb") - F.col("common"))).alias("linked"),
-        )
+        .select("a", "b", (den * F.col("common") >= num * (F.col("na") + F.col("nb") - F.col("common"))).alias("linked"))
     )
 
 
@@ -235,7 +236,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _link(plain: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """node, comp of every node that has a link."""
     parts = max(1, math.ceil(nodes.count() / NODES_PER_FILE))
-    keys = nodes.select("node", "half").mapInArrow(_table_keys, "key bigint, node bigint")
+    # A node becomes 120 keys: small tasks, for the keys are many times the nodes.
+    spread = nodes.select("node", "half").repartition(max(1, math.ceil(nodes.count() / NODES_PER_TASK)))
+    keys = spread.mapInArrow(_table_keys, "key bigint, node bigint")
     # Most keys have one node: they go in the first aggregate, which adds up hot keys before its shuffle.
     met = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
     met = materialise(met, "met")
@@ -244,37 +247,52 @@ def _link(plain: DataFrame, nodes: DataFrame, words: int, num: int, den: int) ->
     # Buckets of equal members are one bucket.
     same = member.groupBy("key", "low").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("members"))
     buckets = materialise(same.groupBy("low", "size", "members").agg(F.min("key").alias("key")), "buckets", parts)
-    member = materialise(member.join(buckets.select("key"), "key", "left_semi"), "members", parts)
+    every, member = member, materialise(member.join(buckets.select("key"), "key", "left_semi"), "members", parts)
+    drop_table(every)
+    drop_table(buckets)
     pairs = member.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     pairs = materialise(pairs, "pairs", parts)
     sets = _sets_of(plain, nodes, pairs, words, parts)
-    tested = materialise(_confirm(pairs, sets, num, den), "tested")
+    tested = materialise(_confirm(_sized(pairs, sets, num, den), sets, num, den), "tested")
     comp = components(tested.filter("linked"), parts)
     labelled = member.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most")
     still = labelled.join(mixed.select("key"), "key").select("node", "comp").distinct()
     still = materialise(still, "open", parts)
-    if not still.limit(1).count():
-        return comp
-    rest = _across(still, sets, num, den).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    rest = materialise(_confirm(materialise(rest, "pairs", parts), sets, num, den), "tested", parts)
-    return merged(comp, rest.filter("linked").select("a", "b"), parts)
-
-
-def _across(still: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs of nodes in different components that can be similar enough, by prefix and position.
-
-    With all sets in one order, rare shingles first, sets of that similarity share a shingle among
-    their first n - ceil(t * n) + 1, and what stands before the first shared one bounds their overlap.
-    This is exact for all pairs of `still`. In the group of a shingle, members of its most frequent
-    component meet the others only, so a group of copies is not paired with itself.
+    used = [member, pairs, sets, tested, still]
+    if still.limit(1).count():
+        prefixes = _prefixes(still, sets, num, den)
+        rest = _across(prefixes, num, den).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        rest = materialise(rest, "pairs", parts)
+        found = materialise(_confirm(rest, sets, num, den), "tested", parts)
+        used += [prefixes, rest, found]
+        comp = merged(comp, found.filter("linked").select("a", "b"), parts)
+    for table in used:
+        drop_table(table)
+    return comp
+
+
+def _prefixes(still: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """s, node, comp, n, pos: the shingles of each set's prefix, those of one set alone left out.
+
+    With all sets in one order, rare shingles first, sets of similarity t share a shingle among
+    their first n - ceil(t * n) + 1.
     """
     rows = sets.join(still, "node").select("node", "comp", "n", F.explode("shingles").alias("s"))
     common = rows.groupBy("s").agg(F.count("*").alias("df"))
     order = Window.partitionBy("node").orderBy("df", "s")
     prefix = rows.join(common, "s").withColumn("pos", F.row_number().over(order))
     longest = F.col("n") - F.floor((F.col("n") * num + den - 1) / den) + 1
-    prefix = materialise(prefix.filter((F.col("pos") <= longest) & (F.col("df") > 1)), "prefixes")
+    return materialise(prefix.filter((F.col("pos") <= longest) & (F.col("df") > 1)), "prefixes")
+
+
+def _across(prefix: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs of nodes in different components that can be similar enough, by prefix and position.
+
+    What stands before the first shared shingle bounds the overlap. This is exact for all pairs of
+    the prefixes' nodes. In the group of a shingle, members of its most frequent component meet the
+    others only, so a group of copies is not paired with itself.
+    """
     groups = prefix.groupBy("s", "comp").agg(F.count("*").alias("k"))
     groups = groups.groupBy("s").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps"))
     told = prefix.join(groups.filter("comps > 1").select("s", "main"), "s")
