@@ -20,6 +20,8 @@ from .shared import unit_hash
 
 #: Rates above this are drawn as a sum of that many independent parts, each below it.
 MAX_RATE = 200.0
+#: Up to so many sources their distributions (4 kB each at most) are broadcast; beyond, the join shuffles.
+BROADCAST_SOURCES = 8_000
 
 
 def _distribution(rate: Column) -> Column:
@@ -57,7 +59,8 @@ def poisson_replicate(
     else:
         table = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "__source string, __w double")
         sizes = sizes.join(table, "__source")
-    weight_sum = sizes.agg(F.sum("__w").alias("w")).collect()[0]["w"] or 1.0  # one number
+    told = sizes.agg(F.sum("__w").alias("w"), F.count("*").alias("n")).collect()[0]  # two numbers
+    weight_sum = told["w"] or 1.0
     total = docs.count()  # of all rows, those of unnamed sources too
     rate = F.col("__w") / F.lit(weight_sum) * F.lit(float(total)) / F.col("__n")
     parts = F.greatest(F.lit(1), F.ceil(F.col("__rate") / MAX_RATE)).cast("int")
@@ -68,13 +71,11 @@ def poisson_replicate(
         .drop("__rate")
     )
 
-    def draw(part: Column) -> Column:
-        u = unit_hash(seed, F.col("__id"), part)
-        return F.size(F.filter("__cdf", lambda c: c <= u))
-
-    copies = F.aggregate(
-        F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda acc, part: acc + draw(part)
-    )
+    # Each uniform is hashed once and then compared with the whole distribution.
+    uniforms = F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda part: unit_hash(seed, F.col("__id"), part))
+    copies = F.aggregate(uniforms, F.lit(0), lambda acc, u: acc + F.size(F.filter("__cdf", lambda c: c <= u)))
+    if told["n"] <= BROADCAST_SOURCES:  # else a hot source would gather its texts in one partition
+        rates = F.broadcast(rates)
     drawn = rows.join(rates, "__source").withColumn("n_copies", copies).filter("n_copies > 0")
     out = drawn.select("*", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
     out = out.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), "__id", F.col("copy").cast("string"))))
