@@ -1,11 +1,13 @@
 """Toxic spans by a linear-chain conditional random field; documents by its marginals.
 
-Labels mark documents, so token labels are derived first: over the training sample each word, word
-beginning and word ending is counted by the documents that have it, and those that toxic documents
-have far more often are evidence. Tokens of toxic documents that carry strong evidence are labelled
-toxic, all others clean, and a two-state chain with weights for each piece of evidence, for that of
-the neighbours and for the transitions is trained on them. Forward-backward gives each token its
-marginal; a document's score is the calibrated probability that any of its tokens is toxic.
+Labels mark documents, so token labels are derived first: over the training sample the rate of each
+word, word beginning and word ending in the words of a document is summed up, and those that toxic
+documents have far more densely are evidence. Tokens of toxic documents that carry strong evidence
+are labelled toxic, all others clean, and a two-state chain with weights for each piece of evidence,
+for that of the neighbours and for the transitions is trained on them. Forward-backward gives each
+token its marginal. A document's score aggregates them: the probability that any token is toxic, the
+expected number of toxic tokens, their density and the length go into a logistic regression, whose
+result is calibrated. So one doubtful token in a long text weighs less than several in a short one.
 
 Tokens without evidence all have the same potentials, so a run of them is one power of the
 transition matrix: the marginals are exact and whole texts cost little more than their hits.
@@ -37,8 +39,14 @@ from .shared import as_bytes, by_value, materialise, small_batches, with_text
 by_value()
 
 TRAIN_ROWS = 20_000
-#: Evidence: documents that must have it, smoothed log odds, and how many kinds are kept.
+#: Evidence: toxic documents that must have it, smoothed log odds of its rate, and how many kinds are kept.
 MIN_TOXIC_DOCS, MIN_LOG_ODDS, MAX_EVIDENCE = 4, 2.0, 20_000
+#: Log odds from which evidence marks the tokens of toxic documents as toxic.
+MARK_LOG_ODDS = 3.0
+#: Added to a text's words in rates, so that very short texts do not rule them.
+RATE_WORDS = 100
+#: Rates are summed as whole numbers of this unit: the sums do not depend on their order.
+RATE_UNITS = 10**9
 SEGMENTS, SEGMENT_WORDS, STEPS = 6_000, 24, 150
 CALIBRATION_FOLD = 4
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -91,14 +99,23 @@ class Chain:
             emit.append(e + self.left * ((i - 1) in hits) + self.right * ((i + 1) in hits))
         return spots, chain_marginals(np.array(emit), spots, len(words), self.bias, self.moves)
 
-    def raw(self, text: bytes | None) -> float:
-        _, p = self.marginals(words_of(text))
-        return float(1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
+    def aggregates(self, text: bytes | None) -> list[float]:
+        """What the marginals of a document's tokens say together; see `AGGREGATES`."""
+        words = words_of(text)
+        _, p = self.marginals(words)
+        any_toxic = float(1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
+        expected = float(p.sum())
+        density = RATE_WORDS * expected / (len(words) + RATE_WORDS)
+        return [any_toxic, float(np.log1p(expected)), float(np.log1p(density)), float(np.log1p(len(words)))]
+
+    def raw(self, aggregates: np.ndarray) -> np.ndarray:
+        z = ((aggregates - self.mean) / self.scale) @ self.logistic[1:] + self.logistic[0]
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
     def score(self, texts: list[bytes | None]) -> np.ndarray:
-        if self.constant is not None:
-            return np.full(len(texts), self.constant)
-        return calibrated(np.array([self.raw(t) for t in texts]), self.knots, self.values) if texts else np.zeros(0)
+        if self.constant is not None or not texts:
+            return np.full(len(texts), self.constant if self.constant is not None else 0.5)
+        return calibrated(self.raw(np.array([self.aggregates(t) for t in texts])), self.knots, self.values)
 
     def spans(self, text: str | None, threshold: float = 0.5) -> list[tuple[int, int, float]]:
         """start, end (code points, exclusive) and probability of each toxic token."""
@@ -113,6 +130,31 @@ class Chain:
 
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
+#: Of a document: P(any token toxic), log1p of the expected toxic tokens, of their density, of the words.
+AGGREGATES = 4
+
+
+def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Intercept and weights of a ridge-penalized logistic regression, by Newton steps."""
+    x = np.column_stack([np.ones(len(x)), x])
+    penalty = ridge * np.eye(x.shape[1])
+    penalty[0, 0] = 1e-3
+    w = np.zeros(x.shape[1])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + w @ penalty @ w / 2)
+
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        size = 1.0
+        while loss(w + size * move) > loss(w) and size > 1e-6:
+            size /= 2
+        w = w + size * move
+        if np.abs(size * move).max() < 1e-9:
+            break
+    return w
 
 
 def _power(base: np.ndarray, n: int) -> np.ndarray:
@@ -154,24 +196,30 @@ def chain_marginals(emit: np.ndarray, spots: list[int], length: int, bias: float
 
 
 def _count_evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    counts: dict[bytes, list[int]] = {}
     for batch in batches:
         for text, y in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            counts.update((p, y == 1) for p in {p for w in set(words_of(text)) for p in pieces(w)})
+            words = words_of(text)
+            mine: Counter = Counter()
+            for w, n in Counter(words).items():
+                for p in pieces(w):
+                    mine[p] += n
+            for p, n in mine.items():
+                rate = n * RATE_UNITS // (len(words) + RATE_WORDS)
+                sums = counts.setdefault(p, [0, 0, 0])
+                sums[0] += y == 1
+                sums[1 if y == 1 else 2] += rate
         if len(counts) > 200_000:
             yield _count_batch(counts)
-            counts = Counter()
+            counts = {}
     yield _count_batch(counts)
 
 
-def _count_batch(counts: Counter) -> pa.RecordBatch:
+def _count_batch(counts: dict[bytes, list[int]]) -> pa.RecordBatch:
+    sums = list(zip(*counts.values(), strict=True)) if counts else [[], [], []]
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array([p for p, _ in counts], pa.binary()),
-            pa.array([n if y else 0 for (_, y), n in counts.items()], pa.int64()),
-            pa.array([0 if y else n for (_, y), n in counts.items()], pa.int64()),
-        ],
-        names=["piece", "toxic", "clean"],
+        [pa.array(list(counts), pa.binary())] + [pa.array(c, pa.int64()) for c in sums],
+        names=["piece", "docs", "toxic", "clean"],
     )
 
 
@@ -244,16 +292,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: in
         return Chain(float(next(iter(classes))) if classes else 0.5)
     toxic_docs, clean_docs = classes[True], classes[False]
     learn = sample.filter(F.col("fold") != CALIBRATION_FOLD)
-    log_odds = F.log((F.col("toxic") + 0.5) / F.lit(float(toxic_docs))) - F.log((F.col("clean") + 0.5) / F.lit(float(clean_docs)))
+    half = RATE_UNITS / (4 * RATE_WORDS)  # smoothing: half an occurrence in a text of RATE_WORDS words
+    log_odds = F.log((F.col("toxic") + half) / F.lit(float(toxic_docs))) - F.log((F.col("clean") + half) / F.lit(float(clean_docs)))
     known = (
         learn.select("text", "y")
-        .mapInArrow(_count_evidence, "piece binary, toxic bigint, clean bigint")
+        .mapInArrow(_count_evidence, "piece binary, docs bigint, toxic bigint, clean bigint")
         .groupBy("piece")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .filter(F.col("toxic") >= MIN_TOXIC_DOCS)
+        .agg(*[F.sum(c).alias(c) for c in ("docs", "toxic", "clean")])
+        .filter(F.col("docs") >= MIN_TOXIC_DOCS)
         .withColumn("strength", log_odds)
         .filter(F.col("strength") >= MIN_LOG_ODDS)
-        .orderBy(F.desc(F.col("strength") * F.col("toxic")), "piece")
+        .orderBy(F.desc(F.col("strength") * F.col("docs")), "piece")
         .limit(MAX_EVIDENCE)
         .collect()
     )
@@ -271,7 +320,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: in
                 for at in range(0, len(tokens), SEGMENT_WORDS):
                     part = tokens[at : at + SEGMENT_WORDS]
                     found.append([list(t) for t in part])
-                    marks.append([int(y == 1 and any(strong[f] >= 2 * MIN_LOG_ODDS for f in t)) for t in part])
+                    marks.append([int(y == 1 and any(strong[f] >= MARK_LOG_ODDS for f in t)) for t in part])
                     bare.append(not any(part))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found, pa.list_(pa.list_(pa.int32()))), pa.array(marks, pa.list_(pa.int32())), pa.array(bare, pa.bool_())],
@@ -290,16 +339,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: in
     _train(chain, chosen, strength)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
-    def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def aggregate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [shared.value.raw(t) for t in as_bytes(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(scores, pa.float64()), batch.column(1)], names=["raw", "y"])
-
-    held = sample.filter(F.col("fold") == CALIBRATION_FOLD).select("text", "y").mapInArrow(raw, "raw double, y int").toArrow()
-    if len(held):
-        chain.knots, chain.values = isotonic(held.column(0).to_numpy(), (held.column(1).to_numpy() == 1).astype(float))
-    else:
-        chain.knots = chain.values = np.zeros(0)
+            found = [shared.value.aggregates(t) for t in as_bytes(batch.column(0))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "y", "fold"]
+            )
+
+    # Four numbers for each row of the bounded sample.
+    told = sample.select("text", "y", "fold").mapInArrow(aggregate, "x array<double>, y int, fold int").toArrow()
+    x = told.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, AGGREGATES)
+    y, held = told.column("y").to_numpy() == 1, told.column("fold").to_numpy() == CALIBRATION_FOLD
+    order = np.lexsort((*x.T, y))  # sums in one order, whatever the partitions
+    x, y, held = x[order], y[order].astype(float), held[order]
+    chain.mean, chain.scale = x[~held].mean(axis=0), np.maximum(x[~held].std(axis=0), 1e-6)
+    chain.logistic = logistic_fit((x[~held] - chain.mean) / chain.scale, y[~held])
+    chain.knots = chain.values = np.zeros(0)
+    if held.any():
+        chain.knots, chain.values = isotonic(chain.raw(x[held]), y[held])
     return chain
 
 

@@ -307,6 +307,43 @@ def test_isotonic_is_the_best_monotone_fit():
     assert step is None or sum((step[a] - b) ** 2 for a, b in zip(x, y, strict=True)) <= best + 1e-9
 
 
+def test_toxic_stems_with_unseen_endings_and_one_chance_occurrence(spark):
+    rng = random.Random(8)
+    syllable = lambda: rng.choice("ba ce di fo gu ha je ki lo mu na pe".split())
+    plain = lambda n: ["".join(syllable() for _ in range(rng.randint(2, 4))) for _ in range(n)]
+    stemmed = lambda: "zorvix" + syllable() + syllable()
+    rows, marks = [], []
+    for i in range(600):
+        words = plain(rng.randint(60, 240))
+        if toxic := i % 6 == 0:
+            for _ in range(max(2, len(words) // 40)):
+                words[rng.randrange(len(words))] = stemmed()
+        elif i % 6 == 1:
+            words += plain(400)
+            words[rng.randrange(len(words))] = stemmed()
+        rows.append((i, " ".join(words)))
+        marks.append((i, 0, int(toxic)))
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    docs = documents(spark, rows)
+    scored = toxicity.score_documents(docs, toxicity.fit(docs, labels), carry=["doc_id"]).cache()
+    scores, y = held_out(scored, labels, "toxic")
+    assert ((scores >= 0.5) == (y == 1)).all()
+    spans = scored.filter("predicted = 1").join(docs.select("doc_id", "text"), "doc_id").select(F.explode("spans").alias("s"), "text").collect()
+    assert spans and all(r["text"][r["s"]["start"] : r["s"]["end"]].startswith("zorvix") for r in spans)
+
+
+def test_logistic_fit_is_stationary():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 3))
+    y = (x[:, 0] + rng.normal(size=200) > 0).astype(float)
+    w = toxicity.logistic_fit(x, y, ridge=2.0)
+    wide = np.column_stack([np.ones(200), x])
+    slope = wide.T @ (y - 1 / (1 + np.exp(-wide @ w))) - np.array([1e-3, 2, 2, 2]) * w
+    assert np.abs(slope).max() < 1e-6
+    apart = toxicity.logistic_fit(np.array([[-1.0], [1.0]]), np.array([0.0, 1.0]))
+    assert np.isfinite(apart).all() and apart[1] > 0
+
+
 def test_chain_marginals_by_enumeration():
     rng = np.random.default_rng(4)
     for _ in range(30):
