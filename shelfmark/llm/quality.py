@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import as_bytes, by_value, crc_fold, materialise, small_batches, with_text
+from .shared import Shipped, as_bytes, by_value, crc_fold, materialise, small_batches, with_text
 
 by_value()
 
@@ -224,7 +224,7 @@ def add_scores(docs: DataFrame, model, carry: list[str], text_col: str = "text",
     schema = T.StructType(
         [docs.schema[c] for c in kept] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
     )
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shipped(docs.sparkSession, model)
     rows, at = with_text(docs, kept, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

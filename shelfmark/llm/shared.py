@@ -7,6 +7,7 @@ from half-lost blocks.
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
@@ -73,6 +74,19 @@ def by_value() -> None:
     cloudpickle.register_pickle_by_value(shelfmark)
 
 
+class Shipped:
+    """A value broadcast with the code of its classes; `value` unpacks it, so a task asks once."""
+
+    def __init__(self, spark: SparkSession, value):
+        from pyspark import cloudpickle
+
+        self.box = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        return pickle.loads(self.box.value)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts can be long: Arrow batches of 1,000 rows, unless the session has its own setting."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

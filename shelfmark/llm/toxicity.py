@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .decontam import words_of
 from .quality import calibrated, isotonic, training_sample
-from .shared import as_bytes, by_value, materialise, small_batches, with_text
+from .shared import Shipped, as_bytes, by_value, materialise, small_batches, with_text
 
 by_value()
 
@@ -309,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: in
     chain = Chain()
     chain.ids = {bytes(r["piece"]): i for i, r in enumerate(known)}
     strength = np.array([r["strength"] for r in known])
-    shared = docs.sparkSession.sparkContext.broadcast((chain, strength))
+    shared = Shipped(docs.sparkSession, (chain, strength))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, strong = shared.value
@@ -337,11 +337,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: in
     if not chosen:
         return Chain(toxic_docs / (toxic_docs + clean_docs))
     _train(chain, chosen, strength)
-    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    shared = Shipped(docs.sparkSession, chain)
 
     def aggregate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
         for batch in batches:
-            found = [shared.value.aggregates(t) for t in as_bytes(batch.column(0))]
+            found = [own.aggregates(t) for t in as_bytes(batch.column(0))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "y", "fold"]
             )
@@ -368,7 +369,7 @@ def score_documents(docs: DataFrame, chain: Chain, carry: list[str], threshold:
     schema = docs.select(*kept).schema
     for field in docs.sparkSession.createDataFrame([], own).schema:
         schema = schema.add(field)
-    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    shared = Shipped(docs.sparkSession, chain)
     rows, at = with_text(docs, kept, "text")
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
