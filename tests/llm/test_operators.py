@@ -5,6 +5,8 @@ import hashlib
 import itertools
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -332,6 +334,14 @@ def test_toxic_stems_with_unseen_endings_and_one_chance_occurrence(spark):
     assert spans and all(r["text"][r["s"]["start"] : r["s"]["end"]].startswith("zorvix") for r in spans)
 
 
+@pytest.mark.parametrize("model", [toxicity.Chain(0.25), quality.Model(0.25)])
+def test_shipped_models_need_no_copy_of_the_package(spark, tmp_path, model):
+    (tmp_path / "model").write_bytes(shared.Shipped(spark, model).box.value)
+    code = "import pickle; print(pickle.load(open('model', 'rb')).score([b'a text'])[0])"
+    run = subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60)
+    assert run.stdout.strip() == "0.25", run.stderr
+
+
 def test_logistic_fit_is_stationary():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(200, 3))
