@@ -80,17 +80,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = _read(spark, sf_dir, "documents").select(
+    placed = sharding.shuffle_into_shards(_read(spark, sf_dir, "documents"), shards=24)
+    text = F.coalesce(F.col("text"), F.lit(""))  # as it came out of the exchange
+    return placed.select(
         "doc_id",
         (F.octet_length(text) + 8).cast("bigint").alias("size"),
         F.crc32(text).cast("bigint").alias("text_crc32"),
-    )
-    placed = sharding.shuffle_into_shards(rows, shards=24)
-    return placed.select(
-        "doc_id",
-        "size",
-        "text_crc32",
         F.lit("rows").alias("law"),
         F.col("shard").cast("int").alias("shard"),
         "slot",

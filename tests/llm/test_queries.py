@@ -1,6 +1,7 @@
 """Registered queries against their SQL; the pipeline stage by stage against brute force."""
 
 import math
+import zlib
 
 import duckdb
 import pytest
@@ -46,6 +47,17 @@ def test_mixing_writes_whole_documents(spark, monkeypatch):
     assert all(tuple(r)[:-1] == whole[r["doc_id"]] for r in rows)
 
 
+def test_sharding_digests_what_came_out(spark, monkeypatch):
+    shuffle = queries.sharding.shuffle_into_shards
+    lost = lambda df, **kw: shuffle(df, **kw).withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.col("text")))
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for change, keeps in ((shuffle, lambda d: True), (lost, lambda d: d % 2 == 0)):
+        monkeypatch.setattr(queries.sharding, "shuffle_into_shards", change)
+        got = queries.op9_sharding(spark, SF).collect()
+        want = {d: t if keeps(d) else b"" for d, t in texts.items()}
+        assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == sorted((d, len(t) + 8, zlib.crc32(t)) for d, t in want.items())
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({c: F.lit(7) for c in ("score", "copy", "kept", "n_words")})
     docs = docs.unionAll(docs.limit(3)).unionAll(
