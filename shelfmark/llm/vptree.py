@@ -2,8 +2,11 @@
 
 Inner product becomes distance by one more coordinate: with M the largest norm of a shard, a vector
 x gets sqrt(M^2 - |x|^2) and a query gets 0, so the nearest augmented vector has the largest inner
-product. A subtree is skipped if the triangle inequality puts all of it beyond the k-th best so
-far; `factor` widens that bound. Factor one never skips a better neighbour.
+product. A subtree is skipped if the triangle inequality puts all of its inner products below the
+k-th best so far, with all that rounding can add; `factor` widens that bound. Factor one never skips
+a better neighbour. Scores are summed in component order; products of a leaf that are summed
+otherwise only tell which points can reach the k-th best. Of equal scores the smaller ids stay.
+Vectors of much smaller norm than the largest get trees of their own, as that norm sets the rounding.
 
 Rows are dealt to shards of about `SHARD_ROWS` by hashed id. Every shard gets all queries, as rows
 of the same sorted partition behind its vectors; it builds its tree, then streams the queries in
@@ -33,17 +36,17 @@ by_value()
 
 SHARD_ROWS = 8192
 LEAF = 512
-#: Candidates kept beyond k, so that rounding in the fast products cannot cost a place.
-SPARE = 8
+#: Largest norm over smallest within one tree.
+NORM_SPAN = 16.0
 
 
 class VPTree:
-    def __init__(self, points: np.ndarray, leaf: int = LEAF, seed: int = 5):
+    def __init__(self, points: np.ndarray, leaf: int = LEAF, seed: int = 5, index: np.ndarray | None = None):
         self.points, self.leaf = points, leaf
         self.squares = np.einsum("ij,ij->i", points, points)
         self.nodes: list[tuple] = []
         rng = np.random.default_rng(seed)
-        self.root = self._build(np.arange(len(points)), rng)
+        self.root = self._build(np.arange(len(points)) if index is None else index, rng)
 
     def _build(self, index: np.ndarray, rng: np.random.Generator) -> int:
         if len(index) <= self.leaf:
@@ -83,13 +86,15 @@ class VPTree:
                 self._visit(side[0], who[mine])
         for side, mine in ((outer, first), (inner, ~first)):
             if mine.any():
-                bound = np.maximum(np.maximum(side[1] - d[mine], d[mine] - side[2]), 0.0)
-                reach = self.best[who[mine]].max(axis=1)
-                go = bound * self.factor <= reach + 1e-9
+                go = self._may_improve(side, d[mine], who[mine])
                 if go.any():
                     self._visit(side[0], who[mine][go])
         return None
 
+    def _may_improve(self, side: tuple, d: np.ndarray, who: np.ndarray) -> np.ndarray:
+        bound = np.maximum(np.maximum(side[1] - d, d - side[2]), 0.0)
+        return bound * self.factor <= self.best[who].max(axis=1) + 1e-9
+
     def _leaf(self, index: np.ndarray, who: np.ndarray) -> None:
         self.visited += len(index) * len(who)
         k = self.best.shape[1]
@@ -101,34 +106,93 @@ class VPTree:
         self.found[who] = np.take_along_axis(ids, keep, axis=1)
 
 
+class ProductTree(VPTree):
+    """A tree over the rows `index` of augmented points, searched for the largest inner products."""
+
+    def __init__(self, points: np.ndarray, index: np.ndarray, largest: float):
+        super().__init__(points, index=index)
+        self.largest = largest  # squared norm without the last coordinate
+        #: More than any relative error of a sum over the components, or of a distance.
+        self.eps = 8 * (points.shape[1] + 8) * np.finfo(float).eps
+
+    def improve(self, queries: np.ndarray, best: np.ndarray, found: np.ndarray, factor: float) -> None:
+        """Take the tree's points into the best scores, in falling order, and the points they are of."""
+        self.queries, self.factor, self.best, self.found = np.column_stack([queries, np.zeros(len(queries))]), factor, best, found
+        self.query_squares = np.einsum("ij,ij->i", queries, queries)
+        self.visited = 0
+        tiny = np.finfo(float).tiny
+        longest = np.sqrt(self.query_squares) * np.sqrt(self.largest)
+        self.slack = self.eps * longest + tiny
+        self.loose = self.eps * (self.query_squares + self.largest) + tiny
+        who = np.flatnonzero(~(longest + self.slack < best[:, -1]))  # written so that NaN is searched
+        if len(who):
+            self._visit(self.root, who)
+
+    def _may_improve(self, side: tuple, d: np.ndarray, who: np.ndarray) -> np.ndarray:
+        bound = np.maximum(side[1] - d, d - side[2]) - self.eps * (d + side[2]) - 1e-150
+        most = (self.query_squares[who] + self.largest - np.square(np.maximum(bound, 0.0) * self.factor)) / 2
+        return ~(most + self.loose[who] < self.best[who, -1])
+
+    def _leaf(self, index: np.ndarray, who: np.ndarray) -> None:
+        self.visited += len(index) * len(who)
+        k = self.best.shape[1]
+        queries, vectors = self.queries[who, :-1], self.points[index, :-1]
+        rough, slack, low = queries @ vectors.T, self.slack[who], self.best[who, -1]
+        if len(index) >= k:
+            low = np.maximum(low, np.partition(rough, -k, axis=1)[:, -k] - slack)
+        row, col = np.nonzero(~(rough + slack[:, None] < low[:, None]))
+        # Summed in component order, as any engine sums it: equal vectors get equal scores.
+        scores = np.zeros(len(row))
+        for q, v in zip(np.ascontiguousarray(queries.T), np.ascontiguousarray(vectors.T), strict=True):
+            scores += v[col] * q[row]
+        touched, row = np.unique(row, return_inverse=True)
+        at = who[touched]
+        place = np.concatenate([np.repeat(np.arange(len(at)), k), row])
+        point = np.concatenate([self.found[at].ravel(), index[col]])
+        score = np.concatenate([self.best[at].ravel(), scores])
+        order = np.lexsort((point, -score, place))
+        place = place[order]
+        order = order[np.arange(len(place)) - np.searchsorted(place, np.arange(len(at)))[place] < k]
+        self.found[at] = point[order].reshape(-1, k)
+        self.best[at] = score[order].reshape(-1, k)
+
+
 class Shard:
-    """The distinct vectors of a shard, their smallest ids, and the tree over them."""
+    """The distinct vectors of a shard in the order of their smallest ids, and the trees over them."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, factor: float):
         self.k, self.factor = k, factor
-        self.vectors, inverse = np.unique(vectors, axis=0, return_inverse=True)
+        vectors, inverse = np.unique(vectors, axis=0, return_inverse=True)
         order = np.lexsort((ids, inverse.ravel()))
         groups = np.split(ids[order], np.flatnonzero(np.diff(inverse.ravel()[order])) + 1)
-        self.ids = [g[: k + 1] for g in groups]
+        by_id = np.argsort([g[0] for g in groups], kind="stable")
+        self.ids = [groups[i][: k + 1] for i in by_id]
+        self.vectors = vectors[by_id]
         squares = np.einsum("ij,ij->i", self.vectors, self.vectors)
-        extra = np.sqrt(np.maximum(squares.max() - squares, 0.0))
-        self.tree = VPTree(np.column_stack([self.vectors, extra]))
+        points = np.column_stack([self.vectors, np.zeros(len(squares))])
+        self.trees = []
+        rest = np.arange(len(squares))
+        while len(rest):
+            largest = squares[rest].max()
+            near = ~(squares[rest] < largest / NORM_SPAN**2)
+            index, rest = rest[near], rest[~near]
+            points[index, -1] = np.sqrt(np.maximum(largest - squares[index], 0.0))
+            self.trees.append(ProductTree(points, index, largest))
 
     def search(self, ids: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        # One place more for the query's own row.
-        places = min(self.k + 1 + SPARE, len(self.vectors))
-        found, _ = self.tree.search(np.column_stack([queries, np.zeros(len(queries))]), places, self.factor)
-        # Summed in component order, as any engine sums it: equal vectors get equal scores.
-        scores = np.zeros(found.shape)
-        for i in range(queries.shape[1]):
-            scores += self.vectors[found, i] * queries[:, i, None]
-        scores[found < 0] = -np.inf
+        # One place more for the query's own row. A point that k + 1 others precede by score and
+        # smallest id has k ids before all of its own.
+        places = min(self.k + 1, len(self.vectors))
+        best = np.full((len(queries), places), -np.inf)
+        found = np.full((len(queries), places), len(self.vectors), dtype=np.int64)
+        for tree in self.trees:
+            tree.improve(queries, best, found, self.factor)
         out: list[tuple[int, int, float]] = []
-        for q, row, points in zip(ids.tolist(), scores, found, strict=True):
+        for q, row, points in zip(ids.tolist(), best.tolist(), found.tolist(), strict=True):
             hits = []
-            for at in np.argsort(-row, kind="stable"):
-                if points[at] >= 0:
-                    hits += [(-row[at], v) for v in self.ids[points[at]].tolist() if v != q]
+            for score, point in zip(row, points, strict=True):
+                if point < len(self.ids):
+                    hits += [(-score, v) for v in self.ids[point].tolist() if v != q]
             out += [(q, v, -s) for s, v in sorted(hits)[: self.k]]
         if not out:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)

@@ -166,6 +166,28 @@ def test_vectors_exactly(spark):
         vptree.nearest(table, F.lit(True), factor=0.5)
 
 
+@pytest.mark.parametrize("kind", ["ternary", "one-hot", "huge", "mixed norms", "tiny"])
+def test_vectors_exactly_on_ties_and_outlying_norms(kind):
+    rng = np.random.default_rng(7)
+    vectors = {
+        "ternary": lambda: rng.integers(-1, 2, (2500, 10)),
+        "one-hot": lambda: np.eye(1200)[:, :1200] * 2,
+        "huge": lambda: np.concatenate([rng.normal(size=(2000, 6)), rng.normal(size=(1, 6)) * 1e8]),
+        "mixed norms": lambda: rng.normal(size=(2000, 6)) * 10.0 ** rng.integers(-9, 9, (2000, 1)),
+        "tiny": lambda: rng.normal(size=(1500, 6)) * 1e-170,
+    }[kind]().astype(np.float64)
+    vectors = vectors[vectors.any(axis=1)]
+    ids = rng.permutation(len(vectors))
+    scores = np.zeros((50, len(vectors)))
+    for i in range(vectors.shape[1]):
+        scores += vectors[-50:, i, None] * vectors[:, i]
+    want = []
+    for q, row in zip(ids[-50:].tolist(), scores, strict=True):
+        want += [(q, v, s) for s, v in sorted((-s, v) for s, v in zip(row.tolist(), ids.tolist(), strict=True) if v != q)[:20]]
+    got = vptree.Shard(ids, vectors, 20, 1.0).search(ids[-50:], vectors[-50:])
+    assert [(q, v, -s) for q, v, s in zip(*(c.tolist() for c in got), strict=True)] == want
+
+
 def test_relaxed_pruning_still_finds_most():
     rng = np.random.default_rng(2)
     points = np.repeat(rng.normal(size=(40, 8)) * 3, 50, axis=0) + rng.normal(size=(2000, 8)) * 0.2
