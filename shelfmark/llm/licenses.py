@@ -9,6 +9,10 @@ Which windows are aligned is exact for `coverage`: an alignment that reaches it
 of the template that it must contain one of the rarest few in the text, so the occurrences of those
 are the windows. A text without enough of a template's words is not aligned with it.
 
+Words that recur in a window are no anchors, so the alignment of a whole window can fall short of the
+longest common subsequence. Where it does, every span of the window that begins and ends with words
+of the template and could do better is aligned too: a verbatim notice is one of them.
+
 Edge cases: null and empty texts match nothing; a notice that is repeated is found by its best
 window, the first of equal ones; repeated rows are reported each; templates without words are
 refused; an empty table gives an empty result. Other columns are ignored.
@@ -101,6 +105,12 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def in_common(state: int, mark: int) -> int:
+    """One word more of the bit-parallel longest common subsequence; its length is the number of zero bits."""
+    both = state & mark
+    return (state + both) | (state - both)
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float):
         self.coverage = coverage
@@ -108,6 +118,10 @@ class Scanner:
         if not all(self.templates.values()):
             raise ValueError("a template needs words")
         self.counts = {name: Counter(words) for name, words in self.templates.items()}
+        self.marks: dict[str, dict[bytes, int]] = {name: defaultdict(int) for name in self.templates}
+        for name, words in self.templates.items():
+            for j, w in enumerate(words):
+                self.marks[name][w] |= 1 << j
         self.vocabulary = frozenset(w for words in self.templates.values() for w in words)
 
     def scan(self, words: list[bytes]) -> list[tuple]:
@@ -125,25 +139,49 @@ class Scanner:
                 for i, w in enumerate(words):
                     if w in present:
                         spots[w].append(i)
-            best = self._best(words, template, needed, spots)
+            best = self._best(words, template, needed, spots, self.marks[name])
             if best:
                 matched = len(best)
                 out.append((name, matched / size, matched, size, best[0][0], best[-1][0] + 1))
         return out
 
     @staticmethod
-    def _best(words: list[bytes], template: list[bytes], needed: int, spots: dict) -> list[tuple[int, int]]:
+    def _best(words: list[bytes], template: list[bytes], needed: int, spots: dict, marks: dict) -> list[tuple[int, int]]:
         size = len(template)
         rare = sorted(range(size), key=lambda j: (len(spots.get(template[j], ())), j))[: size - needed + 1]
         # A matched passage may hold twice the template's words: room for words put in between.
         windows = sorted({(max(0, i - 2 * j - 2), i + 2 * (size - j) + 2) for j in rare for i in spots.get(template[j], ())})
         best: list[tuple[int, int]] = []
-        for lo, hi in windows:
-            if len(best) == size:
-                break
+        none = (1 << size) - 1
+
+        def align(lo: int, hi: int) -> None:
+            nonlocal best
             found = patience(words[lo:hi], template)
             if len(found) >= needed and len(found) > len(best):
                 best = [(i + lo, j) for i, j in found]
+
+        tried: set[tuple[int, int]] = set()
+        for lo, hi in windows:
+            if len(best) == size:
+                break
+            known = [(i, marks[w]) for i, w in enumerate(words[lo:hi], lo) if w in marks]
+            state = none
+            for _, mark in known:
+                state = in_common(state, mark)
+            most = size - (state & none).bit_count()
+            if most < needed or most <= len(best):
+                continue
+            align(lo, hi)
+            for at, (first, _) in enumerate(known):
+                state = none
+                for last, mark in known[at:]:
+                    if len(best) == most:
+                        break
+                    state = in_common(state, mark) & none
+                    can = size - state.bit_count()
+                    if can >= needed and can > len(best) and (first, last) not in tried:
+                        tried.add((first, last))
+                        align(first, last + 1)
         return best
 
 

@@ -129,6 +129,19 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_license_among_its_own_words():
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    text = "by the authors. Released under the MIT License. The MIT License is released under these terms only"
+    words = licenses.words_of(text.encode())
+    assert scanner.scan(words) == [("MIT", 1.0, 5, 5, 3, 8)]
+    rng = random.Random(4)
+    for name, template in scanner.templates.items():
+        for _ in range(30):
+            around = [rng.choices([*template, b"word"], k=rng.randrange(2 * len(template))) for _ in range(2)]
+            found = {f[0]: f for f in scanner.scan([*around[0], *template, *around[1]])}
+            assert found[name][1] == 1.0
+
+
 # -- nearest neighbours -----------------------------------------------------------------------
 
 
