@@ -3,8 +3,8 @@
 Three base kinds are found in the whole text: `assign` (a keyword, a sign, a value of 6 or more
 characters), `access` (AKIA identifiers of 20 or more) and `hex` (runs of 24 or more). `loose`
 candidates are long tokens of letters and digits that no base span covers. The hash of every
-candidate value is counted over the corpus by distinct repositories and distinct owners. A value
-of one owner looks live, a value of `copied_owners` or more owners is a copied example, others are
+candidate value is counted over the corpus by distinct repositories and distinct owners, and every
+span carries both counts. The class goes by owners alone: a value of one owner looks live, a value of `copied_owners` or more owners is a copied example, others are
 shared. Base spans stay whatever their class; a loose candidate becomes a span only if it is
 owner-specific, for a widely copied long token is no secret.
 
@@ -114,7 +114,10 @@ def find_secrets(
     repo_cols: tuple[str, ...] = ("source", "lang"),
     copied_owners: int = 3,
 ) -> DataFrame:
-    """Per row of `docs`: doc_id and spans, an array of struct<kind, s, e, hash, class>, by start and kind."""
+    """Per row of `docs`: doc_id and spans, an array of structs, by start and kind.
+
+    A span has s, order, e, kind, hash and class, and the distinct owners and repos of its value in the corpus.
+    """
     pinned = materialise(
         scan(docs, owner_col, repo_cols).withColumn("row", F.monotonically_increasing_id()), "secret-candidates"
     )
@@ -137,6 +140,8 @@ def find_secrets(
                         kinds.alias("kind"),
                         "hash",
                         "class",
+                        owners.alias("owners"),
+                        F.coalesce("repos", F.lit(1)).alias("repos"),
                     )
                 )
             ).alias("spans")

@@ -471,6 +471,15 @@ def test_secrets(spark):
     assert secrets.find_secrets(documents(spark, [])).count() == 0
 
 
+def test_secrets_count_owners_and_repositories(spark):
+    value = "AKIA" + "Q7" * 10
+    rows = [(1, value, "en", "a"), (2, value, "de", "a"), (3, value, "de", "a"), (4, "AKIA" + "X" * 20, None, None)]
+    got = {r["doc_id"]: [(x["owners"], x["repos"], x["class"]) for x in r["spans"]] for r in secrets.find_secrets(documents(spark, rows)).collect()}
+    assert got == {1: [(1, 2, "live")], 2: [(1, 2, "live")], 3: [(1, 2, "live")], 4: [(1, 1, "live")]}
+    shared = secrets.find_secrets(documents(spark, [*rows, (5, value, "en", "b")])).filter("doc_id = 5").collect()[0]
+    assert [(x["owners"], x["repos"], x["class"]) for x in shared["spans"]] == [(2, 3, "shared")]
+
+
 # -- sharding -------------------------------------------------------------------------------------
 
 
