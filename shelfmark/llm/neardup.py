@@ -188,6 +188,11 @@ def cluster(
 
     Texts are linked if den * |intersection| >= num * |union| of their `words`-word shingle sets.
     """
+    return _clustered(docs, id_col, text_col, words, num, den).drop("comp")
+
+
+def _clustered(docs: DataFrame, id_col: str, text_col: str, words: int, num: int = 80, den: int = 100) -> DataFrame:
+    """As `cluster`, with comp: a node that names the component; null where n is 0."""
     spark = docs.sparkSession
     small_batches(spark)
     plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
@@ -201,21 +206,29 @@ def cluster(
     comp = _link(plain, nodes, words, num, den)
     named = nodes.select("node", "digest", "min_id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = named.groupBy("comp").agg(F.min("min_id").alias("component_id"))
-    by_digest = named.join(names, "comp").select("digest", "component_id")
+    by_digest = named.join(names, "comp").select("digest", "component_id", "comp")
     out = rows.select("id", "key", "n", "digest").join(by_digest, "digest", "left")
     return out.select(
         "id",
         "key",
         "n",
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        "comp",
     ).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """The rows of `docs`, one of each component: that with the smallest id; of equal such rows one."""
-    found = cluster(docs, id_col, text_col, words)
-    fate = found.groupBy("id", "key").agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
-    fate = materialise(fate.filter(~F.col("kept") | (F.col("times") > 1)), "fate")
+    """The rows of `docs`, one of each component: that with the smallest id, of several the smallest key."""
+    found = _clustered(docs, id_col, text_col, words)
+    fate = found.groupBy("id", "key").agg(
+        F.max("kept").alias("kept"), F.count("*").alias("times"), F.min("comp").alias("comp")
+    )
+    fate = materialise(fate, "fate")
+    # Rows of the kept id with other texts of the component; few, for ids seldom repeat.
+    first = fate.filter("kept and comp is not null").groupBy("comp").agg(F.min("key").alias("first"), F.count("*").alias("texts"))
+    fate = fate.join(first.filter("texts > 1"), "comp", "left")
+    fate = fate.withColumn("kept", F.col("kept") & F.coalesce(F.col("key") == F.col("first"), F.lit(True)))
+    fate = materialise(fate.filter(~F.col("kept") | (F.col("times") > 1)).select("id", "key", "kept", "times"), "fate")
     drop, twins = fate.filter(~F.col("kept")), fate.filter("kept")
     columns = docs.columns
     keyed = docs.withColumns({"__id": F.col(id_col).cast("bigint"), "__key": F.xxhash64(F.col(id_col).cast("bigint"), text_col)})

@@ -268,6 +268,15 @@ def test_no_documents(spark):
     assert neardup.deduplicate(documents(spark, [(1, None), (2, "")]), words=2).count() == 2
 
 
+def test_one_document_stays_though_its_id_repeats(spark):
+    base = [f"w{i}" for i in range(100)]
+    near = " ".join([*base[:99], "other"])
+    rows = [(1, " ".join(base)), (1, " ".join(base).upper()), (1, near), (1, near), (2, near), (1, "  ".join(base)), (1, "far from all of it"),
+            (1, "far from all of it"), (3, "far from  all of it"), (1, ""), (1, " "), (None, "of no id"), (None, "of  no id")]
+    kept = [(r["doc_id"], (r["text"] or "").lower().split()[:1]) for r in neardup.deduplicate(documents(spark, rows)).collect()]
+    assert sorted(kept, key=repr) == [(1, ["far"]), (1, ["w0"]), (1, []), (1, []), (None, ["of"])]
+
+
 def test_half_keys_agree_as_often_as_similarity_says():
     rng = np.random.default_rng(0)
     agree = []
