@@ -6,7 +6,7 @@ pattern, and its bucket holds those patterns for direct comparison. Texts are se
 
 The tables go to the executors by broadcast, so their source is measured first: benchmark text of
 up to `TABLE_BYTES` is one table. Beyond that the items are cut into overlapping pieces, dealt into
-as many tables of that size as it takes, and the documents are searched once for each table.
+as many tables of that size as it takes, and each distinct text is searched once for each table.
 
 Edge cases: null and empty texts have no words, so nothing hits them; an item without words is no
 pattern; items with equal windows all count; an item with a null id still marks words but is not
@@ -165,6 +165,8 @@ def _many_passes(
     )
     pieces = materialise(pieces, "benchmark-pieces")
     keyed = docs.select(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest"), F.col(text_col).alias("__text"))
+    # Else a text's copies would all gather their hits in one row.
+    keyed = materialise(keyed.dropDuplicates(["digest"]), "distinct-texts")
     passes = []
     for table in range(tables):
         part = [(r["piece"].encode().split(), r["item"]) for r in pieces.filter(F.col("table") == table).collect()]

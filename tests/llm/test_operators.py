@@ -573,3 +573,15 @@ def test_contamination(spark, monkeypatch, table_bytes):
         assert sorted((tuple(r[c] for c in cols) for r in got.collect()), key=repr) == sorted(brute_hits(rows, items, window), key=repr)
     assert decontam.find_contamination(docs, benchmark.limit(0), carry=["doc_id"]).filter("contaminated").count() == 0
     assert decontam.find_contamination(docs.limit(0), benchmark, carry=["doc_id"]).count() == 0
+
+
+def test_copies_of_a_contaminated_text_are_searched_once(spark, monkeypatch):
+    item = " ".join(f"w{i}" for i in range(40))
+    hits, materialise = [], decontam.materialise
+    monkeypatch.setattr(decontam, "materialise", lambda df, tag, *a: hits.append((tag, made := materialise(df, tag, *a))) or made)
+    docs = documents(spark, [(i, item) for i in range(50)] + [(99, None)]).repartition(5)
+    bench = spark.createDataFrame([("a", item), ("b", item + " more")], "item_id string, text string")
+    got = decontam.find_contamination(docs, bench, ["doc_id"], 10, table_bytes=300).collect()
+    assert sorted((r["doc_id"], r["n_hit"], r["n_items"]) for r in got) == [*[(i, 40, 2) for i in range(50)], (99, 0, 0)]
+    found = [df.count() for tag, df in hits if tag == "hits"]
+    assert found and max(found) == 1
