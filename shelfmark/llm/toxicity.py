@@ -362,7 +362,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: in
 
 
 def score_documents(docs: DataFrame, chain: Chain, carry: list[str], threshold: float = 0.5) -> DataFrame:
-    """The `carry` columns with score, predicted and spans: array<struct<start, end, p>> of toxic tokens."""
+    """The `carry` columns with score, predicted and spans: array<struct<start, end, p>> of toxic tokens.
+
+    Only documents whose score reaches `threshold` have spans; in others tokens with a marginal of
+    0.5 or more are not listed.
+    """
     small_batches(docs.sparkSession)
     own = "score double, predicted int, spans array<struct<start:int,end:int,p:double>>"
     kept = [c for c in carry if c.lower() not in ("score", "predicted", "spans")]
