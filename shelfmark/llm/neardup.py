@@ -9,11 +9,14 @@ Equal shingle sets are one node from the start, so copies are never paired. In a
 of a bucket meet its smallest member, not each other. Links are confirmed on the full sets. Where
 members of a bucket then still lie in different components, prefix and position filters on the full
 sets, which are exact, find all pairs that could link them: within the buckets no link between
-components is lost, and no bucket is paired in full.
+components is lost, and no bucket is paired in full. The filters put frequent shingles last; how
+frequent they are is counted in `COUNTERS` counters, not for each shingle, for any order is exact.
 
 Edge cases: null or empty texts have the empty set, are linked with nothing and are their own
-component; texts shorter than a shingle are one shingle; repeated rows share a set; a null id never
-names a component that has another id; empty tables give empty results. Other columns are ignored.
+component; texts shorter than a shingle are one shingle; very long texts are one set of all their
+shingles; repeated rows share a set; a null id never names a component that has another id; empty
+tables give empty results. Extra columns are ignored by `cluster` and kept by `deduplicate`,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -26,9 +29,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .shared import as_bytes, by_value, drop_table, materialise, small_batches
+from .shared import Shipped, as_bytes, by_value, drop_table, join_hot, materialise, small_batches
 from .shingles import mix, shingle_sets
 
 by_value()
@@ -36,9 +38,11 @@ by_value()
 HALVES, WIDTH = 16, 3
 #: Ids of candidate documents are broadcast up to this count (16 bytes each); beyond, both sides are shuffled.
 BROADCAST_IDS = 2_000_000
-#: Tables of links and labels have few rows for each node: as many files as nodes need.
-NODES_PER_FILE = 20_000
 NODES_PER_TASK = 5_000
+#: Counters of shingles by their hash, which the driver adds up and broadcasts (1 MB).
+COUNTERS = 1 << 17
+#: Bits of the map of keys that several nodes have (16 MB); beyond so many keys all keys are shuffled again.
+MAP_BITS = 1 << 27
 _NO_ID = -(2**63)
 
 
@@ -87,13 +91,38 @@ def _signatures(k: int):
     return run
 
 
-def _table_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    left, right = np.triu_indices(HALVES, 1)
-    for batch in batches:
-        half = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint64).reshape(-1, HALVES)
-        keys = mix(half[:, left] * np.uint64(0x9FB21C651E98DF25) + half[:, right])
-        node = np.repeat(batch.column(0).to_numpy(), len(left))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node)], names=["key", "node"])
+def _table_keys(marked: Shipped | None = None):
+    """key, node of every table; with `marked`, a bit map of keys, only those whose bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right = np.triu_indices(HALVES, 1)
+        bits = marked.value if marked else None
+        for batch in batches:
+            half = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint64).reshape(-1, HALVES)
+            keys = mix(half[:, left] * np.uint64(0x9FB21C651E98DF25) + half[:, right]).ravel().view(np.int64)
+            node = np.repeat(batch.column(0).to_numpy(), len(left))
+            if bits is not None:
+                at = keys & (8 * len(bits) - 1)
+                go = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                keys, node = keys[go], node[go]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node)], names=["key", "node"])
+
+    return run
+
+
+def _bit_map(keys: DataFrame) -> Shipped | None:
+    """A bit for each key's hash, in at most MAP_BITS bits; None for more keys than bits, which it could not tell apart."""
+    count = keys.count()
+    if count > MAP_BITS:
+        return None
+    bits = max(1 << 15, min(MAP_BITS, 1 << (16 * count).bit_length()))
+    at = keys.select(F.col("key").bitwiseAND(bits - 1).alias("at"))
+    place, page = F.col("at") % 32768, F.floor(F.col("at") / 32768)
+    pages = at.groupBy(page.alias("page")).agg(F.bitmap_construct_agg(place).alias("bits")).collect()
+    out = np.zeros((bits // 32768, 4096), np.uint8)
+    for r in pages:
+        out[r["page"]] = np.frombuffer(r["bits"], np.uint8)
+    return Shipped(keys.sparkSession, out.ravel())
 
 
 def _full_sets(k: int):
@@ -113,18 +142,15 @@ def _full_sets(k: int):
     return run
 
 
-def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, comp: the smallest node of each connected component, by hooking and pointer jumping.
 
     Every round is written to the shared folder and reread, so the lineage stays short.
     """
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialise(both.distinct(), "edges", parts)
-    labels = materialise(
-        both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("comp")),
-        "labels",
-        parts,
-    )
+    both = materialise(both.distinct(), "edges", few=True)
+    low = both.groupBy("a").agg(F.min("b").alias("low"))
+    labels = materialise(low.select(F.col("a").alias("node"), F.least("a", "low").alias("comp")), "labels", few=True)
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("low"))
         hooked = labels.join(near, labels["node"] == near["a"]).select(
@@ -132,7 +158,7 @@ def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
         )
         up = labels.select(F.col("node").alias("up"), F.col("comp").alias("top"))
         jumped = hooked.join(up, F.col("comp") == F.col("up")).select("node", "was", F.least("comp", "top").alias("comp"))
-        after = materialise(jumped, "labels", parts)
+        after = materialise(jumped, "labels", few=True)
         changed = after.filter("was <> comp").limit(1).count()
         drop_table(labels)
         labels = after.select("node", "comp")
@@ -141,18 +167,18 @@ def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
             return labels
 
 
-def merged(labels: DataFrame, links: DataFrame, parts: int | None = None) -> DataFrame:
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """The components after further links: those between components join them, as a graph of components."""
     ends = links
     for end in ("a", "b"):
         own = labels.select(F.col("node").alias("__node"), F.col("comp").alias("__comp"))
         ends = ends.join(own, F.col(end) == F.col("__node"), "left").withColumn(end, F.coalesce("__comp", end)).drop("__node", "__comp")
-    above = components(ends.filter("a <> b"), parts)
+    above = components(ends.filter("a <> b"))
     up = above.select(F.col("node").alias("__node"), F.col("comp").alias("__comp"))
     lifted = labels.join(up, F.col("comp") == F.col("__node"), "left").select("node", F.coalesce("__comp", "comp").alias("comp"))
     # Nodes without a label so far are components of their own.
     fresh = above.join(labels, "node", "left_anti")
-    return materialise(lifted.unionAll(fresh), "labels", parts)
+    return materialise(lifted.unionAll(fresh), "labels", few=True)
 
 
 def _sized(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -200,14 +226,15 @@ def _clustered(docs: DataFrame, id_col: str, text_col: str, words: int, num: int
     rows = plain.mapInArrow(_signatures(words), "id bigint, key bigint, n bigint, digest binary, half binary")
     rows = materialise(rows, "signatures")
     nodes = rows.filter("n > 0").groupBy("digest").agg(
-        F.min("id").alias("min_id"), F.first("n").alias("n"), F.first("half").alias("half")
+        F.min("id").alias("min_id"), F.first("n").alias("n"), F.first("half").alias("half"), F.count("*").alias("times")
     )
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     comp = _link(plain, nodes, words, num, den)
-    named = nodes.select("node", "digest", "min_id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = nodes.select("node", "digest", "min_id", "times").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = named.groupBy("comp").agg(F.min("min_id").alias("component_id"))
-    by_digest = named.join(names, "comp").select("digest", "component_id", "comp")
-    out = rows.select("id", "key", "n", "digest").join(by_digest, "digest", "left")
+    by_digest = materialise(named.join(names, "comp").select("digest", "component_id", "comp", "times"), "named", few=True)
+    # A digest can be that of any number of copies, and empty texts have none.
+    out = join_hot(rows.select("id", "key", "n", "digest").withColumn("deal", F.xxhash64("id", "key")), by_digest, "digest", "times", "deal", "left")
     return out.select(
         "id",
         "key",
@@ -228,7 +255,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = fate.filter("kept and comp is not null").groupBy("comp").agg(F.min("key").alias("first"), F.count("*").alias("texts"))
     fate = fate.join(first.filter("texts > 1"), "comp", "left")
     fate = fate.withColumn("kept", F.col("kept") & F.coalesce(F.col("key") == F.col("first"), F.lit(True)))
-    fate = materialise(fate.filter(~F.col("kept") | (F.col("times") > 1)).select("id", "key", "kept", "times"), "fate")
+    fate = materialise(fate.filter(~F.col("kept") | (F.col("times") > 1)).select("id", "key", "kept", "times"), "fate", few=True)
     drop, twins = fate.filter(~F.col("kept")), fate.filter("kept")
     columns = docs.columns
     keyed = docs.withColumns({"__id": F.col(id_col).cast("bigint"), "__key": F.xxhash64(F.col(id_col).cast("bigint"), text_col)})
@@ -248,55 +275,94 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _link(plain: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """node, comp of every node that has a link."""
-    parts = max(1, math.ceil(nodes.count() / NODES_PER_FILE))
     # A node becomes 120 keys: small tasks, for the keys are many times the nodes.
     spread = nodes.select("node", "half").repartition(max(1, math.ceil(nodes.count() / NODES_PER_TASK)))
-    keys = spread.mapInArrow(_table_keys, "key bigint, node bigint")
+    keys = spread.mapInArrow(_table_keys(), "key bigint, node bigint")
     # Most keys have one node: they go in the first aggregate, which adds up hot keys before its shuffle.
     met = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    met = materialise(met, "met")
-    member = materialise(keys.join(met.select("key", "low"), "key"), "members")
+    met = materialise(met.select("key", "low"), "met", few=True)
+    # The bit map keeps nearly all of the lone keys out of the second shuffle.
+    again = spread.mapInArrow(_table_keys(_bit_map(met)), "key bigint, node bigint")
+    every = materialise(again.join(met, "key"), "members", few=True)
     drop_table(met)
     # Buckets of equal members are one bucket.
-    same = member.groupBy("key", "low").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("members"))
-    buckets = materialise(same.groupBy("low", "size", "members").agg(F.min("key").alias("key")), "buckets", parts)
-    every, member = member, materialise(member.join(buckets.select("key"), "key", "left_semi"), "members", parts)
+    same = every.groupBy("key", "low").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("members"))
+    buckets = same.groupBy("low", "size", "members").agg(F.min("key").alias("key"))
+    member = materialise(every.join(buckets.select("key"), "key", "left_semi"), "members", few=True)
     drop_table(every)
-    drop_table(buckets)
     pairs = member.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = materialise(pairs, "pairs", parts)
-    sets = _sets_of(plain, nodes, pairs, words, parts)
-    tested = materialise(_confirm(_sized(pairs, sets, num, den), sets, num, den), "tested")
-    comp = components(tested.filter("linked"), parts)
+    pairs = materialise(pairs, "pairs", few=True)
+    sets = _sets_of(plain, nodes, pairs, words)
+    tested = materialise(_confirm(_sized(pairs, sets, num, den), sets, num, den), "tested", few=True)
+    comp = components(tested.filter("linked"))
     labelled = member.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most")
     still = labelled.join(mixed.select("key"), "key").select("node", "comp").distinct()
-    still = materialise(still, "open", parts)
+    still = materialise(still, "open", few=True)
     used = [member, pairs, sets, tested, still]
     if still.limit(1).count():
         prefixes = _prefixes(still, sets, num, den)
         rest = _across(prefixes, num, den).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        rest = materialise(rest, "pairs", parts)
-        found = materialise(_confirm(rest, sets, num, den), "tested", parts)
+        rest = materialise(rest, "pairs", few=True)
+        found = materialise(_confirm(rest, sets, num, den), "tested", few=True)
         used += [prefixes, rest, found]
-        comp = merged(comp, found.filter("linked").select("a", "b"), parts)
+        comp = merged(comp, found.filter("linked").select("a", "b"))
     for table in used:
         drop_table(table)
     return comp
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        counts += np.bincount(batch.column(0).flatten().to_numpy() & (COUNTERS - 1), minlength=COUNTERS)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["counter", "n"])
+
+
+def _in_order(shipped: Shipped, num: int, den: int):
+    """The shingles of each set's prefix, those with the smallest counters first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shipped.value
+        for batch in batches:
+            sets = batch.column(3)
+            flat, ends = sets.flatten().to_numpy(), np.cumsum([0, *sets.value_lengths().to_numpy()])
+            s, row, pos = [], [], []
+            for i, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)):
+                longest = (hi - lo) - -(-(hi - lo) * num // den) + 1
+                own = flat[lo:hi]
+                first = own[np.lexsort((own, counts[own & (COUNTERS - 1)]))[:longest]]
+                s.append(first)
+                row.append(np.full(len(first), i))
+                pos.append(np.arange(1, len(first) + 1))
+            at = np.concatenate([np.zeros(0, np.int64), *row])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([np.zeros(0, np.int64), *s]))]
+                + [batch.column(i).take(pa.array(at)) for i in range(3)]
+                + [pa.array(np.concatenate([np.zeros(0, np.int64), *pos]))],
+                names=["s", "node", "comp", "n", "pos"],
+            )
+
+    return run
+
+
 def _prefixes(still: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """s, node, comp, n, pos: the shingles of each set's prefix, those of one set alone left out.
+    """s, node, comp, n, pos: the shingles of each set's prefix.
 
-    With all sets in one order, rare shingles first, sets of similarity t share a shingle among
-    their first n - ceil(t * n) + 1.
+    With all sets in one order, frequent shingles last, sets of similarity t share a shingle among
+    their first n - ceil(t * n) + 1. A counter holds the occurrences of all shingles of its hash, so
+    one that is frequent cannot come early; equal counters go by the shingle itself.
     """
-    rows = sets.join(still, "node").select("node", "comp", "n", F.explode("shingles").alias("s"))
-    common = rows.groupBy("s").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("node").orderBy("df", "s")
-    prefix = rows.join(common, "s").withColumn("pos", F.row_number().over(order))
-    longest = F.col("n") - F.floor((F.col("n") * num + den - 1) / den) + 1
-    return materialise(prefix.filter((F.col("pos") <= longest) & (F.col("df") > 1)), "prefixes")
+    spark = still.sparkSession
+    small = still.count() <= BROADCAST_IDS
+    mine = sets.join(F.broadcast(still) if small else still, "node").select("node", "comp", "n", "shingles")
+    # At most COUNTERS numbers reach the driver, whatever the sets.
+    told = mine.select("shingles").mapInArrow(_counted, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[told.column("counter").to_numpy()] = told.column("n").to_numpy()
+    order = _in_order(Shipped(spark, counts), num, den)
+    return materialise(mine.mapInArrow(order, "s bigint, node bigint, comp bigint, n bigint, pos bigint"), "prefixes")
 
 
 def _across(prefix: DataFrame, num: int, den: int) -> DataFrame:
@@ -322,11 +388,11 @@ def _across(prefix: DataFrame, num: int, den: int) -> DataFrame:
     return x.join(y, able).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
-def _sets_of(plain: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, parts: int) -> DataFrame:
+def _sets_of(plain: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """node, n, shingles of every node in `pairs`; only their texts are read into sets."""
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = nodes.select("node", "digest", "n", F.coalesce("min_id", F.lit(_NO_ID)).alias("ident")).join(wanted, "node")
-    wanted = materialise(wanted, "wanted", parts)
+    wanted = materialise(wanted, "wanted", few=True)
     idents = wanted.select("ident").distinct()
     if wanted.count() <= BROADCAST_IDS:
         idents = F.broadcast(idents)

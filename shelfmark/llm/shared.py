@@ -34,14 +34,15 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str, parts: int | None = None) -> DataFrame:
+def materialise(df: DataFrame, tag: str, few: bool = False) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: cuts lineage and pins ids.
 
-    `parts` bounds the number of files where the rows are known to be few for the input's partitions.
+    `few`: the rows are small for the tasks that make them, so they are gathered into files of the
+    advisory partition size first. Many small files cost more than that exchange.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    (df.coalesce(parts) if parts else df).write.option("compression", "zstd").parquet(path)
+    (df.hint("rebalance") if few else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,6 +56,31 @@ def drop_table(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key of more rows than this and than a share of 1 in HOT_KEYS of all rows is dealt to several tasks.
+HOT_ROWS, HOT_KEYS = 500, 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, times: str, spread: str, how: str = "inner") -> DataFrame:
+    """`left` joined with `right`, which has one row per key and in `times` how many rows of `left` have it.
+
+    Rows of a hot key are dealt by the hashed column `spread` to as many tasks as its share of all
+    rows asks for, each with a copy of its row of `right`. Fewer than HOT_KEYS keys can be hot, by
+    their definition, so those are broadcast. Null keys, which match nothing, are dealt out too.
+    """
+    spark = left.sparkSession
+    total = right.agg(F.sum(times)).collect()[0][0] or 0
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    pieces = F.ceil(F.col(times) / F.lit(limit)).cast("int")
+    hot = right.filter(F.col(times) > limit).select(F.col(key).alias("__hot"), pieces.alias("__pieces"))
+    lone = F.when(F.col(key).isNull(), int(spark.conf.get("spark.sql.shuffle.partitions"))).otherwise(1)
+    dealt = left.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn(
+        "__piece", F.pmod(F.xxhash64(spread), F.coalesce("__pieces", lone)).cast("int")
+    )
+    copies = F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1)
+    right = right.withColumn("__piece", F.explode(copies)).drop(times)
+    return dealt.drop("__hot", "__pieces").join(right, [key, "__piece"], how).drop("__piece")
+
+
 def unit_hash(*parts: Column | str) -> Column:
     """A double in [0, 1) from the MD5 of the parts joined by ':'; the same in any SQL engine."""
     text = F.concat_ws(":", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
