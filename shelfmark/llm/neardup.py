@@ -231,9 +231,12 @@ def _clustered(docs: DataFrame, id_col: str, text_col: str, words: int, num: int
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     comp = _link(plain, nodes, words, num, den)
     named = nodes.select("node", "digest", "min_id", "times").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    names = named.groupBy("comp").agg(F.min("min_id").alias("component_id"))
-    by_digest = materialise(named.join(names, "comp").select("digest", "component_id", "comp", "times"), "named", few=True)
-    # A digest can be that of any number of copies, and empty texts have none.
+    names = named.groupBy("comp").agg(F.min("min_id").alias("component_id"), F.count("*").alias("members"))
+    names = materialise(names, "names", few=True)
+    # A component can have any number of texts, and a digest, below, any number of copies.
+    by_digest = join_hot(named, names, "comp", "members", "node").select("digest", "component_id", "comp", "times")
+    by_digest = materialise(by_digest, "named", few=True)
+    # Empty texts have no digest.
     out = join_hot(rows.select("id", "key", "n", "digest").withColumn("deal", F.xxhash64("id", "key")), by_digest, "digest", "times", "deal", "left")
     return out.select(
         "id",
