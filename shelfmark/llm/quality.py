@@ -6,12 +6,14 @@ normal equations and the small sums are added. The ridge score is calibrated by
 on a fold that the weights never saw.
 
 Labels are learnt from a sample of at most `train_rows` labelled rows, those with the smallest
-hashed ids; everything that is scored is scored on its whole text.
+hashed ids; everything that is scored is scored on its whole text, however long. All sums are
+made in one order of rows and partitions, so a fit does not depend on how the input is cut.
 
 Edge cases: null and empty texts have all-zero statistics and a score like any other; null labels
-teach nothing, and of several labels for an id the largest counts; without labels to learn from
-every score is 0.5; with one class only, its value; empty tables give empty results; repeated rows
-are scored each; a null id counts as held out.
+teach nothing, and of several labels for an id the largest counts; of several texts for an id one is
+learnt, that of the smallest hash; without labels to learn from every score is 0.5; with one class
+only, its value; empty tables give empty results; repeated rows are scored each; a null id counts as
+held out; extra columns are carried if named, but for `score` and `predicted`, whose new values win.
 """
 
 from __future__ import annotations
@@ -138,9 +140,10 @@ class Model:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, train_rows: int) -> DataFrame:
-    """text, y, fold of at most `train_rows` labelled documents outside fold 0.
+    """doc_id, h, text, y, fold of documents outside fold 0 that have one of `train_rows` labels.
 
-    The chosen labels are at most `train_rows` rows of three numbers, so they are broadcast.
+    The chosen labels are at most `train_rows` rows of three numbers, so they are broadcast. An id
+    may repeat here; `one_of_each` leaves one row of an id, so at most `train_rows` in all.
     """
     fold = crc_fold(F.col("doc_id"))
     chosen = (
@@ -152,15 +155,22 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, train_rows:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(train_rows)
     )
-    texts = docs.select("doc_id", F.col("text").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("text", "y", "fold")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.xxhash64("text").alias("h"), "text", "y", "fold")
+
+
+def one_of_each(sample: DataFrame, value: str) -> DataFrame:
+    """h, `value`, y and fold of one row for each id; copies go in the map tasks already."""
+    least = sample.groupBy("doc_id", "y", "fold").agg(F.min(F.struct("h", value)).alias("t"))
+    return least.select("t.h", f"t.{value}", "y", "fold")
 
 
 def _stats_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        stats = [[float(v) for v in statistics(t)] for t in as_bytes(batch.column(0))]
+        stats = [[float(v) for v in statistics(t)] for t in as_bytes(batch.column(2))]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(stats, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["stats", "y", "fold"]
+            [batch.column(0), batch.column(1), pa.array(stats, pa.list_(pa.float64())), batch.column(3), batch.column(4)],
+            names=["doc_id", "h", "stats", "y", "fold"],
         )
 
 
@@ -168,47 +178,61 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, STATS)
 
 
+def _summed(rows: DataFrame, shape: tuple[int, int], add) -> np.ndarray:
+    """The sum of add(stats, y) over all rows: one matrix a partition, added in the order of partitions."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, part = np.zeros(shape), None
+        for batch in batches:
+            if len(batch):
+                total += add(_matrix(batch.column(1)), batch.column(2).to_numpy())
+                part = batch.column(0)[0].as_py()
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "total"])
+
+    dealt = rows.repartition(SUMS, "h").sortWithinPartitions("h", "y").select(F.spark_partition_id().alias("part"), "stats", "y")
+    parts = sorted((r["part"], r["total"]) for r in dealt.mapInArrow(sums, "part int, total binary").collect())
+    return sum((np.frombuffer(p).reshape(shape) for _, p in parts), np.zeros(shape))
+
+
+def ridge(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Weights that minimize the penalized squared error; the intercept, column 0, is all but free."""
+    penalty = RIDGE * max(1.0, gram[0, 0]) * np.eye(len(gram))
+    penalty[0, 0] = 1e-9
+    return np.linalg.solve(gram + penalty, right)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS, seed: int = 11) -> Model:
     small_batches(docs.sparkSession)
     sample = training_sample(docs, labels, label, train_rows)
-    sample = materialise(sample.mapInArrow(_stats_rows, "stats array<double>, y int, fold int"), "quality-sample")
-    wide = [F.col("stats")[i] for i in range(STATS)]
-    row = sample.agg(
-        F.count("*").alias("n"),
-        F.avg((F.col("y") == 1).cast("double")).alias("rate"),
-        F.array(*[F.avg(c) for c in wide]).alias("mean"),
-        F.array(*[F.stddev_pop(c) for c in wide]).alias("sd"),
-    ).collect()[0]
-    if not row["n"]:
+    kind = f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, h bigint, stats array<double>, y int, fold int"
+    # Statistics of the copies of an id leave the map task once, and no text leaves it.
+    sample = materialise(one_of_each(sample.mapInArrow(_stats_rows, kind), "stats"), "quality-sample")
+    moments = _summed(sample, (3, STATS), lambda x, y: np.stack([np.full(STATS, len(x)), x.sum(axis=0), np.full(STATS, (y == 1).sum())]))
+    n, ones = moments[0, 0], moments[2, 0]
+    if not n:
         return Model(0.5)
-    if row["rate"] in (0.0, 1.0):
-        return Model(row["rate"])
+    if ones in (0, n):
+        return Model(float(ones / n))
     model = Model()
-    model.mean = np.array(row["mean"])
-    model.scale = np.maximum(np.array(row["sd"]), 1e-6)
+    model.mean = moments[1] / n
+    mean = model.mean
+    spread = _summed(sample, (1, STATS), lambda x, y: np.square(x - mean).sum(axis=0)[None])
+    model.scale = np.maximum(np.sqrt(spread[0] / n), 1e-6)
     rng = np.random.default_rng(seed)
     model.directions = rng.normal(size=(STATS, FEATURES)) * (WIDTH_FACTOR / np.sqrt(STATS))
     model.phases = rng.uniform(0, 2 * np.pi, FEATURES)
     basis = model.basis
     size = FEATURES + 1
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, right = np.zeros((size, size)), np.zeros(size)
-        for batch in batches:
-            if len(batch):
-                x = basis(_matrix(batch.column(0)))
-                gram += x.T @ x
-                right += x.T @ (batch.column(1).to_numpy() == 1)
-        yield pa.RecordBatch.from_arrays([pa.array([np.column_stack([gram, right]).tobytes()], pa.binary())], names=["part"])
-
-    learn = sample.filter(F.col("fold") != CALIBRATION_FOLD)
-    parts = [r["part"] for r in learn.repartition(SUMS).mapInArrow(sums, "part binary").collect()]
-    total = sum((np.frombuffer(p).reshape(size, size + 1) for p in parts), np.zeros((size, size + 1)))
-    gram, right = total[:, :size], total[:, size]
-    penalty = RIDGE * max(1.0, gram[0, 0]) * np.eye(size)
-    penalty[0, 0] = 1e-9
-    model.weights = np.linalg.solve(gram + penalty, right)
-    held = sample.filter(F.col("fold") == CALIBRATION_FOLD).select("stats", "y").toArrow()  # a part of the bounded sample
+    def normal(stats: np.ndarray, y: np.ndarray) -> np.ndarray:
+        x = basis(stats)
+        return np.column_stack([x.T @ x, x.T @ (y == 1)])
+
+    total = _summed(sample.filter(F.col("fold") != CALIBRATION_FOLD), (size, size + 1), normal)
+    model.weights = ridge(total[:, :size], total[:, size])
+    # A part of the bounded sample; isotonic regression sorts, so the order of rows plays no part.
+    held = sample.filter(F.col("fold") == CALIBRATION_FOLD).select("stats", "y").toArrow()
     if len(held):
         raw = model.raw(_matrix(held.column(0).combine_chunks()))
         model.knots, model.values = isotonic(raw, (held.column(1).to_numpy() == 1).astype(float))
