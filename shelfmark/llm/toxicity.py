@@ -6,19 +6,24 @@ documents have far more densely are evidence. Tokens of toxic documents that car
 are labelled toxic, all others clean, and a two-state chain with weights for each piece of evidence,
 for that of the neighbours and for the transitions is trained on them. Forward-backward gives each
 token its marginal. A document's score aggregates them: the probability that any token is toxic, the
-expected number of toxic tokens, their density and the length go into a logistic regression, whose
-result is calibrated. So one doubtful token in a long text weighs less than several in a short one.
+expected number of toxic tokens and their density go into a logistic regression, whose result is
+calibrated. So one doubtful token in a long text weighs less than several in a short one, and texts
+without evidence all have the same score, whatever their length.
 
 Tokens without evidence all have the same potentials, so a run of them is one power of the
 transition matrix: the marginals are exact and whole texts cost little more than their hits.
 
 Labels are learnt from a sample of at most `train_rows` labelled rows, those with the smallest
-hashed ids, and the chain from at most `SEGMENTS` segments of it. Every scored text is read whole.
+hashed ids. Of it all evidence and every token teach: its texts are cut into pieces of
+`SEGMENT_WORDS` tokens, equal pieces are one with their number as weight (all those without evidence
+are equal), and only the transitions across a cut are left out. Every scored text is read whole, in
+time that grows with its tokens and in no pieces.
 
 Edge cases: null and empty texts have no tokens and the score of a text without evidence; null
-labels teach nothing, and of several labels for an id the largest counts; without labels every
-score is 0.5, with one class only its value; empty tables give empty results; repeated rows are
-scored each; a null id counts as held out.
+labels teach nothing, and of several labels for an id the largest counts; of several texts for an id
+one is learnt; without labels every score is 0.5, with one class only its value; empty tables give
+empty results; repeated rows are scored each; a null id counts as held out; extra columns are carried
+if named, but for `score`, `predicted` and `spans`, whose new values win.
 """
 
 from __future__ import annotations
@@ -33,21 +38,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontam import words_of
-from .quality import calibrated, isotonic, training_sample
+from .quality import calibrated, isotonic, one_of_each, training_sample
 from .shared import Shipped, as_bytes, by_value, materialise, small_batches, with_text
 
 by_value()
 
 TRAIN_ROWS = 20_000
-#: Evidence: toxic documents that must have it, smoothed log odds of its rate, and how many kinds are kept.
-MIN_TOXIC_DOCS, MIN_LOG_ODDS, MAX_EVIDENCE = 4, 2.0, 20_000
+#: Evidence: toxic documents that must have it, and the smoothed log odds of its rate.
+MIN_TOXIC_DOCS, MIN_LOG_ODDS = 4, 2.0
 #: Log odds from which evidence marks the tokens of toxic documents as toxic.
 MARK_LOG_ODDS = 3.0
 #: Added to a text's words in rates, so that very short texts do not rule them.
 RATE_WORDS = 100
 #: Rates are summed as whole numbers of this unit: the sums do not depend on their order.
 RATE_UNITS = 10**9
-SEGMENTS, SEGMENT_WORDS, STEPS = 6_000, 24, 150
+SEGMENT_WORDS, STEPS = 24, 150
 CALIBRATION_FOLD = 4
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -99,39 +104,45 @@ class Chain:
             emit.append(e + self.left * ((i - 1) in hits) + self.right * ((i + 1) in hits))
         return spots, chain_marginals(np.array(emit), spots, len(words), self.bias, self.moves)
 
-    def aggregates(self, text: bytes | None) -> list[float]:
+    def aggregates(self, words: list[bytes], p: np.ndarray) -> list[float]:
         """What the marginals of a document's tokens say together; see `AGGREGATES`."""
-        words = words_of(text)
-        _, p = self.marginals(words)
         any_toxic = float(1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
         expected = float(p.sum())
         density = RATE_WORDS * expected / (len(words) + RATE_WORDS)
-        return [any_toxic, float(np.log1p(expected)), float(np.log1p(density)), float(np.log1p(len(words)))]
+        return [any_toxic, float(np.log1p(expected)), float(np.log1p(density))]
 
     def raw(self, aggregates: np.ndarray) -> np.ndarray:
         z = ((aggregates - self.mean) / self.scale) @ self.logistic[1:] + self.logistic[0]
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
-    def score(self, texts: list[bytes | None]) -> np.ndarray:
+    def judge(self, texts: list[bytes | None]) -> tuple[np.ndarray, list[tuple[list[int], np.ndarray]]]:
+        """The score of each text, and the marginals that it comes from: positions and probabilities."""
         if self.constant is not None or not texts:
-            return np.full(len(texts), self.constant if self.constant is not None else 0.5)
-        return calibrated(self.raw(np.array([self.aggregates(t) for t in texts])), self.knots, self.values)
+            none = ([], np.zeros(0))
+            return np.full(len(texts), self.constant if self.constant is not None else 0.5), [none] * len(texts)
+        rows, told = [], []
+        for text in texts:
+            words = words_of(text)
+            spots, p = self.marginals(words)
+            told.append((spots, p))
+            rows.append(self.aggregates(words, p))
+        return calibrated(self.raw(np.array(rows)), self.knots, self.values), told
+
+    def score(self, texts: list[bytes | None]) -> np.ndarray:
+        return self.judge(texts)[0]
+
 
-    def spans(self, text: str | None, threshold: float = 0.5) -> list[tuple[int, int, float]]:
-        """start, end (code points, exclusive) and probability of each toxic token."""
-        if self.constant is not None or not text:
-            return []
-        spots, p = self.marginals(words_of(text.encode()))
-        toxic = {i: float(x) for i, x in zip(spots, p, strict=True) if x >= threshold}
-        if not toxic:
-            return []
-        lowered = text.translate(_LOWER)
-        return [(m.start(), m.end(), toxic[i]) for i, m in enumerate(WORD.finditer(lowered)) if i in toxic]
+def spans(text: str, spots: list[int], p: np.ndarray, threshold: float = 0.5) -> list[tuple[int, int, float]]:
+    """start, end (code points, exclusive) and probability of each token of `threshold` or more."""
+    toxic = {i: float(x) for i, x in zip(spots, p, strict=True) if x >= threshold}
+    if not toxic:
+        return []
+    return [(m.start(), m.end(), toxic[i]) for i, m in enumerate(WORD.finditer(text.translate(_LOWER))) if i in toxic]
 
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
-#: Of a document: P(any token toxic), log1p of the expected toxic tokens, of their density, of the words.
-AGGREGATES = 4
+#: Of a document: P(any token toxic), log1p of the expected toxic tokens, log1p of their density.
+AGGREGATES = 3
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -223,13 +234,14 @@ def _count_batch(counts: dict[bytes, list[int]]) -> pa.RecordBatch:
     )
 
 
-def _train(chain: Chain, segments: list[tuple[list[tuple[int, ...]], list[int]]], strength: np.ndarray) -> None:
-    """Adam on the penalized log-likelihood of the segments, all of SEGMENT_WORDS tokens at most."""
+def _train(chain: Chain, segments: list[tuple[list, list[int], int]], strength: np.ndarray) -> None:
+    """Adam on the penalized log-likelihood of weighted segments, all of SEGMENT_WORDS tokens at most."""
     n, t = len(segments), SEGMENT_WORDS
     mask, y = np.zeros((n, t), bool), np.zeros((n, t), int)
+    weight = np.array([w for _, _, w in segments], float)[:, None]
     rows, feats = [], []
     hit = np.zeros((n, t + 2))
-    for s, (tokens, marks) in enumerate(segments):
+    for s, (tokens, marks, _) in enumerate(segments):
         mask[s, : len(tokens)] = True
         y[s, : len(tokens)] = marks
         for i, found in enumerate(tokens):
@@ -262,7 +274,7 @@ def _train(chain: Chain, segments: list[tuple[list[tuple[int, ...]], list[int]]]
             beta[:, i] = np.where(mask[:, i + 1, None], b / b.sum(axis=1, keepdims=True), 1.0)
         post = alpha * beta
         post /= post.sum(axis=2, keepdims=True)
-        error = np.where(mask, y - post[:, :, 1], 0.0)
+        error = np.where(mask, y - post[:, :, 1], 0.0) * weight
         joint = alpha[:, :-1, :, None] * step * (into[:, 1:] * beta[:, 1:])[:, :, None, :]
         joint /= joint.sum(axis=(2, 3), keepdims=True)
         grad = np.concatenate(
@@ -270,7 +282,7 @@ def _train(chain: Chain, segments: list[tuple[list[tuple[int, ...]], list[int]]]
                 np.bincount(feats, error.ravel()[rows], f),
                 [error.sum(), (error * left).sum(), (error * right).sum()],
                 [
-                    ((((y[:, :-1] == a) & (y[:, 1:] == b)) - joint[:, :, a, b]) * pair).sum()
+                    ((((y[:, :-1] == a) & (y[:, 1:] == b)) - joint[:, :, a, b]) * pair * weight).sum()
                     for a, b in ((0, 1), (1, 0), (1, 1))
                 ],
             ]
@@ -286,7 +298,7 @@ def _train(chain: Chain, segments: list[tuple[list[tuple[int, ...]], list[int]]]
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: int = TRAIN_ROWS) -> Chain:
     small_batches(docs.sparkSession)
-    sample = materialise(training_sample(docs, labels, label, train_rows), "toxic-sample")
+    sample = materialise(one_of_each(training_sample(docs, labels, label, train_rows), "text"), "toxic-sample")
     classes = {(r["y"] == 1): r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(classes) < 2:
         return Chain(float(next(iter(classes))) if classes else 0.5)
@@ -302,10 +314,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: in
         .filter(F.col("docs") >= MIN_TOXIC_DOCS)
         .withColumn("strength", log_odds)
         .filter(F.col("strength") >= MIN_LOG_ODDS)
-        .orderBy(F.desc(F.col("strength") * F.col("docs")), "piece")
-        .limit(MAX_EVIDENCE)
-        .collect()
+        .select("piece", "strength")
+        .collect()  # of the bounded sample
     )
+    known.sort(key=lambda r: bytes(r["piece"]))
     chain = Chain()
     chain.ids = {bytes(r["piece"]): i for i, r in enumerate(known)}
     strength = np.array([r["strength"] for r in known])
@@ -314,26 +326,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: in
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, strong = shared.value
         for batch in batches:
-            found, marks, bare = [], [], []
+            found, marks = [], []
             for text, y in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 tokens = [own.evidence(w) for w in words_of(text)]
                 for at in range(0, len(tokens), SEGMENT_WORDS):
                     part = tokens[at : at + SEGMENT_WORDS]
                     found.append([list(t) for t in part])
                     marks.append([int(y == 1 and any(strong[f] >= MARK_LOG_ODDS for f in t)) for t in part])
-                    bare.append(not any(part))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found, pa.list_(pa.list_(pa.int32()))), pa.array(marks, pa.list_(pa.int32())), pa.array(bare, pa.bool_())],
-                names=["found", "marks", "bare"],
+                [pa.array(found, pa.list_(pa.list_(pa.int32()))), pa.array(marks, pa.list_(pa.int32()))], names=["found", "marks"]
             )
 
-    segments = learn.select("text", "y").mapInArrow(cut, "found array<array<int>>, marks array<int>, bare boolean")
-    segments = materialise(segments, "toxic-segments")
-    chosen = [
-        ([tuple(t) for t in r["found"]], r["marks"])
-        for bare, most in ((False, 3 * SEGMENTS // 4), (True, SEGMENTS // 4))
-        for r in segments.filter(F.col("bare") == bare).orderBy(F.xxhash64("found", "marks")).limit(most).collect()
-    ]
+    segments = learn.select("text", "y").mapInArrow(cut, "found array<array<int>>, marks array<int>")
+    # Equal segments are added up before they move; the driver gets those of the bounded sample.
+    kinds = segments.groupBy("found", "marks").agg(F.count("*").alias("n")).toArrow()
+    chosen = sorted(zip(*(kinds.column(c).to_pylist() for c in ("found", "marks", "n")), strict=True))
     if not chosen:
         return Chain(toxic_docs / (toxic_docs + clean_docs))
     _train(chain, chosen, strength)
@@ -342,12 +349,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: in
     def aggregate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            found = [own.aggregates(t) for t in as_bytes(batch.column(0))]
+            found = [own.aggregates(w, own.marginals(w)[1]) for w in map(words_of, as_bytes(batch.column(0)))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "y", "fold"]
             )
 
-    # Four numbers for each row of the bounded sample.
+    # A few numbers for each row of the bounded sample.
     told = sample.select("text", "y", "fold").mapInArrow(aggregate, "x array<double>, y int, fold int").toArrow()
     x = told.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, AGGREGATES)
     y, held = told.column("y").to_numpy() == 1, told.column("fold").to_numpy() == CALIBRATION_FOLD
@@ -374,23 +381,23 @@ def score_documents(docs: DataFrame, chain: Chain, carry: list[str], threshold:
     for field in docs.sparkSession.createDataFrame([], own).schema:
         schema = schema.add(field)
     shared = Shipped(docs.sparkSession, chain)
-    rows, at = with_text(docs, kept, "text")
+    rows, place = with_text(docs, kept, "text")
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = as_bytes(batch.column(at))
-            scores = model.score(texts)
-            spans = [
-                [{"start": s, "end": e, "p": p} for s, e, p in model.spans(t.decode())] if t and x >= threshold else []
-                for t, x in zip(texts, scores, strict=True)
+            texts = as_bytes(batch.column(place))
+            scores, told = model.judge(texts)
+            found = [
+                [{"start": s, "end": e, "p": p} for s, e, p in spans(t.decode(), *at)] if t and x >= threshold else []
+                for t, x, at in zip(texts, scores, told, strict=True)
             ]
             columns = [batch.column(i) for i in range(len(kept))]
             columns += [
                 pa.array(scores, pa.float64()),
                 pa.array((scores >= threshold).astype(np.int32), pa.int32()),
-                pa.array(spans, span),
+                pa.array(found, span),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
