@@ -1,14 +1,17 @@
 """Uniform shuffle into shards of exact size, by a hypergeometric communication matrix.
 
-Rows are first pinned: a table in the shared folder holds each row with its source partition and
-a row number. The number of rows that partition p sends to shard s is then drawn exactly: row p of
-the matrix is multivariate hypergeometric over what room the shards still have. Each partition is
-permuted locally and cut by its row of the matrix, the pieces are exchanged, and every shard is
-permuted again. The result is a uniform permutation, and shard sizes differ by one at most.
-
-Edge cases: null or empty texts have 0 bytes; repeated rows are separate rows with places of their
-own; an empty table gives an empty result. Extra columns are carried, whatever they are called,
-unless they clash with the output's own names, which win.
+Every partition is first permuted locally and written to the shared folder, so that a row has a
+source partition and a place in it that no retry changes. The number of rows that partition p sends
+to shard s is then drawn exactly: row p of the matrix is multivariate hypergeometric over what room
+the shards still have. Places are cut by that row, whole rows are exchanged once, dealt by ranges of
+shard and a hashed key, and every shard is permuted again by sorting on that key. The result is a
+uniform permutation, shard sizes differ by one at most, and the rows of a shard lie together in the
+order of their slots, so `write_shards` writes each shard as a few files.
+
+Edge cases: the text plays no part, so null, empty and very long texts are rows like others;
+repeated rows are separate rows with places of their own; an empty table gives an empty result.
+Extra columns are carried, whatever they are called, unless they clash with the output's own names
+(shard, slot), which win.
 """
 
 from __future__ import annotations
@@ -23,8 +26,12 @@ from pyspark.sql.window import Window
 
 from .shared import materialise
 
-#: Rows per block of the second permutation: the bound on what one sort group holds on average.
-BLOCK_ROWS = 20_000
+#: Rows per block of the second permutation, as a rule: what one ranking group holds on average.
+BLOCK_ROWS = 1_024
+#: There are no more blocks than this and one for each shard, so their offsets are broadcast (20 bytes each).
+MOST_BLOCKS = 1_000_000
+#: Numbers of the matrix that are broadcast (8 bytes each); beyond, rows meet them by a shuffle.
+BROADCAST_CUTS = 4_000_000
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -63,55 +70,62 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarra
     return matrix
 
 
-def _key(seed: int, salt: str) -> Column:
-    return F.xxhash64(F.lit(seed), F.lit(salt), F.col("__row"))
+def _key(seed: int, salt: str, *of: Column) -> Column:
+    return F.xxhash64(F.lit(seed), F.lit(salt), *of)
 
 
 def shuffle_into_shards(df: DataFrame, shards: int = 24, seed: int = 17) -> DataFrame:
     """`df` with `shard` (0 to shards - 1) and `slot` (0, 1, ... within the shard)."""
     spark = df.sparkSession
     kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
-    pinned = materialise(
-        df.select(
-            *kept,
-            F.spark_partition_id().alias("__part"),
-            F.monotonically_increasing_id().alias("__row"),
-        ),
-        "shard-rows",
-    )
+    keyed = df.select(*kept, _key(seed, "local", F.spark_partition_id(), F.monotonically_increasing_id()).alias("__local"))
+    # Sorted within its partition, a row's id holds the partition above bit 33 and the place below.
+    placed = keyed.sortWithinPartitions("__local").withColumn("__row", F.monotonically_increasing_id()).drop("__local")
+    pinned = materialise(placed, "shard-rows")
+    part = F.shiftright("__row", 33).cast("int")
     # One count per input partition: that many numbers reach the driver, not rows.
-    counts = sorted((r["__part"], r["n"]) for r in pinned.groupBy("__part").agg(F.count("*").alias("n")).collect())
+    sizes = pinned.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()
+    counts = sorted((r["part"], r["n"]) for r in sizes)
     total = sum(n for _, n in counts)
     matrix = communication_matrix([n for _, n in counts], shards, seed)
     cuts = spark.createDataFrame(
         [(p, [int(x) for x in np.cumsum(row)[:-1]]) for (p, _), row in zip(counts, matrix, strict=True)],
         T.StructType([T.StructField("__part", T.IntegerType()), T.StructField("__cuts", T.ArrayType(T.LongType()))]),
     )
-    # The first permutation orders row numbers only; the rows themselves move once, at the end.
-    local = Window.partitionBy("__part").orderBy(_key(seed, "local"), "__row")
-    ids = pinned.select("__part", "__row")
-    dealt = (
-        ids.withColumn("__place", F.row_number().over(local) - 1)
-        .join(cuts, "__part")
-        .select("__row", F.size(F.filter("__cuts", lambda c: c <= F.col("__place"))).alias("shard"))
-    )
-    blocks = max(1, math.ceil(total / shards / BLOCK_ROWS))
-    dealt = dealt.withColumn("__key", _key(seed, "shard")).withColumn("__block", _block("__key", blocks))
-    dealt = materialise(dealt, "shard-deal")
+    place = F.col("__row").bitwiseAND(2**33 - 1)
+    blocks = max(1, math.ceil(total / shards / max(BLOCK_ROWS, total / MOST_BLOCKS)))
+    cuts = F.broadcast(cuts) if matrix.size <= BROADCAST_CUTS else cuts
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """With shard, key and block."""
+        out = rows.join(cuts, part == F.col("__part")).withColumn(
+            "shard", F.size(F.filter("__cuts", lambda c: c <= place)).cast("int")
+        )
+        out = out.withColumn("__key", _key(seed, "shard", F.col("__row"))).drop("__part", "__cuts")
+        return out.withColumn("__block", _block("__key", blocks))
+
     before = Window.partitionBy("shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        dealt.groupBy("shard", "__block")
+        dealt(pinned.select("__row"))
+        .groupBy("shard", "__block")
         .agg(F.count("*").alias("__n"))
         .withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0)))
         .drop("__n")
     )
     within = Window.partitionBy("shard", "__block").orderBy("__key", "__row")
-    placed = (
-        dealt.withColumn("__rank", F.row_number().over(within) - 1)
-        .join(offsets, ["shard", "__block"])
-        .select("__row", "shard", (F.col("__offset") + F.col("__rank")).cast("bigint").alias("slot"))
+    ranked = (
+        dealt(pinned)
+        .repartitionByRange("shard", "__block")
+        .sortWithinPartitions("shard", "__block", "__key", "__row")
+        .withColumn("__rank", F.row_number().over(within) - 1)
+        .join(F.broadcast(offsets), ["shard", "__block"])
     )
-    return pinned.join(placed, "__row").select(*kept, "shard", "slot")
+    return ranked.select(*kept, "shard", (F.col("__offset") + F.col("__rank")).cast("bigint").alias("slot"))
+
+
+def write_shards(placed: DataFrame, path: str) -> None:
+    """One folder for each shard. Rows come in the order of their slots, so a task writes few shards, one by one."""
+    placed.write.partitionBy("shard").parquet(path)
 
 
 def _block(key: str, blocks: int) -> Column:
