@@ -3,12 +3,14 @@
 An archive is two tables in the shared folder. ``headers`` has the exact header block of every
 record and the SHA-256 that addresses its payload; ``payloads`` has each distinct payload once.
 A join on the digest gives the original records back, and every payload is hashed again on the
-way out: bytes that no longer match their address stop the read.
+way out, once before the join: bytes that no longer match their address stop the read. A payload
+says how many records have it, so the records of a very common one are dealt to several tasks.
 
 Edge cases: a null payload is an empty payload; a null id is written as ``null`` and read back as
-null; line breaks in a URL are percent-encoded, so a URL cannot forge a header line; rows that
-repeat an id with the same payload are the same record and share one role; an empty table gives
-an empty archive. Other columns of the input are ignored.
+null; line breaks in a URL are percent-encoded, so a URL cannot forge a header line; very long
+payloads are one value each; rows that repeat an id with the same payload are the same record and
+share one role; an empty table gives an empty archive. Extra columns of the input are ignored,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import join_hot, materialise
+
 CRLF = "\r\n"
 _HEX32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -60,14 +64,17 @@ def write_archive(
         base32_sha1(payload).alias("sha1"),
         F.sha2(payload, 256).alias("sha256"),
     )
+    heads = materialise(heads, "warc-heads")  # hashed once; no payloads in it
     # One row per digest, summed up before the shuffle. A digest shared by payloads of different
     # length or SHA-1 would be a collision: the archive refuses it.
     owners = heads.groupBy("sha256").agg(
         F.max("id").alias("response_id"),
         ((F.min("n") == F.max("n")) & (F.min("sha1") == F.max("sha1"))).alias("sound"),
+        F.count("*").alias("times"),
     )
     owners = owners.select(
         "sha256",
+        "times",
         F.when(F.col("sound"), F.col("response_id"))
         .otherwise(F.raise_error(F.concat(F.lit("digest collision at "), F.col("sha256"))).cast("bigint"))
         .alias("response_id"),
@@ -91,10 +98,12 @@ def write_archive(
         _header_line("Content-Length", F.when(revisit, 0).otherwise(F.col("n")).cast("string")),
         F.lit(CRLF),
     )
-    headers = heads.join(owners, "sha256").select("sha256", block.cast("binary").alias("header"))
+    owners = materialise(owners, "warc-owners", few=True)
+    headers = join_hot(heads, owners, "sha256", "times", "id").select("sha256", block.cast("binary").alias("header"))
     headers.write.option("compression", "zstd").parquet(f"{path}/headers")
     # Copies meet in the map task already: the partial aggregate keeps one row per digest.
-    payloads = pages.select(F.sha2(payload, 256).alias("sha256"), payload.alias("payload")).dropDuplicates(["sha256"])
+    payloads = pages.select(F.sha2(payload, 256).alias("sha256"), payload.alias("payload")).groupBy("sha256")
+    payloads = payloads.agg(F.first("payload").alias("payload"), F.count("*").alias("times"))
     payloads.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
@@ -109,7 +118,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     record (the exact bytes: header block, payload unless a revisit, two line ends).
     """
     headers = spark.read.schema("sha256 string, header binary").parquet(f"{path}/headers")
-    payloads = spark.read.schema("sha256 string, payload binary").parquet(f"{path}/payloads")
+    payloads = spark.read.schema("sha256 string, payload binary, times bigint").parquet(f"{path}/payloads")
     checked = F.when(F.sha2("payload", 256) == F.col("sha256"), base32_sha1(F.col("payload"))).otherwise(
         F.raise_error(F.concat(F.lit("payload does not match its digest "), F.col("sha256")))
     )
@@ -118,6 +127,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         "payload",
         checked.alias("payload_digest"),
         F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+        F.coalesce("times", F.lit(1)).alias("times"),
     )
     number = r"<urn:page:(-?\d+)>"
     records = headers.select(
@@ -129,7 +139,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         _header_value("WARC-Refers-To", number).try_cast("bigint").alias("refers_to"),
     )
     body = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return records.join(stored, "sha256").select(
+    return join_hot(records, stored, "sha256", "times", "header").select(
         "page_id",
         "url",
         "record_type",
