@@ -8,7 +8,8 @@ The tables go to the executors by broadcast, so their source is measured first:
 up to `TABLE_BYTES` is one table. Beyond that the items are cut into overlapping pieces, dealt into
 as many tables of that size as it takes, and each distinct text is searched once for each table.
 
-Edge cases: null and empty texts have no words, so nothing hits them; an item without words is no
+Edge cases: null and empty texts have no words, so nothing hits them; very long texts are searched
+whole, in time that grows with their words; an item without words is no
 pattern; items with equal windows all count; an item with a null id still marks words but is not
 counted or listed; repeated document rows are reported each; empty tables give no hits or no rows.
 Extra columns are carried if named in `carry`; the operator's own names win.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import as_bytes, by_value, materialise, small_batches, with_text
+from .shared import as_bytes, by_value, join_hot, materialise, small_batches, with_text
 
 by_value()
 
@@ -166,11 +167,12 @@ def _many_passes(
     pieces = materialise(pieces, "benchmark-pieces")
     keyed = docs.select(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest"), F.col(text_col).alias("__text"))
     # Else a text's copies would all gather their hits in one row.
-    keyed = materialise(keyed.dropDuplicates(["digest"]), "distinct-texts")
+    keyed = keyed.groupBy("digest").agg(F.first("__text").alias("__text"), F.count("*").alias("times"))
+    keyed = materialise(keyed, "distinct-texts")
     passes = []
     for table in range(tables):
         part = [(r["piece"].encode().split(), r["item"]) for r in pieces.filter(F.col("table") == table).collect()]
-        passes.append(materialise(keyed.mapInArrow(_ranges(spark.sparkContext.broadcast(part), window), _FOUND), "hits"))
+        passes.append(materialise(keyed.select("digest", "__text").mapInArrow(_ranges(spark.sparkContext.broadcast(part), window), _FOUND), "hits"))
     found = passes[0]
     for one in passes[1:]:
         found = found.unionAll(one)
@@ -180,19 +182,20 @@ def _many_passes(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
     merged = merged.mapInArrow(_merge, "digest string, n_hit bigint, n_items bigint, items_sha256 string")
+    merged = materialise(merged.join(keyed.select("digest", "times"), "digest").withColumnRenamed("digest", "__digest"), "verdicts", few=True)
+    merged = merged.withColumnsRenamed({c: f"__{c}" for c in ("n_hit", "n_items", "items_sha256", "times")})
     lowered = F.translate("__text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = docs.select(
-        *kept,
-        F.col(text_col).alias("__text"),
-        F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest"),
-    ).select(*kept, "digest", F.coalesce(F.regexp_count(lowered, F.lit(WORD_PATTERN)), F.lit(0)).cast("bigint").alias("n_words"))
-    hits = F.coalesce("n_hit", F.lit(0)).cast("bigint")
-    return rows.join(merged, "digest", "left").select(
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("__digest")
+    rows = docs.select(*kept, F.col(text_col).alias("__text"), digest, F.monotonically_increasing_id().alias("__deal"))
+    n_words = F.coalesce(F.regexp_count(lowered, F.lit(WORD_PATTERN)), F.lit(0)).cast("bigint")
+    rows = rows.select(*kept, "__digest", "__deal", n_words.alias("n_words"))
+    hits = F.coalesce("__n_hit", F.lit(0)).cast("bigint")
+    return join_hot(rows, merged, "__digest", "__times", "__deal", "left").select(
         *kept,
         "n_words",
         hits.alias("n_hit"),
-        F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
-        F.coalesce("items_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("items_sha256"),
+        F.coalesce("__n_items", F.lit(0)).cast("bigint").alias("n_items"),
+        F.coalesce("__items_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("items_sha256"),
         (hits > 0).alias("contaminated"),
     )
 
