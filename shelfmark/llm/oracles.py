@@ -34,12 +34,12 @@ OP4 = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format
     FROM w JOIN r ON r.a = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id"""
 
 #: Rates of at most 200, which is where a draw is one inversion.
-OP6 = """WITH d AS (SELECT doc_id, source, coalesce(source, '') AS k, CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':1'), 1, 13) AS BIGINT) / CAST(1::BIGINT << 52 AS DOUBLE) AS u FROM documents),
+OP6 = """WITH d AS (SELECT *, coalesce(source, '') AS k, CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':1'), 1, 13) AS BIGINT) / CAST(1::BIGINT << 52 AS DOUBLE) AS u FROM documents),
     r AS (SELECT k, 1.0 / (count(*) OVER ()) * (sum(n) OVER ()) / n AS rate FROM (SELECT k, count(*) AS n FROM d GROUP BY 1)),
     c AS (SELECT k, x, sum(exp(-rate + x * ln(rate) - lgamma(x + 1))) OVER (PARTITION BY k ORDER BY x) AS cum
         FROM r, range(0, 500) AS t(x) WHERE x <= ceil(rate + 12 * sqrt(rate) + 24)),
-    n AS (SELECT doc_id, source, k, (SELECT count(*) FROM c WHERE c.k = d.k AND c.cum <= d.u) AS n FROM d)
-    SELECT doc_id, source, CAST(copy AS INTEGER) AS copy, CAST(n AS INTEGER) AS n_copies,
+    n AS (SELECT d.*, (SELECT count(*) FROM c WHERE c.k = d.k AND c.cum <= d.u) AS n FROM d)
+    SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy, CAST(n AS INTEGER) AS n_copies,
     md5('mix-1-order:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || copy) AS shuffle_key FROM (SELECT *, unnest(range(0, n)) AS copy FROM n)"""
 
 
@@ -63,11 +63,12 @@ OP8 = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text,
     loose AS ({_matches(3, LOOSE, 0, "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')")}),
     c AS (SELECT * FROM base UNION ALL SELECT * FROM loose x WHERE NOT EXISTS
         (SELECT 1 FROM base b WHERE b.rid = x.rid AND b.s < x.e AND x.s < b.e)),
-    f AS (SELECT v, count(DISTINCT o) AS owners FROM c JOIN d USING (rid) GROUP BY 1),
-    k AS (SELECT c.*, owners FROM c JOIN f USING (v) WHERE kind < 3 OR owners = 1),
+    f AS (SELECT v, CASE WHEN count(DISTINCT o) >= 3 OR count(DISTINCT repo) >= 4 THEN 'example' WHEN count(DISTINCT o) = 1 THEN 'live' ELSE 'shared' END AS class
+        FROM c JOIN d USING (rid) GROUP BY 1),
+    k AS (SELECT c.*, class FROM c JOIN f USING (v) WHERE kind < 3 OR class = 'live'),
     a AS (SELECT rid, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
         coalesce(string_agg({_SPAN}, ',' ORDER BY s, kind, e) FILTER (WHERE kind < 3), '') AS base, string_agg({_SPAN}, ',' ORDER BY s, kind, e) AS spans,
-        count(*) FILTER (WHERE owners = 1) AS n_live, count(*) FILTER (WHERE owners >= 3) AS n_example FROM k GROUP BY 1)
+        count(*) FILTER (WHERE class = 'live') AS n_live, count(*) FILTER (WHERE class = 'example') AS n_example FROM k GROUP BY 1)
     SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
     sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
     FROM d LEFT JOIN a USING (rid)"""

@@ -10,6 +10,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ def test_archive_refuses_changed_payloads_and_takes_empty_tables(spark):
     path = shared.new_path(spark, "t")
     warc.write_archive(pages, path)
     bad = spark.read.parquet(f"{path}/payloads").withColumn("payload", F.lit(b"b")).collect()
-    spark.createDataFrame(bad, "sha256 string, payload binary").write.mode("overwrite").parquet(f"{path}/payloads")
+    spark.createDataFrame(bad, "sha256 string, payload binary, times bigint").write.mode("overwrite").parquet(f"{path}/payloads")
     with pytest.raises(Exception, match="does not match"):
         warc.read_archive(spark, path).collect()
     path = shared.new_path(spark, "t")
@@ -487,6 +488,39 @@ def test_secrets_count_owners_and_repositories(spark):
     assert got == {1: [(1, 2, "live")], 2: [(1, 2, "live")], 3: [(1, 2, "live")], 4: [(1, 1, "live")]}
     shared = secrets.find_secrets(documents(spark, [*rows, (5, value, "en", "b")])).filter("doc_id = 5").collect()[0]
     assert [(x["owners"], x["repos"], x["class"]) for x in shared["spans"]] == [(2, 3, "shared")]
+    # Many repositories of one owner are copies too.
+    many = [*rows, (5, value, "fr", "a"), (6, value, "es", "a")]
+    spread = secrets.find_secrets(documents(spark, many)).filter("doc_id = 1").collect()[0]
+    assert [(x["owners"], x["repos"], x["class"]) for x in spread["spans"]] == [(1, 4, "example")]
+    strict = secrets.find_secrets(documents(spark, many), copied_repos=5).filter("doc_id = 1").collect()[0]
+    assert strict["spans"][0]["class"] == "live"
+
+
+def brute_loose(text):
+    base = [(m.start(), m.end()) for p, g, least in BASE.values() for m in re.finditer(p, text, re.ASCII) if len(m[g]) >= least]
+    found = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]{24,}", text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    return [f"loose:{s}:{e}" for s, e in found if not any(b < e and s < f for b, f in base)]
+
+
+def test_secrets_in_texts_of_many_matches(spark):
+    rng = random.Random(9)
+    token = lambda n, of: "".join(rng.choices(of, k=n))
+    makers = [
+        lambda: f"token={token(8, 'abcXYZ123')}",
+        lambda: f"secret: {token(4, 'abc')}",
+        lambda: "AKIA" + token(18, "ABCZ019"),
+        lambda: token(26, "0123456789abcdef"),
+        lambda: "G" + token(30, "HIJKxyz0123456789"),
+        lambda: token(30, "GHIJ"),
+        lambda: f"password={token(30, 'GHIJ01')}",
+        lambda: "plain words é",
+    ]
+    rows = [(i, " ".join(rng.choice(makers)() for _ in range(n))) for i, n in enumerate([3000, 40, 7, 1])]
+    texts = dict(rows)
+    for r in secrets.find_secrets(documents(spark, rows)).collect():
+        text = texts[r["doc_id"]]
+        assert [f"{x['kind']}:{x['s']}:{x['e']}" for x in r["spans"] if x["kind"] != "loose"] == base_spans(text)
+        assert [f"loose:{x['s']}:{x['e']}" for x in r["spans"] if x["kind"] == "loose"] == brute_loose(text)
 
 
 # -- sharding -------------------------------------------------------------------------------------
@@ -515,6 +549,30 @@ def test_blocks_do_not_change_the_law(spark, monkeypatch):
     assert len({place[i][0] for i in range(20)}) == 3
 
 
+def test_placement_follows_the_drawn_matrix(spark, monkeypatch, tmp_path):
+    drawn, pinned, draw, materialise = [], [], sharding.communication_matrix, sharding.materialise
+    monkeypatch.setattr(sharding, "communication_matrix", lambda *a: drawn.append(draw(*a)) or drawn[-1])
+    monkeypatch.setattr(sharding, "materialise", lambda df, tag, *a: pinned.append(materialise(df, tag, *a)) or pinned[-1])
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 30)
+    docs = documents(spark, [(i, f"text {i}") for i in range(700)]).repartition(6)
+    placed = sharding.shuffle_into_shards(docs, 5, seed=3)
+    rows = {r["doc_id"]: (r["__row"] >> 33, r["__row"] & (2**33 - 1), r["__row"]) for r in pinned[0].collect()}
+    parts = sorted({p for p, _, _ in rows.values()})
+    keyed = spark.createDataFrame([(d, r) for d, (_, _, r) in rows.items()], "d long, __row long")
+    key = {r["d"]: r["k"] for r in keyed.select("d", sharding._key(3, "shard", F.col("__row")).alias("k")).collect()}
+    want = {}
+    for d, (p, place, _) in rows.items():
+        shard = int(np.searchsorted(np.cumsum(drawn[0][parts.index(p)]), place, side="right"))
+        want.setdefault(shard, []).append((key[d], d))
+    want = {d: (shard, slot) for shard, own in want.items() for slot, (_, d) in enumerate(sorted(own))}
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in placed.collect()} == want
+    sharding.write_shards(placed, str(tmp_path / "out"))
+    for shard in range(5):
+        files = sorted((tmp_path / "out" / f"shard={shard}").glob("*.parquet"))
+        slots = [s for f in files for s in pq.read_table(f, columns=["slot"], partitioning=None)["slot"].to_pylist()]
+        assert slots == list(range(140))
+
+
 def test_communication_matrix():
     m = sharding.communication_matrix([100, 0, 53, 1], 7, 3)
     assert m.sum(axis=1).tolist() == [100, 0, 53, 1] and set(m.sum(axis=0)) == {22}
@@ -578,7 +636,7 @@ def test_contamination(spark, monkeypatch, table_bytes):
 def test_copies_of_a_contaminated_text_are_searched_once(spark, monkeypatch):
     item = " ".join(f"w{i}" for i in range(40))
     hits, materialise = [], decontam.materialise
-    monkeypatch.setattr(decontam, "materialise", lambda df, tag, *a: hits.append((tag, made := materialise(df, tag, *a))) or made)
+    monkeypatch.setattr(decontam, "materialise", lambda df, tag, **kw: hits.append((tag, made := materialise(df, tag, **kw))) or made)
     docs = documents(spark, [(i, item) for i in range(50)] + [(99, None)]).repartition(5)
     bench = spark.createDataFrame([("a", item), ("b", item + " more")], "item_id string, text string")
     got = decontam.find_contamination(docs, bench, ["doc_id"], 10, table_bytes=300).collect()
