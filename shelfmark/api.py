@@ -1,18 +1,22 @@
-"""The HTTP surface as a WSGI application on the standard library: search, add, delete."""
+"""The HTTP surface as a WSGI application on the standard library: a page, search, add, delete."""
 
 from __future__ import annotations
 
 import json
+import threading
 from collections.abc import Callable, Iterable
 from dataclasses import MISSING, fields
+from pathlib import Path
 from urllib.parse import parse_qs, unquote
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from shelfmark.functions import parse
+from shelfmark.plans.catalogue import Catalogue
 from shelfmark.store import CatalogueStore, InvalidProduct, ProductConflict, ProductInput, ProductNotFound
 
+PAGE = Path(__file__).parent / "page.html"
 PRODUCTS = "/api/products"
 STATUS = {
     200: "200 OK",
@@ -59,14 +63,21 @@ def _input(body: bytes) -> ProductInput:
 
 
 class Api:
-    def __init__(self, open_store: Callable[[], CatalogueStore]):
-        self._open, self._store = open_store, None
+    """`build` gives the catalogue that a store never seeded before starts with."""
+
+    def __init__(self, open_store: Callable[[], CatalogueStore], build: Callable[[], Catalogue] | None = None):
+        self._open, self._build, self._store, self._lock = open_store, build, None, threading.Lock()
 
     @property
     def store(self) -> CatalogueStore:
-        """Opened by the first request that needs it."""
+        """Opened, and seeded if need be, by the first request that needs it; others wait for that."""
         if self._store is None:
-            self._store = self._open()
+            with self._lock:
+                if self._store is None:
+                    store = self._open()
+                    if self._build is not None and not store.seeded:
+                        store.seed(self._build())
+                    self._store = store
         return self._store
 
     def search(self, q: str = "", manufacturer: str = "", category: str = "", limit: int = 10) -> dict:
@@ -101,10 +112,13 @@ class Api:
             return code, {"detail": str(error)}
         except ValueError as error:
             return 422, {"detail": str(error)}
-        known = path in ("/api/search", PRODUCTS) or path.startswith(f"{PRODUCTS}/")
+        known = path in ("/", "/api/search", PRODUCTS) or path.startswith(f"{PRODUCTS}/")
         return (405, {"detail": "method not allowed"}) if known else (404, {"detail": "not found"})
 
     def __call__(self, environ: dict, start_response: Callable) -> Iterable[bytes]:
+        if environ["REQUEST_METHOD"] == "GET" and environ.get("PATH_INFO", "") in ("", "/"):
+            start_response(STATUS[200], [("Content-Type", "text/html; charset=utf-8")])
+            return [PAGE.read_bytes()]
         length = int(environ.get("CONTENT_LENGTH") or 0)
         body = environ["wsgi.input"].read(length) if length else b""
         code, payload = self.respond(environ["REQUEST_METHOD"], environ.get("PATH_INFO", ""), environ.get("QUERY_STRING", ""), body)
@@ -113,7 +127,12 @@ class Api:
 
 
 def serve(api: Api, host: str = "127.0.0.1", port: int = 8000) -> None:
-    from wsgiref.simple_server import make_server
+    """One thread for each request: a search that waits for Spark does not hold up others."""
+    from socketserver import ThreadingMixIn
+    from wsgiref.simple_server import WSGIServer, make_server
+
+    class Server(ThreadingMixIn, WSGIServer):
+        daemon_threads = True
 
-    with make_server(host, port, api) as server:
+    with make_server(host, port, api, server_class=Server) as server:
         server.serve_forever()

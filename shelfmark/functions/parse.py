@@ -15,6 +15,7 @@ from .vocabulary import CATEGORY_SPELLINGS, COUNTABLE_CATEGORIES, UNIT_CLASSES,
 
 AMOUNT = "decimal(38,18)"
 ISSUE = "struct<code:string,detail:string>"
+# What a number and a price look like.
 NUMBER = r"[0-9]+(?:[.,][0-9]+)?"
 PRICE = r"(?iuU)^([0-9][0-9 ]*(?:[.,][0-9]+)?)\s*(pln|zl|zł)?$"
 #: The phrases of the attribute column.
@@ -121,13 +122,15 @@ def price_key(price: Column) -> Column:
     return F.when(price["amount_text"].isNotNull(), F.concat_ws(" ", price["amount_text"], price["currency"]))
 
 
-def attributes_key(attributes: Column) -> Column:
+def attributes_key(attributes: Column, folded: Column | None = None) -> Column:
+    """`folded` is fold(raw), if the caller has it."""
+    folded = fold(attributes["raw"]) if folded is None else folded
     parts: list[Column] = []
     for field in ("storage_temperature_c", "room_temperature", "light_sensitive", "dry_ice_required", "shelf_life_months"):
         value = F.coalesce(F.initcap(attributes[field].cast("string")), F.lit("None"))
         parts.append(F.concat(F.lit(f"{field}="), value))
     shown = F.concat(F.lit("Attributes("), F.concat_ws(", ", *parts, F.lit("raw=''")), F.lit(")"))
-    return F.when(attributes["raw"] == "", F.lit(None)).when(understood_nothing(attributes), fold(attributes["raw"])).otherwise(shown)
+    return F.when(attributes["raw"] == "", F.lit(None)).when(understood_nothing(attributes), folded).otherwise(shown)
 
 
 def implausible_package(category: Column, package: Column) -> tuple[Column, str, Column]:

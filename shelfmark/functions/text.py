@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
@@ -16,6 +18,7 @@ cloudpickle.register_pickle_by_value(shelfmark)  # executors need no copy of the
 
 #: Unicode white space, with the four separators that only some engines count.
 SPACES = r"(?U)[\s\x1C-\x1F]+"
+# Fixed value: the characters that count as a hyphen in a catalogue number.
 DASHES = "[‐-―−]"
 
 
@@ -35,16 +38,23 @@ def _fold(text: str) -> str:
     return "".join(c for c in plain if not unicodedata.combining(c)).casefold()
 
 
+def _each_once(text: pd.Series, function: Callable[[str], str]) -> pd.Series:
+    """The function of each distinct value of a batch; fields repeat, and Python calls are what costs."""
+    codes, values = pd.factorize(text)  # null has code -1
+    done = np.array([function(v) for v in values] + [None], dtype=object)
+    return pd.Series(done[codes], index=text.index, dtype=object)
+
+
 @F.pandas_udf(T.StringType())
 def fold(text: pd.Series) -> pd.Series:
     """Case and diacritics removed, for comparison only. Spark has no NFKD."""
-    return text.map(_fold, na_action="ignore")
+    return _each_once(text, _fold)
 
 
 @F.pandas_udf(T.StringType())
 def casefold(text: pd.Series) -> pd.Series:
     """Full Unicode case folding; `lower` keeps sharp s."""
-    return text.str.casefold()
+    return _each_once(text, str.casefold)
 
 
 def quoted(text: Column) -> Column:

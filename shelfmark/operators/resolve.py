@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import parse
-from shelfmark.functions.text import casefold, listed, quoted
+from shelfmark.functions.text import casefold, fold, listed, quoted
 
 FIELDS = ("name", "manufacturer", "category", "package", "price", "attributes")
+# Fixed value: a base number of two letters and digits, and a variant's suffix.
 VARIANT = r"^([A-Z]{2}-[0-9]+)([A-Z]|-[0-9]+)$"
 
 
@@ -29,6 +30,9 @@ def with_keys(records: DataFrame) -> DataFrame:
     )
 
 
+KEYS = tuple(f"{f}_key" for f in FIELDS)
+
+
 def _first(value: str, order: str, stated: str) -> Column:
     """The value of the lowest row in which it is stated, else that of the lowest row."""
     return F.expr(f"coalesce(min_by({value}, {order}) FILTER (WHERE {stated}), min_by({value}, {order}))")
@@ -36,17 +40,26 @@ def _first(value: str, order: str, stated: str) -> Column:
 
 def merge_same_sku(records: DataFrame) -> DataFrame:
     """One product per SKU: first stated value of each field, flags united, conflicts reported."""
-    keyed = with_keys(records)
+    return _merged(records).drop(*KEYS)
+
+
+def _merged(records: DataFrame) -> DataFrame:
+    """The products of `merge_same_sku` with their keys, which come from the rows' keys, folded once."""
+    keyed = with_keys(records).withColumn("raw_folded", fold(F.col("attributes.raw")))
     n = "row_number"
     flags = ("room_temperature", "light_sensitive", "dry_ice_required")
     numbers = ("storage_temperature_c", "shelf_life_months")
+    plain = ("name", "manufacturer", "package", "price")
+    stated_raw = f"{n}) FILTER (WHERE attributes.raw <> '')"
     merged = keyed.groupBy("sku").agg(
         F.min(n).alias("first_row"),
-        *[_first(f, n, f"{f}_key IS NOT NULL").alias(f) for f in ("name", "manufacturer", "package", "price")],
+        *[_first(f, n, f"{f}_key IS NOT NULL").alias(f) for f in plain],
+        *[F.expr(f"min_by({f}_key, {n}) FILTER (WHERE {f}_key IS NOT NULL)").alias(f"{f}_key") for f in plain],
         _first("named_struct('c', category, 's', category_source)", n, "category IS NOT NULL").alias("cat"),
         *[F.bool_or(f"attributes.{f}").alias(f) for f in flags],
         *[F.expr(f"min_by(attributes.{f}, {n}) FILTER (WHERE attributes.{f} IS NOT NULL)").alias(f) for f in numbers],
-        F.expr(f"coalesce(min_by(attributes.raw, {n}) FILTER (WHERE attributes.raw <> ''), '')").alias("raw"),
+        F.expr(f"coalesce(min_by(attributes.raw, {stated_raw}, '')").alias("raw"),
+        F.expr(f"coalesce(min_by(raw_folded, {stated_raw}, '')").alias("raw_folded"),
         F.array_sort(F.collect_list(n)).alias("source_rows"),
         # Only rows that have issues travel; most have none.
         F.array_sort(F.collect_list(F.when(F.size("issues") > 0, F.struct(n, "issues")))).alias("row_issues"),
@@ -64,7 +77,8 @@ def merge_same_sku(records: DataFrame) -> DataFrame:
         )
         for f in FIELDS
     ]
-    products = merged.select(
+    attributes = F.struct("storage_temperature_c", *flags, "shelf_life_months", "raw")
+    return merged.select(
         F.col("sku").alias("canonical_sku"),
         "first_row",
         "name",
@@ -73,7 +87,7 @@ def merge_same_sku(records: DataFrame) -> DataFrame:
         F.col("cat.s").alias("category_source"),
         "package",
         "price",
-        F.struct("storage_temperature_c", *flags, "shelf_life_months", "raw").alias("attributes"),
+        attributes.alias("attributes"),
         "source_rows",
         F.array().cast("array<string>").alias("alias_skus"),
         F.when(several, F.array(note)).otherwise(F.array().cast("array<string>")).alias("resolution_notes"),
@@ -81,36 +95,40 @@ def merge_same_sku(records: DataFrame) -> DataFrame:
             F.flatten(F.transform("row_issues", lambda x: x["issues"])),
             parse.issues(*conflicts, parse.implausible_package(F.col("cat.c"), F.col("package"))),
         ).alias("issues"),
+        *[f"{f}_key" for f in plain],
+        parse.blank_to_null(F.lower("cat.c")).alias("category_key"),
+        parse.attributes_key(attributes, F.col("raw_folded")).alias("attributes_key"),
     )
-    return products
 
 
 def fold_variants(products: DataFrame) -> DataFrame:
     """Variants of a base, in order of first appearance, each compared with the base as it then is.
 
     A variant that agrees with the base in all fields (silence agrees) becomes an alias and fills
-    what the base lacks; one that differs stays and says why. The fold over a base's variants is
-    sequential by nature: one accumulator per base, in one native `aggregate`.
+    what the base lacks; one that differs stays and says why. A base and its variants meet in one
+    group, so there is one shuffle; the fold over them is sequential by nature: one accumulator per
+    base, in one native `aggregate`. Numbers without a base of their own pass through.
     """
-    keyed = with_keys(products)
+    return _folded(with_keys(products), products.columns)
+
+
+def _folded(keyed: DataFrame, columns: list[str]) -> DataFrame:
     base_of = parse.blank_to_null(F.regexp_extract("canonical_sku", VARIANT, 1))
-    variants = keyed.withColumn("base_sku", base_of).filter(F.col("base_sku").isNotNull())
-    by_base = variants.groupBy("base_sku").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    F.col("first_row").alias("at"),
-                    F.struct(*[F.col(c) for c in keyed.columns]).alias("v"),
-                )
-            )
-        ).alias("variants")
-    )
-    carried = [c for c in keyed.columns if c not in ("canonical_sku", "first_row")]
-    none = F.array().cast("array<struct<sku:string,fields:array<string>>>")
-    bases = keyed.join(by_base, F.col("canonical_sku") == F.col("base_sku"))
-    start = F.struct(
-        *[F.col(c) for c in carried], F.array().cast("array<string>").alias("merged"), none.alias("refused")
+    whole = F.struct(*[F.col(c) for c in columns], *KEYS)
+    grouped = (
+        keyed.withColumn("base_sku", base_of)
+        .groupBy(F.coalesce("base_sku", "canonical_sku").alias("group_sku"))
+        .agg(
+            F.first(F.when(F.col("base_sku").isNull(), whole), ignorenulls=True).alias("base"),
+            F.array_sort(
+                F.collect_list(F.when(F.col("base_sku").isNotNull(), F.struct(F.col("first_row").alias("at"), whole.alias("v"))))
+            ).alias("variants"),
+        )
     )
+    out = F.struct(*[F.col(f"base.{c}") for c in columns])
+    carried = [c for c in (*columns, *KEYS) if c not in ("canonical_sku", "first_row")]
+    shape = keyed.select(F.array(F.struct(*[F.col(c) for c in columns])).alias("x")).schema["x"].dataType
+    start = F.struct(*[F.col(f"base.{c}").alias(c) for c in carried], F.array().cast(shape).alias("refused"))
 
     def step(acc: Column, item: Column) -> Column:
         v = item["v"]
@@ -122,7 +140,7 @@ def fold_variants(products: DataFrame) -> DataFrame:
             F.lit("near-duplicate: "),
             v["canonical_sku"],
             F.lit(" kept as an alias of "),
-            F.col("base_sku"),
+            F.col("group_sku"),
             F.lit("; all normalized fields are identical"),
         )
         lists = {
@@ -139,53 +157,36 @@ def fold_variants(products: DataFrame) -> DataFrame:
             silent = acc["category"].isNull() if field == "category" else acc[f"{field}_key"].isNull()
             return F.when(joins & silent, v[c]).otherwise(acc[c])
 
-        refusal = F.array(F.struct(v["canonical_sku"].alias("sku"), differing.alias("fields")))
+        complaint = F.concat(
+            v["canonical_sku"],
+            F.lit(" looks like a variant of "),
+            F.col("group_sku"),
+            F.lit(" but "),
+            F.array_join(differing, ", "),
+            F.lit(" differ"),
+        )
+        told = F.concat(v["issues"], F.array(parse.issue("variant_sku_not_merged", complaint)).cast(f"array<{parse.ISSUE}>"))
+        refusal = F.array(F.struct(*[(told if c == "issues" else v[c]).alias(c) for c in columns]))
         return F.struct(
             *[after(c).alias(c) for c in carried],
-            F.when(joins, F.concat(acc["merged"], F.array(v["canonical_sku"]))).otherwise(acc["merged"]).alias("merged"),
             F.when(joins, acc["refused"]).otherwise(F.concat(acc["refused"], refusal)).alias("refused"),
         )
 
-    folded = bases.select("canonical_sku", "first_row", F.aggregate("variants", start, step).alias("f"))
-    verdicts = (
-        folded.select(
-            F.col("canonical_sku").alias("base_sku"),
-            F.explode(
-                F.concat(
-                    F.transform("f.merged", lambda s: F.struct(s.alias("sku"), F.lit(None).cast("array<string>").alias("fields"))),
-                    F.col("f.refused"),
-                )
-            ).alias("x"),
-        )
-        .select(F.col("x.sku").alias("canonical_sku"), "base_sku", F.col("x.fields").alias("fields"))
-        .withColumn("judged", F.lit(True))
-    )
-    complaint = F.concat(
-        F.col("canonical_sku"),
-        F.lit(" looks like a variant of "),
-        F.col("base_sku"),
-        F.lit(" but "),
-        F.array_join("fields", ", "),
-        F.lit(" differ"),
+    fold_of = F.aggregate("variants", start, step)
+    judged = grouped.withColumn("f", F.when(F.col("base").isNotNull() & (F.size("variants") > 0), fold_of))
+    updated = F.struct(*[(F.col(f"base.{c}") if c in ("canonical_sku", "first_row") else F.col(f"f.{c}")).alias(c) for c in columns])
+    lone = F.transform("variants", lambda x: F.struct(*[x["v"][c].alias(c) for c in columns]))
+    rows = (
+        F.when(F.col("base").isNull(), lone)
+        .when(F.col("f").isNull(), F.array(out))
+        .otherwise(F.concat(F.array(updated), F.col("f.refused")))
     )
-    # Bases are replaced by their fold; judged variants go, or stay with a reason; the rest is untouched.
-    updated = folded.select("canonical_sku", F.col("f").alias("f"))
-    out = products.join(verdicts, "canonical_sku", "left").filter(F.col("judged").isNull() | F.col("fields").isNotNull())
-    out = out.join(updated, "canonical_sku", "left")
-    columns = []
-    for c in products.columns:
-        if c in ("canonical_sku", "first_row"):
-            columns.append(F.col(c))
-            continue
-        own = F.col(c)
-        if c == "issues":
-            own = F.concat(own, parse.issues((F.col("fields").isNotNull(), "variant_sku_not_merged", complaint)))
-        columns.append(F.when(F.col("f").isNotNull(), F.col(f"f.{c}")).otherwise(own).alias(c))
-    return out.select(*columns)
+    return judged.select(F.inline(rows))
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    return fold_variants(merge_same_sku(records))
+    merged = _merged(records)
+    return _folded(merged, [c for c in merged.columns if c not in KEYS])
 
 
 def identifiers(products: DataFrame) -> DataFrame:

@@ -37,17 +37,25 @@ def exact(products: DataFrame, names: DataFrame, sku: str) -> DataFrame:
     )
 
 
-def top_k(products: DataFrame, vectors: DataFrame, query: list[float], limit: int, condition: Column) -> DataFrame:
-    """The `limit` best products of those that pass `condition`; ties go to the smaller number."""
+def scored(table: DataFrame, vector: str, query: list[float], condition: Column) -> DataFrame:
+    """The rows that pass `condition`, with score in place of their vector."""
     literal = F.array(*map(F.lit, query))
-    return (
-        products.filter(condition)
-        .join(vectors.select("canonical_sku", "vector"), "canonical_sku")
-        .withColumn("score", dot(F.col("vector"), literal))
-        .drop("vector")
-        .orderBy(F.desc("score"), "canonical_sku")
-        .limit(limit)
-    )
+    return table.filter(condition).withColumn("score", dot(F.col(vector), literal)).drop(vector)
+
+
+def best(rows: DataFrame, limit: int) -> DataFrame:
+    """Ties go to the smaller number."""
+    return rows.orderBy(F.desc("score"), "canonical_sku").limit(limit)
+
+
+def top_k(products: DataFrame, vectors: DataFrame, query: list[float], limit: int, condition: Column) -> DataFrame:
+    """The `limit` best products of those that pass `condition`.
+
+    Only numbers and vectors meet and are ranked; whole products are read for the hits alone.
+    """
+    passing = products.filter(condition).select("canonical_sku").join(vectors.select("canonical_sku", "vector"), "canonical_sku")
+    hits = best(scored(passing, "vector", query, F.lit(True)), limit)
+    return best(products.join(F.broadcast(hits), "canonical_sku"), limit)
 
 
 def strongest_fields(field_vectors: DataFrame, hits: DataFrame, query: list[float], limit: int = 2) -> DataFrame:

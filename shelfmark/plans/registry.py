@@ -10,12 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from shelfmark.functions import parse, text, vocabulary
 from shelfmark.operators import enrich, normalize, resolve, vectors
 from shelfmark.operators import search as ranking
 from shelfmark.sources import html_cards
+from shelfmark.streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,7 +83,7 @@ def fold_key_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct.withColumn("folded", text.fold(F.col("w"))).groupBy("folded").agg(F.sum("n").alias("n"))
 
 
-LABELS = list(vocabulary.CATEGORY_SPELLINGS)[::3] + ["", " PCR   Reagents ", "unheard of"]
+LABELS = list(vocabulary.CATEGORY_SPELLINGS) + ["", " PCR   Reagents ", "unheard of"]
 
 
 @query(
@@ -176,9 +176,7 @@ PHRASES = [
 def flag_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _nth(PHRASES, F.col("p_partkey"))
     parsed = _read(spark, sf_dir, "part").select("p_partkey", parse.attributes_of(raw, text.casefold(text.squash(raw))).alias("a"))
-    return parsed.select("p_partkey", "a.*").drop("raw").join(
-        parsed.select("p_partkey", parse.understood_nothing(F.col("a")).alias("understood_nothing")), "p_partkey"
-    )
+    return parsed.select("p_partkey", "a.*", parse.understood_nothing(F.col("a")).alias("understood_nothing")).drop("raw")
 
 
 @query(
@@ -237,40 +235,6 @@ def dedupe_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    """SELECT source, bool_or(toxic = 1) AS any_toxic, arg_min(quality, doc_id) FILTER (WHERE quality = 0) AS first_bad,
-        min(doc_id) AS first_doc FROM labels JOIN documents USING (doc_id) GROUP BY source"""
-)
-def merge_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "source")
-    return (
-        _read(spark, sf_dir, "labels")
-        .join(docs, "doc_id")
-        .groupBy("source")
-        .agg(
-            F.bool_or(F.col("toxic") == 1).alias("any_toxic"),
-            F.expr("min_by(quality, doc_id) FILTER (WHERE quality = 0)").alias("first_bad"),
-            F.min("doc_id").alias("first_doc"),
-        )
-    )
-
-
-@query(
-    """SELECT p_name, array_to_string(list_concat(
-        CASE WHEN count(DISTINCT p_brand) > 1 THEN ['p_brand: ' || string_agg(DISTINCT p_brand, ', ' ORDER BY p_brand)] ELSE CAST([] AS VARCHAR[]) END,
-        CASE WHEN count(DISTINCT p_type) > 1 THEN ['p_type: ' || string_agg(DISTINCT p_type, ', ' ORDER BY p_type)] ELSE CAST([] AS VARCHAR[]) END
-        ), ' | ') AS conflicts, count(*) AS n FROM part GROUP BY p_name"""
-)
-def conflict_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = _read(spark, sf_dir, "part").groupBy("p_name").agg(
-        *[F.array_sort(F.collect_set(c)).alias(c) for c in ("p_brand", "p_type")], F.count("*").alias("n")
-    )
-    told = [
-        F.when(F.size(c) > 1, F.concat(F.lit(f"{c}: "), F.array_join(c, ", "))) for c in ("p_brand", "p_type")
-    ]
-    return grouped.select("p_name", F.concat_ws(" | ", *told).alias("conflicts"), "n")
-
-
 _VARIANT_SKU = """'PA-' || CAST(p_partkey // 4 AS VARCHAR) || (['', 'A', '-2', '-3X'])[p_partkey % 4 + 1]"""
 
 
@@ -279,74 +243,6 @@ def _variant_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "part").withColumn("sku", sku)
 
 
-@query(
-    f"""WITH p AS (SELECT p_partkey, {_VARIANT_SKU} AS sku FROM part)
-        SELECT v.sku, b.sku AS base_sku, b.p_partkey AS base_partkey FROM p v JOIN p b
-        ON b.sku = regexp_extract(v.sku, '^([A-Z]{{2}}-[0-9]+)([A-Z]|-[0-9]+)$', 1)"""
-)
-def variant_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = _variant_parts(spark, sf_dir).select("p_partkey", "sku")
-    base = parse.blank_to_null(F.regexp_extract("sku", resolve.VARIANT, 1))
-    variants = parts.select("sku", base.alias("base_sku")).filter(F.col("base_sku").isNotNull())
-    return variants.join(parts.select(F.col("sku").alias("base_sku"), F.col("p_partkey").alias("base_partkey")), "base_sku")
-
-
-@query(
-    f"""WITH p AS (SELECT *, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS brand, {_VARIANT_SKU} AS sku FROM part)
-        SELECT v.sku, (v.brand IS NULL OR b.brand IS NULL OR v.brand = b.brand) AND (v.p_size = b.p_size OR v.p_partkey % 5 = 0) AS agrees
-        FROM p v JOIN p b ON b.sku = regexp_extract(v.sku, '^([A-Z]{{2}}-[0-9]+)([A-Z]|-[0-9]+)$', 1)"""
-)
-def variant_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = _variant_parts(spark, sf_dir).select(
-        "sku",
-        F.when(F.col("p_partkey") % 3 != 0, F.col("p_brand")).alias("brand"),
-        F.when(F.col("p_partkey") % 5 != 0, F.col("p_size")).alias("size"),
-        "p_size",
-    )
-    base = parse.blank_to_null(F.regexp_extract("sku", resolve.VARIANT, 1))
-    variants = parts.withColumn("base_sku", base).filter(F.col("base_sku").isNotNull())
-    bases = parts.select(F.col("sku").alias("base_sku"), F.col("brand").alias("b_brand"), F.col("p_size").alias("b_size"))
-    agrees = F.coalesce(F.col("brand") == F.col("b_brand"), F.lit(True)) & F.coalesce(
-        F.col("size") == F.col("b_size"), F.lit(True)
-    )
-    return variants.join(bases, "base_sku").select("sku", agrees.alias("agrees"))
-
-
-def _part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw catalogue rows made of the part table: duplicate numbers, variants, gaps in every field."""
-    parts = _variant_parts(spark, sf_dir)
-    key = F.col("p_partkey")
-    return parts.select(
-        (key + 1).alias("row_number"),
-        F.concat(F.lit("Item "), F.expr("p_partkey div 4").cast("string")).alias("name"),
-        F.when(key % 7 == 6, F.concat(F.lit("PA-"), F.expr("p_partkey div 4").cast("string"))).otherwise(F.col("sku")).alias("sku"),
-        F.lit("Maker").alias("manufacturer"),
-        _nth(["pomiary", "", "odczynniki", "unheard of"], F.expr("p_partkey div 3")).alias("category"),
-        F.replace(_nth(PACKAGES, F.expr("p_partkey div 4")), F.lit("{}"), F.lit("5")).alias("package"),
-        F.when(key % 4 != 0, F.replace(_nth(PRICES, F.expr("p_partkey div 2")), F.lit("{}"), F.lit("9"))).otherwise("").alias("price"),
-        _nth(PHRASES, key).alias("attributes"),
-    )
-
-
-@query(None)
-def catalogue_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole build over rows made of the part table, nested columns as JSON."""
-    products = resolve.resolve(normalize.normalize(_part_rows(spark, sf_dir)))
-    keep = {"ignoreNullFields": "false"}
-    return products.select(
-        "canonical_sku",
-        "category",
-        "category_source",
-        parse.package_text(F.col("package")).alias("package"),
-        parse.price_text(F.col("price")).alias("price"),
-        F.to_json("attributes", keep).alias("attributes"),
-        F.array_join(F.col("source_rows").cast("array<string>"), ",").alias("source_rows"),
-        F.array_join("alias_skus", ",").alias("aliases"),
-        F.array_join("resolution_notes", " | ").alias("notes"),
-        F.array_join(F.transform("issues", parse.issue_text), " | ").alias("issues"),
-    )
-
-
 @query(
     f"""WITH p AS (SELECT p_partkey, {_VARIANT_SKU} AS sku, 'PA-' || p_partkey // 4 AS base,
             CASE WHEN p_partkey % 3 <> 0 THEN CAST(p_size % 2 AS VARCHAR) END AS price FROM part),
@@ -490,22 +386,6 @@ def key_match_exact_then_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.match_cards(cards, known).select("ordinal", "card_sku", "matched_sku", "match_rule")
 
 
-@query(
-    """SELECT conv_id, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rn FROM conversations) WHERE rn = 1"""
-)
-def first_card_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First in order per key, as one aggregate: the losers never leave their map tasks."""
-    turns = _read(spark, sf_dir, "conversations")
-    first = turns.groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text")).alias("t"))
-    return first.select("conv_id", "t.role", "t.text")
-
-
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
-def unmatched_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _read(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
-    return _read(spark, sf_dir, "customer").select("c_custkey", "c_name").join(orders, "c_custkey", "left_anti")
-
-
 @query(
     """WITH i AS (SELECT 'PA-' || p_partkey AS sku, 'canonical' AS kind, p_partkey FROM part
         UNION ALL SELECT 'PA-' || p_partkey || 'A', 'alias', p_partkey FROM part WHERE p_partkey % 5 = 0)
@@ -531,23 +411,12 @@ _SQL_VECTOR = "[" + ", ".join(f"{x}::DOUBLE" for x in QUERY_VECTOR) + "]"
 _SQL_SCORE = f"list_dot_product(CAST(embedding AS DOUBLE[]), {_SQL_VECTOR})"
 
 
-def _score() -> Column:
-    return vectors.dot(F.col("embedding"), F.array(*map(F.lit, QUERY_VECTOR)))
-
-
-@query(
-    f"""SELECT vec_id, round({_SQL_SCORE}, 6) AS score FROM embeddings WHERE label = 3
-        ORDER BY round({_SQL_SCORE}, 6) DESC, vec_id LIMIT 10"""
-)
+@query(f"SELECT vec_id, round({_SQL_SCORE}, 6) AS score FROM embeddings WHERE label = 3 ORDER BY {_SQL_SCORE} DESC, vec_id LIMIT 10")
 def filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The filter is pushed to the scan, the rest is a partial top-k in every task."""
-    return (
-        _read(spark, sf_dir, "embeddings")
-        .filter("label = 3")
-        .select("vec_id", F.round(_score(), 6).alias("score"))
-        .orderBy(F.desc("score"), "vec_id")
-        .limit(10)
-    )
+    """The ranking of the search. The filter is pushed to the scan, the rest is a partial top-k in every task."""
+    table = _read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "canonical_sku")
+    hits = ranking.best(ranking.scored(table, "embedding", QUERY_VECTOR, F.col("label") == 3), 10)
+    return hits.select(F.col("canonical_sku").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
 @query(
@@ -562,40 +431,16 @@ def centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT label, vec_id, place, score FROM (SELECT label, vec_id, round({_SQL_SCORE}, 6) AS score,
-        CAST(row_number() OVER (PARTITION BY label ORDER BY round({_SQL_SCORE}, 6) DESC, vec_id) AS INTEGER) AS place FROM embeddings) WHERE place <= 2"""
+    f"""SELECT CAST(label AS VARCHAR) AS label, string_agg(vec_id || ' ' || printf('%.2f', score), ', ' ORDER BY place) AS drivers FROM (SELECT label, vec_id,
+        {_SQL_SCORE} AS score, row_number() OVER (PARTITION BY label ORDER BY {_SQL_SCORE} DESC, CAST(vec_id AS VARCHAR)) AS place FROM embeddings) WHERE place <= 2 GROUP BY 1"""
 )
 def top2_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("label").orderBy(F.desc("score"), "vec_id")
-    scored = _read(spark, sf_dir, "embeddings").select("label", "vec_id", F.round(_score(), 6).alias("score"))
-    return scored.withColumn("place", F.row_number().over(order)).filter("place <= 2").select("label", "vec_id", "place", "score")
-
-
-def _hybrid(number: str) -> str:
-    return f"""WITH e AS (SELECT p_partkey AS id, 1.0::DOUBLE AS score, 'exact' AS how FROM part WHERE 'PA-' || p_partkey = '{number}'),
-        s AS (SELECT vec_id AS id, round({_SQL_SCORE}, 6) AS score, 'semantic' AS how FROM embeddings
-        WHERE NOT EXISTS (SELECT 1 FROM e) ORDER BY 2 DESC, 1 LIMIT 5) SELECT * FROM e UNION ALL SELECT * FROM s"""
-
-
-def _route(spark: SparkSession, sf_dir: str, number: str) -> DataFrame:
-    """Exact hits, or else the ranking: never a mixture of both."""
-    name = F.concat(F.lit("PA-"), F.col("p_partkey").cast("string"))
-    hit = _read(spark, sf_dir, "part").filter(name == number)
-    exact = hit.select(F.col("p_partkey").alias("id"), F.lit(1.0).alias("score"), F.lit("exact").alias("how"))
-    if exact.limit(1).count():
-        return exact
-    scored = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.round(_score(), 6).alias("score"))
-    return scored.withColumn("how", F.lit("semantic")).orderBy(F.desc("score"), "id").limit(5)
-
-
-@query(_hybrid("PA-7"))
-def hybrid_router_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _route(spark, sf_dir, "PA-7")
-
-
-@query(_hybrid("PA-none"))
-def hybrid_router_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _route(spark, sf_dir, "PA-none")
+    """The evidence of the search: labels as hits, their vectors as fields."""
+    table = _read(spark, sf_dir, "embeddings")
+    names = [F.col("label").cast("string").alias("canonical_sku"), F.col("vec_id").cast("string").alias("field")]
+    fields = table.select(*names, F.col("embedding").alias("vector"))
+    hits = fields.select("canonical_sku").distinct()
+    return ranking.strongest_fields(fields, hits, QUERY_VECTOR).withColumnRenamed("canonical_sku", "label")
 
 
 @query(
@@ -609,7 +454,7 @@ def explanation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _read(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("canonical_sku"),
         "label",
-        F.round(_score(), 4).alias("score"),
+        F.round(vectors.dot(F.col("embedding"), F.array(*map(F.lit, QUERY_VECTOR))), 4).alias("score"),
         F.when(F.col("label") % 2 == 0, F.concat(F.lit("L"), label)).alias("category"),
         F.when(F.col("label") % 4 == 0, "inferred_from_product_name").otherwise("row").alias("category_source"),
         F.when(F.col("label") % 3 == 0, F.struct(F.lit("runtime_input").alias("match_rule"))).alias("enrichment"),
@@ -628,11 +473,11 @@ def explanation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adds and deletes: the last event of a key decides, and a delete (every third event) removes it."""
     events = _read(spark, sf_dir, "events")
-    last = events.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("e"))
-    return last.filter(F.col("e.event_id") % 3 != 0).select("user_id", "e.event_type", "e.event_id")
+    last = state.newest(events, "user_id", ["ts", "event_id"], ["event_type"])
+    return last.filter(F.col("event_id") % 3 != 0).select("user_id", "event_type", "event_id")
 
 
-_TABLES = "customer documents embeddings events lineitem nation orders pages part region supplier".split()
+_TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in _TABLES))

@@ -1,13 +1,17 @@
 """A durable catalogue on immutable files: segments, tombstones, an event log and versioned manifests.
 
-Every change writes new Parquet folders and then one manifest, ``manifests/<n>.json``, created with
-an exclusive create: the state is what the highest manifest names, two writers cannot both publish
-version n, and a failed change leaves unreferenced files behind but never a half state.
+Every change writes new Parquet folders and then one manifest, ``manifests/<n>.json``, renamed into
+place: the state is what the highest manifest names, and a failed change leaves unreferenced files
+behind but never a half state. Two writers of version n are told apart by the rename, which HDFS
+refuses if the target exists. Where the file system's rename is no such step (object stores, and
+local folders seen from several processes) there must be one writing process; within a process a
+lock keeps writers apart. After `COMPACT_SEGMENTS` adds the segments are written together again.
 """
 
 from __future__ import annotations
 
 import json
+import threading
 import uuid
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
@@ -25,6 +29,8 @@ from shelfmark.operators.resolve import identifiers
 from shelfmark.plans.catalogue import Catalogue
 
 SCHEMA_VERSION, SCHEMA_ID = "1", "shelfmark-catalogue"
+COMPACT_SEGMENTS = 32
+_publishing = threading.Lock()
 
 
 class ProductConflict(ValueError):
@@ -62,6 +68,11 @@ class DeletedProduct:
     alias_skus: list[str]
 
 
+def _json(value) -> str:
+    """Compact, with non-ASCII characters as they are; decimals as texts."""
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"), default=str)
+
+
 def _now() -> str:
     return datetime.now(UTC).isoformat()
 
@@ -106,9 +117,11 @@ class CatalogueStore:
         target = self._jvm_path(f"{self.path}/manifests/{version:010d}.json")
         draft = self._jvm_path(f"{self.path}/manifests/.draft-{uuid.uuid4().hex}")
         out = self._fs.create(draft, False)
-        out.write(bytearray(json.dumps(state, ensure_ascii=False).encode()))
+        out.write(bytearray(_json(state).encode()))
         out.close()
-        if self._fs.exists(target) or not self._fs.rename(draft, target):
+        with _publishing:
+            done = not self._fs.exists(target) and self._fs.rename(draft, target)
+        if not done:
             self._fs.delete(draft, False)
             raise ConcurrentWrite(f"version {version} was published by another writer")
 
@@ -141,6 +154,33 @@ class CatalogueStore:
         table = self.products()
         return table.count() if table is not None else 0
 
+    def identifiers(self) -> DataFrame | None:
+        """sku, kind and canonical_sku of every number that names a product now."""
+        table = self.products()
+        return identifiers(table) if table is not None else None
+
+    def product_vectors(self) -> DataFrame | None:
+        return self._table(self._state()[1], "vectors")
+
+    def field_vectors(self) -> DataFrame | None:
+        return self._table(self._state()[1], "fields")
+
+    def records(self) -> DataFrame | None:
+        """The normalized rows that were seeded, for lineage."""
+        name = self._state()[1].get("records")
+        return self._load([name]) if name else None
+
+    def candidates(self) -> DataFrame | None:
+        """Cards that matched no product when the store was seeded."""
+        name = self._state()[1].get("candidates")
+        return self._load([name]) if name else None
+
+    def metadata(self) -> dict:
+        """What the store was made with: versions, model, recipe, dimension, and whether it was seeded."""
+        state = self._state()[1]
+        keys = ("schema_version", "schema_id", "embedding_model", "embedding_recipe", "dimensions", "seeded")
+        return {k: state[k] for k in keys}
+
     def events(self) -> DataFrame | None:
         names = self._state()[1]["events"]
         return self._load(names) if names else None
@@ -162,7 +202,7 @@ class CatalogueStore:
         fields = embedding.embed_fields(embedding.searchable_fields(stored), self.embedder)
         ids = stored.select("canonical_sku", "product_id")
         names["fields"] = self._save(fields.join(ids, "canonical_sku"), "fields")
-        mean = embedding.centroids(self._load([names["fields"]]), "canonical_sku")
+        mean = embedding.product_vectors(self._load([names["fields"]]))
         names["vectors"] = self._save(mean.join(ids, "canonical_sku"), "vectors")
         dims = self._load([names["vectors"]]).agg(F.min("dims"), F.max("dims")).collect()[0]
         if dims[0] is not None:
@@ -172,7 +212,7 @@ class CatalogueStore:
         return names
 
     def _event(self, action: str, sku: str | None, payload: dict) -> str:
-        row = [(action, sku, _now(), json.dumps(payload, ensure_ascii=False, default=str))]
+        row = [(action, sku, _now(), _json(payload))]
         return self._save(self.spark.createDataFrame(row, "action string, canonical_sku string, occurred_at string, payload_json string"), "events")
 
     def seed(self, catalogue: Catalogue) -> None:
@@ -204,10 +244,19 @@ class CatalogueStore:
         if table is not None and identifiers(table).filter(F.col("sku") == row["canonical_sku"]).limit(1).count():
             raise ProductConflict(f"SKU {row['canonical_sku']} already exists")
         segment = self._segment(product, "runtime", state)
+        if len(state["segments"]) >= COMPACT_SEGMENTS:
+            state |= self._compacted(state)
         event = self._event("add", row["canonical_sku"], row.asDict(recursive=True))
         self._publish(version + 1, state | {"segments": [*state["segments"], segment], "events": [*state["events"], event]})
         return row
 
+    def _compacted(self, state: dict) -> dict:
+        """The live rows of all segments as one, and no tombstones. Old files stay for readers of old versions."""
+        return {
+            "segments": [{kind: self._save(self._table(state, kind), kind) for kind in ("products", "fields", "vectors")}],
+            "deleted": [],
+        }
+
     def delete(self, sku: str) -> DeletedProduct:
         """Remove a product by its number or an alias; the event keeps the whole product."""
         version, state = self._state()

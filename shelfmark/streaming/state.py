@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,18 +18,31 @@ def newest(events: DataFrame, key: str, order: list[str], carry: list[str]) -> D
 
 
 def publish(state: DataFrame, path: str, checkpoint: str, removed: Column) -> StreamingQuery:
-    """Write the state without removed keys after each batch; readers take the highest version folder.
+    """After each batch, write the keys that it changed as a folder of its own; see `current`.
 
     A batch that runs again after a failure overwrites its own version, so each counts once.
     """
 
     def write(batch: DataFrame, version: int) -> None:
-        batch.filter(~removed).write.mode("overwrite").parquet(f"{path}/version={version:010d}")
+        batch.withColumn("removed", removed).write.mode("overwrite").parquet(f"{path}/version={version:010d}")
 
     return (
-        state.writeStream.outputMode("complete")
+        state.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(write)
         .start()
     )
+
+
+def current(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The state now: of each key the row of its highest version, without removed keys."""
+    versions = spark.read.parquet(path)
+    rest = [c for c in versions.columns if c not in (key, "version")]
+    latest = versions.groupBy(key).agg(F.max_by(F.struct(*rest), "version").alias("latest"))
+    return latest.filter(~F.col("latest.removed")).select(key, *[F.col(f"latest.{c}").alias(c) for c in rest if c != "removed"])
+
+
+def compact(spark: SparkSession, path: str, key: str, into: str) -> None:
+    """Write the state now as one version in a new place, for readers to go on from."""
+    current(spark, path, key).withColumn("removed", F.lit(False)).write.parquet(f"{into}/version={0:010d}")

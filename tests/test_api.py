@@ -1,13 +1,14 @@
 import io
 import json
+import threading
 
 from pyspark.sql import functions as F
 
 from shelfmark.api import Api
 from shelfmark.store import CatalogueStore
-from shelfmark.streaming.state import newest, publish
+from shelfmark.streaming.state import compact, current, newest, publish
 
-from test_store import Keywords
+from test_store import Keywords, catalogue  # noqa: F401
 
 
 def call(api, method, path, query="", data=None):
@@ -45,7 +46,30 @@ def test_streamed_state_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
     out = str(tmp_path / "out")
     publish(newest(stream, "k", ["at"], ["action"]), out, str(tmp_path / "cp"), F.col("action") == "delete").awaitTermination(120)
-    versions = spark.read.parquet(out)
-    last = versions.filter(F.col("version") == versions.agg(F.max("version")).collect()[0][0]).drop("version")
-    batch = newest(events, "k", ["at"], ["action"]).filter("action <> 'delete'")
-    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, batch.collect()))
+    batch = sorted(map(tuple, newest(events, "k", ["at"], ["action"]).filter("action <> 'delete'").collect()))
+    assert sorted(map(tuple, current(spark, out, "k").select("k", "at", "action").collect())) == batch
+    compact(spark, out, "k", str(tmp_path / "small"))
+    assert sorted(map(tuple, current(spark, str(tmp_path / "small"), "k").select("k", "at", "action").collect())) == batch
+
+
+def test_page_and_seeding_on_first_request(spark, tmp_path, catalogue):
+    opened = []
+
+    def build():
+        opened.append(1)
+        return catalogue
+
+    api = Api(lambda: CatalogueStore(spark, str(tmp_path / "s"), Keywords()), build)
+    seen = []
+    environ = {"REQUEST_METHOD": "GET", "PATH_INFO": "/", "wsgi.input": io.BytesIO()}
+    page = b"".join(api(environ, lambda status, headers: seen.append((status, dict(headers)["Content-Type"]))))
+    assert seen == [("200 OK", "text/html; charset=utf-8")] and b"/api/search" in page and not opened
+    threads = [threading.Thread(target=lambda: api.store) for _ in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert opened == [1] and api.store.count_products() == 2
+    again = Api(lambda: CatalogueStore(spark, str(tmp_path / "s"), Keywords()), build)
+    assert again.store.seeded and opened == [1]
+    assert call(api, "PUT", "/")[0] == 405

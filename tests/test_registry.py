@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from shelfmark.plans import registry
+from shelfmark.plans import registry, serving  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

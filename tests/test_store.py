@@ -116,3 +116,35 @@ def test_stale_writer_is_refused(spark, tmp_path, catalogue):
     store._publish(version + 1, state)
     with pytest.raises(ConcurrentWrite):
         store._publish(version + 1, state)
+
+
+def test_segments_are_compacted(spark, tmp_path, catalogue, monkeypatch):
+    from shelfmark import store as module
+
+    monkeypatch.setattr(module, "COMPACT_SEGMENTS", 2)
+    store = CatalogueStore(spark, str(tmp_path / "s"), Keywords())
+    store.seed(catalogue)
+    store.add(ProductInput("A-1", "cold a", "m"))
+    store.delete("XX-10002")
+    store.add(ProductInput("A-2", "cold b", "m"))
+    state = store._state()[1]
+    assert len(state["segments"]) == 2 and state["deleted"] == []
+    assert {r["canonical_sku"] for r in store.products().collect()} == {"XX-10001", "A-1", "A-2"}
+    assert {h["canonical_sku"] for h in store.search("cold").collect()} == {"XX-10001", "A-1", "A-2"}
+    assert store.metadata()["dimensions"] == 2 and store.records().count() == 3 and store.candidates().count() == 0
+
+
+def test_vectors_of_products_and_groups(spark):
+    from shelfmark.operators.vectors import centroids, product_vectors
+
+    rows = [("a", "x", [3.0, 0.0]), ("a", "y", [0.0, 4.0]), ("b", "x", [0.0, 2.0])]
+    fields = spark.createDataFrame(rows, "canonical_sku string, field string, vector array<double>")
+    want = {"a": [0.6, 0.8], "b": [0.0, 1.0]}
+    for found in (product_vectors(fields), centroids(fields, "canonical_sku")):
+        assert {r["canonical_sku"]: [round(x, 9) for x in r["vector"]] for r in found.collect()} == want
+    bad = fields.unionAll(spark.createDataFrame([("a", "z", [1.0])], fields.schema))
+    with pytest.raises(Exception, match="dimensions differ"):
+        product_vectors(bad).collect()
+    with pytest.raises(RuntimeError, match="dimensions differ"):
+        centroids(bad, "canonical_sku")
+    assert centroids(fields.limit(0), "canonical_sku").count() == 0 and product_vectors(fields.limit(0)).count() == 0
