@@ -160,9 +160,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, train_rows:
 
 
 def one_of_each(sample: DataFrame, value: str) -> DataFrame:
-    """h, `value`, y and fold of one row for each id; copies go in the map tasks already."""
+    """doc_id, `value`, y and fold of one row for each id; copies go in the map tasks already."""
     least = sample.groupBy("doc_id", "y", "fold").agg(F.min(F.struct("h", value)).alias("t"))
-    return least.select("t.h", f"t.{value}", "y", "fold")
+    return least.select("doc_id", f"t.{value}", "y", "fold")
 
 
 def _stats_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,10 @@ def _matrix(column) -> np.ndarray:
 
 
 def _summed(rows: DataFrame, shape: tuple[int, int], add) -> np.ndarray:
-    """The sum of add(stats, y) over all rows: one matrix a partition, added in the order of partitions."""
+    """The sum of add(stats, y) over all rows: one matrix a partition, added up in the order of partitions.
+
+    One task adds the partitions' matrices, so the driver gets a single one.
+    """
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, part = np.zeros(shape), None
@@ -190,9 +193,17 @@ def _summed(rows: DataFrame, shape: tuple[int, int], add) -> np.ndarray:
         if part is not None:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "total"])
 
-    dealt = rows.repartition(SUMS, "h").sortWithinPartitions("h", "y").select(F.spark_partition_id().alias("part"), "stats", "y")
-    parts = sorted((r["part"], r["total"]) for r in dealt.mapInArrow(sums, "part int, total binary").collect())
-    return sum((np.frombuffer(p).reshape(shape) for _, p in parts), np.zeros(shape))
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            for one in batch.column(1):
+                total += np.frombuffer(one.as_buffer()).reshape(shape)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+    dealt = rows.repartition(SUMS, "doc_id").sortWithinPartitions("doc_id").select(F.spark_partition_id().alias("part"), "stats", "y")
+    parts = dealt.mapInArrow(sums, "part int, total binary").repartition(1).sortWithinPartitions("part")
+    found = parts.mapInArrow(whole, "total binary").collect()  # one row, or none where Spark sees no input
+    return np.frombuffer(found[0]["total"]).reshape(shape) if found else np.zeros(shape)
 
 
 def ridge(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
