@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from shelfmark.llm import queries, shared
+from shelfmark.llm import licenses, queries, shared
 from test_operators import brute_hits, shingles
 
 SF = "/root/testdata/sf0.001"
@@ -55,6 +55,55 @@ def test_sharding_digests_what_came_out(spark, monkeypatch):
         assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == sorted((d, len(t) + 8, zlib.crc32(t)) for d, t in want.items())
 
 
+@pytest.mark.parametrize("name", ["op2_licenses", "op5_quality", "op7_toxicity", "op9_sharding"])
+def test_queries_without_sql_run(spark, name):
+    """What their contracts say of every row; the operators' values are held against brute force elsewhere."""
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries.QUERIES[name](spark, SF).collect()
+    if name == "op2_licenses":
+        scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
+        want = {(d, f[0]): f[2] for d, t in texts.items() for f in scanner.scan(licenses.words_of(t.encode()))}
+        assert want and {(r["doc_id"], r["license"]): r["matched"] for r in rows} == want
+        return
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    if name == "op9_sharding":
+        assert all(r["law"] == "rows" and r["grown_shard"] is None for r in rows)
+        assert all((r["size"], r["text_crc32"]) == (len(texts[r["doc_id"]].encode()) + 8, zlib.crc32(texts[r["doc_id"]].encode())) for r in rows)
+        by = {s: sorted(r["slot"] for r in rows if r["shard"] == s) for s in range(24)}
+        assert all(v == list(range(len(v))) for v in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+        return
+    cut = 0.3 if name == "op5_quality" else 0.5
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= cut) for r in rows)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+
+
+def test_pipeline_runs_whole(spark):
+    """`run` gives what its stages give one by one, up to the order of rows."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = docs
+    for _, stage in corpus_pipeline.STAGES:
+        want = shared.materialise(stage(spark, want, SF), "stage")
+    got = corpus_pipeline.run(spark, SF)
+    assert got.columns == want.columns
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted((r["doc_id"], r["text"]) for r in want.collect())
+
+
+def test_pipeline_of_empty_and_very_long(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for table in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{table}.parquet").write.parquet(f"{tmp_path}/{table}.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    long = " ".join(f"word{i % 997}x{i}" for i in range(60_000))
+    rows = [(1, long, "en", "s", 1), (2, long + " end", "en", "s", 1), (3, "", "en", "s", 0), (4, None, None, None, None)]
+    odd = spark.createDataFrame(rows, docs.schema)
+    for _, stage in corpus_pipeline.STAGES:
+        out = shared.materialise(stage(spark, odd, SF), "stage")
+        assert out.columns[: len(docs.columns)] == docs.columns and {r["doc_id"] for r in out.collect()} <= {1, 2, 3, 4}
+    kept = dict(corpus_pipeline.STAGES)["MinHash near-dedup"](spark, odd, SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({c: F.lit(7) for c in ("score", "copy", "kept", "n_words")})
     docs = docs.unionAll(docs.limit(3)).unionAll(
