@@ -1,12 +1,14 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
 The patterns are windows of consecutive benchmark words. For each pattern length a shift table,
-keyed by blocks of words, says how far the search may jump; a block with shift zero ends some
-pattern, and its bucket holds those patterns for direct comparison. Texts are searched whole.
+indexed by the hash of a block of words, says how far the search may jump, the least jump of all blocks
+of that hash. A block with shift zero may end a pattern; the hash of the window before it finds the
+bucket of patterns that are compared with it byte by byte. Texts are searched whole.
 
 The tables go to the executors by broadcast, so their source is measured first: benchmark text of
-up to `TABLE_BYTES` is one table. Beyond that the items are cut into overlapping pieces, dealt into
-as many tables of that size as it takes, and each distinct text is searched once for each table.
+up to `TABLE_BYTES` is one table, of some five times that size. Beyond that the items are cut into
+overlapping pieces, dealt into as many tables of that size as it takes, and each distinct text is
+searched once for each table.
 
 Edge cases: null and empty texts have no words, so nothing hits them; very long texts are searched
 whole, in time that grows with their words; an item without words is no
@@ -18,19 +20,22 @@ Extra columns are carried if named in `carry`; the operator's own names win.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import as_bytes, by_value, join_hot, materialise, small_batches, with_text
+from .shared import Shipped, as_bytes, by_value, join_hot, materialise, small_batches, with_text
+from .shingles import Words, grouped, runs, words_in
 
 by_value()
 
-TABLE_BYTES = 2_000_000
+TABLE_BYTES = 4_000_000
 PIECE_WORDS = 4096
 BLOCK = 3
 
@@ -47,44 +52,72 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Matcher:
-    """Shift tables and suffix buckets, one pair for each pattern length."""
-
-    def __init__(self, items: Iterable[tuple[list[bytes], str | None]], window: int):
-        patterns: dict[int, dict[bytes, set]] = {}
-        for words, item in items:
-            size = min(window, len(words))
-            for i in range(len(words) - size + 1 if size else 0):
-                patterns.setdefault(size, {}).setdefault(b" ".join(words[i : i + size]), set()).add(item)
+    """Shift tables and hashed buckets, a pair for each pattern length, over the benchmark's words in one array."""
+
+    def __init__(self, items: list[tuple[bytes, str | None]], window: int):
+        self.names = [name for _, name in items]
+        self.words = words_in([text for text, _ in items], WORD_BYTES)
+        counts = np.bincount(self.words.owner, minlength=len(items))
+        begin = np.cumsum([0, *counts])
+        sizes = np.minimum(counts, window)
         self.tables = []
-        for size, found in sorted(patterns.items()):
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            own = np.flatnonzero(sizes == size)
+            many = counts[own] - size + 1  # windows of each item
+            first = np.repeat(begin[own], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             block = min(BLOCK, size)
-            shift: dict[tuple, int] = {}
-            buckets: dict[tuple, dict[bytes, set]] = {}
-            for pattern, owners in found.items():
-                words = pattern.split()
-                for end in range(block, size + 1):
-                    part = tuple(words[end - block : end])
-                    shift[part] = min(size - end, shift.get(part, size))
-                buckets.setdefault(tuple(words[size - block :]), {})[pattern] = owners
-            self.tables.append((size, block, shift, buckets))
-
-    def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-        """Where patterns occur, as word ranges in order of their end for each length, and their items."""
-        ranges, items, n = [], set(), len(words)
-        for size, block, shift, buckets in self.tables:
-            skip, at, get = size - block + 1, size, shift.get
-            while at <= n:  # `at` is the end of the window under test
-                part = tuple(words[at - block : at])
-                jump = get(part, skip)
-                if jump:
-                    at += jump
-                    continue
-                owners = buckets[part].get(b" ".join(words[at - size : at]))
+            bits = min(24, max(12, int(8 * len(first)).bit_length()))
+            shift = np.full(1 << bits, size - block + 1, dtype=np.min_scalar_type(size))
+            for end in range(block, size + 1):
+                at = runs(self.words.hash, first + end - block, block) & np.uint64((1 << bits) - 1)
+                np.minimum.at(shift, at, size - end)
+            keys = runs(self.words.hash, first, size)
+            order = np.argsort(keys, kind="stable")
+            self.tables.append((size, block, shift, keys[order], first[order].astype(np.int32)))
+        # What a search needs of them: where words are, and whose.
+        self.words = self.words._replace(
+            hash=None, **{k: getattr(self.words, k).astype(np.int32) for k in ("start", "end", "owner")}
+        )
+
+    def search(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], set]]:
+        """Of each text its number of words, where patterns occur, as word ranges, and their items."""
+        return [found for group in grouped(texts, 1_000_000) for found in self._search(group)]
+
+    def _search(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], set]]:
+        words = words_in(texts, WORD_BYTES)
+        counts = np.bincount(words.owner, minlength=len(texts)).tolist()
+        out: list[tuple[int, list[tuple[int, int]], set]] = [(n, [], set()) for n in counts]
+        begin = [0, *itertools.accumulate(counts)]
+        for size, block, shift, keys, first in self.tables:
+            jumps = shift[runs(words.hash, None, block) & np.uint64(len(shift) - 1)].tolist()
+            stops, texts_of = [], []
+            for t, n in enumerate(counts):
+                at, last = begin[t] + size - block, begin[t] + n - block  # the block that ends the window under test
+                while at <= last:
+                    jump = jumps[at]
+                    if jump:
+                        at += jump
+                        continue
+                    stops.append(at + block - size)
+                    texts_of.append(t)
+                    at += 1
+            if not stops:
+                continue
+            asked = runs(words.hash, np.array(stops), size)
+            low, high = np.searchsorted(keys, asked, "left"), np.searchsorted(keys, asked, "right")
+            for i in np.flatnonzero(low < high).tolist():
+                at = stops[i]
+                mine = self._between(words, at, size)
+                owners = {self.names[self.words.owner[f]] for f in first[low[i] : high[i]] if self._between(self.words, f, size) == mine}
                 if owners:
-                    ranges.append((at - size, at))
+                    _, ranges, items = out[texts_of[i]]
+                    ranges.append((at - begin[texts_of[i]], at - begin[texts_of[i]] + size))
                     items |= owners
-                at += 1
-        return ranges, items
+        return out
+
+    @staticmethod
+    def _between(words: Words, at: int, size: int) -> list[bytes]:
+        return words.data[words.start[at] : words.end[at + size - 1]].tobytes().split()
 
 
 def covered(ranges: list[tuple[int, int]]) -> int:
@@ -120,24 +153,21 @@ def find_contamination(
     texts = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text") + 16).alias("n")).collect()[0]["n"] or 0
     if size <= table_bytes:
-        items = [(words_of(r["text"].encode()), r["item"]) for r in texts.collect() if r["text"]]
-        return _one_pass(docs, items, carry, window, text_col)
+        items = [(r["text"].encode(), r["item"]) for r in texts.collect() if r["text"]]
+        return _one_pass(docs, Matcher(items, window), carry, text_col)
     return _many_passes(docs, texts, math.ceil(size / table_bytes), carry, window, text_col)
 
 
-def _one_pass(docs: DataFrame, items: list, carry: list[str], window: int, text_col: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def _one_pass(docs: DataFrame, matcher: Matcher, carry: list[str], text_col: str) -> DataFrame:
+    shared = Shipped(docs.sparkSession, matcher)
     kept, schema = _carried(docs, carry)
     source, at = with_text(docs, kept, text_col)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value, window)
+        own = shared.value
         for batch in batches:
-            rows = []
-            for text in as_bytes(batch.column(at)):
-                words = words_of(text)
-                ranges, found = matcher.search(words)
-                rows.append(_verdict(len(words), covered(ranges), found))
+            found = own.search([t or b"" for t in as_bytes(batch.column(at))])
+            rows = [_verdict(n, covered(ranges), items) for n, ranges, items in found]
             columns = [batch.column(i) for i in range(len(kept))]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
             new = [pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
@@ -171,8 +201,9 @@ def _many_passes(
     keyed = materialise(keyed, "distinct-texts")
     passes = []
     for table in range(tables):
-        part = [(r["piece"].encode().split(), r["item"]) for r in pieces.filter(F.col("table") == table).collect()]
-        passes.append(materialise(keyed.select("digest", "__text").mapInArrow(_ranges(spark.sparkContext.broadcast(part), window), _FOUND), "hits"))
+        part = [(r["piece"].encode(), r["item"]) for r in pieces.filter(F.col("table") == table).collect()]
+        shared = Shipped(spark, Matcher(part, window))
+        passes.append(materialise(keyed.select("digest", "__text").mapInArrow(_ranges(shared), _FOUND), "hits", few=True))
     found = passes[0]
     for one in passes[1:]:
         found = found.unionAll(one)
@@ -203,13 +234,13 @@ def _many_passes(
 _FOUND = "digest string, starts array<int>, ends array<int>, items array<string>"
 
 
-def _ranges(shared, window: int):
+def _ranges(shared: Shipped):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value, window)
+        own = shared.value
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for digest, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                ranges, items = matcher.search(words_of(text))
+            texts = [t or b"" for t in as_bytes(batch.column(1))]
+            for digest, (_, ranges, items) in zip(batch.column(0).to_pylist(), own.search(texts), strict=True):
                 if ranges:
                     row = digest, [s for s, _ in ranges], [e for _, e in ranges], [x for x in items if x is not None]
                     for column, value in zip(out, row, strict=True):

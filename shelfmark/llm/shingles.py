@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 
 from .shared import by_value
@@ -27,11 +30,22 @@ def _byte_values() -> np.ndarray:
     return values
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, in order, and the number of the text that it is from."""
-    data = np.frombuffer(b" ".join([*texts, b""]).translate(LOWER), dtype=np.uint8)
+class Words(NamedTuple):
+    """The words of some texts in order: where they are in `data`, their hashes, and the number of their text."""
+
+    data: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    hash: np.ndarray
+    owner: np.ndarray
+
+
+def words_in(texts: list[bytes], table: bytes = LOWER) -> Words:
+    """`table` translates bytes, those between words to a space."""
+    data = np.frombuffer(b" ".join([*texts, b""]).translate(table), dtype=np.uint8)
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return Words(data, none, none, np.zeros(0, np.uint64), none)
     solid = np.concatenate([[False], data != 32, [False]])
     edge = np.flatnonzero(solid[1:] != solid[:-1])
     start, end = edge[::2], edge[1::2]
@@ -47,33 +61,45 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     np.multiply.accumulate(back, out=back)
     hashes = mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
     begins = np.cumsum([0] + [len(t) + 1 for t in texts])
-    return hashes, np.searchsorted(begins, start, side="right") - 1
+    return Words(data, start, end, hashes, np.searchsorted(begins, start, side="right") - 1)
 
 
-def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
-    """The sorted distinct k-word shingles of each text; a shorter text is one shingle, an empty one none."""
-    out: list[np.ndarray] = []
+def runs(hashes: np.ndarray, first: np.ndarray | None, k: int) -> np.ndarray:
+    """The hash of the k words from each place in `first`, or from every place that has so many."""
+    n = max(0, len(hashes) - k + 1)
+    out = np.zeros(n if first is None else len(first), dtype=np.uint64)
+    factor = 1
+    for j in range(k if len(out) else 0):
+        out += (hashes[j : j + n] if first is None else hashes[first + j]) * np.uint64(factor)
+        factor = factor * int(_NEXT) % (1 << 64)
+    return mix(out)
+
+
+def grouped(texts: list[bytes], size: int = 4_000_000) -> Iterator[list[bytes]]:
+    """The texts in groups of about `size` bytes at most, but a text is not cut."""
     group: list[bytes] = []
-    size = 0
+    total = 0
     for text in texts:
-        if group and size + len(text) > 4_000_000:
-            out += _sets(group, k)
-            group, size = [], 0
+        if group and total + len(text) > size:
+            yield group
+            group, total = [], 0
         group.append(text)
-        size += len(text)
-    return out + _sets(group, k) if group else out
+        total += len(text)
+    if group:
+        yield group
+
+
+def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """The sorted distinct k-word shingles of each text; a shorter text is one shingle, an empty one none."""
+    return [x for group in grouped(texts) for x in _sets(group, k)]
 
 
 def _sets(texts: list[bytes], k: int) -> list[np.ndarray]:
-    hashes, owner = word_hashes(texts)
-    counts = np.bincount(owner, minlength=len(texts))
+    words = words_in(texts)
+    hashes = words.hash
+    counts = np.bincount(words.owner, minlength=len(texts))
     first = np.concatenate([[0], np.cumsum(counts)])
-    combined = np.zeros(max(0, len(hashes) - k + 1), dtype=np.uint64)
-    factor = 1
-    for j in range(k if len(combined) else 0):
-        combined += hashes[j : j + len(combined)] * np.uint64(factor)
-        factor = factor * int(_NEXT) % (1 << 64)
-    combined = mix(combined)
+    combined = runs(hashes, None, k)
     out = []
     for i, n in enumerate(counts):
         at = first[i]
