@@ -179,9 +179,8 @@ def _matrix(column) -> np.ndarray:
 
 
 def _summed(rows: DataFrame, shape: tuple[int, int], add) -> np.ndarray:
-    """The sum of add(stats, y) over all rows: one matrix a partition, added up in the order of partitions.
-
-    One task adds the partitions' matrices, so the driver gets a single one.
+    """The sum of add(stats, y) over all rows. Partitions give the rows of their matrices, and each row
+    is added up in the order of partitions, so the driver gets a single matrix.
     """
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,19 +190,18 @@ def _summed(rows: DataFrame, shape: tuple[int, int], add) -> np.ndarray:
                 total += add(_matrix(batch.column(1)), batch.column(2).to_numpy())
                 part = batch.column(0)[0].as_py()
         if part is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "total"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
-        for batch in batches:
-            for one in batch.column(1):
-                total += np.frombuffer(one.as_buffer()).reshape(shape)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+            columns = [pa.array(np.full(shape[0], part, np.int32)), pa.array(np.arange(shape[0], dtype=np.int32))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(total), pa.list_(pa.float64()))], names=["part", "row", "total"])
 
     dealt = rows.repartition(SUMS, "doc_id").sortWithinPartitions("doc_id").select(F.spark_partition_id().alias("part"), "stats", "y")
-    parts = dealt.mapInArrow(sums, "part int, total binary").repartition(1).sortWithinPartitions("part")
-    found = parts.mapInArrow(whole, "total binary").collect()  # one row, or none where Spark sees no input
-    return np.frombuffer(found[0]["total"]).reshape(shape) if found else np.zeros(shape)
+    parts = dealt.mapInArrow(sums, "part int, row int, total array<double>")
+    by_row = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("part", "total"))).alias("all"))
+    rest = F.slice("all", 2, F.size("all"))
+    added = F.aggregate(rest, F.col("all")[0]["total"], lambda acc, x: F.zip_with(acc, x["total"], lambda a, b: a + b))
+    out = np.zeros(shape)
+    for r in by_row.select("row", added.alias("total")).collect():
+        out[r["row"]] = r["total"]
+    return out
 
 
 def ridge(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
