@@ -255,9 +255,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     fate = materialise(fate, "fate")
     # Rows of the kept id with other texts of the component; few, for ids seldom repeat.
-    first = fate.filter("kept and comp is not null").groupBy("comp").agg(F.min("key").alias("first"), F.count("*").alias("texts"))
-    fate = fate.join(first.filter("texts > 1"), "comp", "left")
-    fate = fate.withColumn("kept", F.col("kept") & F.coalesce(F.col("key") == F.col("first"), F.lit(True)))
+    stays = F.when(F.col("kept"), F.col("key"))
+    first = fate.filter("comp is not null").groupBy("comp").agg(
+        F.min(stays).alias("first"), F.count(stays).alias("texts"), F.count("*").alias("members")
+    )
+    first = materialise(first.filter("texts > 1").drop("texts"), "first", few=True)
+    if first.limit(1).count():
+        told = join_hot(fate.withColumn("deal", F.xxhash64("id", "key")), first, "comp", "members", "deal", "left")
+        fate = told.withColumn("kept", F.col("kept") & F.coalesce(F.col("key") == F.col("first"), F.lit(True)))
     fate = materialise(fate.filter(~F.col("kept") | (F.col("times") > 1)).select("id", "key", "kept", "times"), "fate", few=True)
     drop, twins = fate.filter(~F.col("kept")), fate.filter("kept")
     columns = docs.columns
