@@ -16,11 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import unit_hash
+from .shared import join_hot, unit_hash
 
 #: Rates above this are drawn as a sum of that many independent parts, each below it.
 MAX_RATE = 200.0
-#: Up to so many sources their distributions (4 kB each at most) are broadcast; beyond, the join shuffles.
+#: Up to so many sources their distributions (4 kB each at most) are broadcast; beyond, the join shuffles,
+#: with the rows of a large source dealt to several tasks.
 BROADCAST_SOURCES = 8_000
 
 
@@ -65,7 +66,7 @@ def poisson_replicate(
     rate = F.col("__w") / F.lit(weight_sum) * F.lit(float(total)) / F.col("__n")
     parts = F.greatest(F.lit(1), F.ceil(F.col("__rate") / MAX_RATE)).cast("int")
     rates = (
-        sizes.select("__source", rate.alias("__rate"))
+        sizes.select("__source", "__n", rate.alias("__rate"))
         .withColumn("__parts", parts)
         .withColumn("__cdf", _distribution(F.col("__rate") / F.col("__parts")))
         .drop("__rate")
@@ -74,9 +75,11 @@ def poisson_replicate(
     # Each uniform is hashed once and then compared with the whole distribution.
     uniforms = F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda part: unit_hash(seed, F.col("__id"), part))
     copies = F.aggregate(uniforms, F.lit(0), lambda acc, u: acc + F.size(F.filter("__cdf", lambda c: c <= u)))
-    if told["n"] <= BROADCAST_SOURCES:  # else a hot source would gather its texts in one partition
-        rates = F.broadcast(rates)
-    drawn = rows.join(rates, "__source").withColumn("n_copies", copies).filter("n_copies > 0")
+    if told["n"] <= BROADCAST_SOURCES:
+        met = rows.join(F.broadcast(rates.drop("__n")), "__source")
+    else:
+        met = join_hot(rows, rates, "__source", "__n", "__id")
+    drawn = met.withColumn("n_copies", copies).filter("n_copies > 0")
     out = drawn.select("*", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
     out = out.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), "__id", F.col("copy").cast("string"))))
     return out.select(*kept, "copy", "n_copies", "shuffle_key").repartitionByRange(

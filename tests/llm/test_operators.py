@@ -604,7 +604,7 @@ def test_mixing_counts_follow_the_law(spark):
     assert abs(heavy.count() - 2001) < 5 * 2001**0.5
 
 
-def test_mixing_draws_by_brute_force(spark):
+def test_mixing_draws_by_brute_force(spark, monkeypatch):
     docs = read(spark, "documents")
     rows = [(r["doc_id"], r["source"] or "") for r in docs.select("doc_id", "source").collect()]
     sizes = {s: sum(x == s for _, x in rows) for _, s in rows}
@@ -619,10 +619,33 @@ def test_mixing_draws_by_brute_force(spark):
             p *= rate / k
             total += p
         want[d] = k
-    got = {}
-    for r in mixing.poisson_replicate(docs).select("doc_id", "copy").collect():
-        got.setdefault(r["doc_id"], []).append(r["copy"])
-    assert {d: sorted(c) for d, c in got.items()} == {d: list(range(k)) for d, k in want.items() if k}
+    for most in (mixing.BROADCAST_SOURCES, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
+        monkeypatch.setattr(shared, "HOT_ROWS", 20)
+        got = {}
+        for r in mixing.poisson_replicate(docs).select("doc_id", "copy").collect():
+            got.setdefault(r["doc_id"], []).append(r["copy"])
+        assert {d: sorted(c) for d, c in got.items()} == {d: list(range(k)) for d, k in want.items() if k}
+
+
+def test_rows_of_hot_keys_are_joined_once_each(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_ROWS", 10)
+    rows = [(i, "hot" if i % 2 else f"k{i % 7}" if i % 3 else None) for i in range(400)]
+    left = spark.createDataFrame(rows, "id long, k string").withColumn("n", F.lit("clash"))
+    counts = {k: sum(x == k for _, x in rows) for _, k in rows if k}
+    right = spark.createDataFrame([(k, n, k.upper()) for k, n in counts.items()], "k string, times long, big string")
+    for how in ("left", "inner"):
+        got = shared.join_hot(left, right, "k", "times", "id", how)
+        want = sorted((i, k, k and k.upper()) for i, k in rows if k or how == "left")
+        assert sorted((r["id"], r["k"], r["big"]) for r in got.collect()) == want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spread = shared.join_hot(left, right, "k", "times", "id").filter("k = 'hot'").groupBy(F.spark_partition_id().alias("p")).count()
+        assert spread.count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_mixing_edges(spark):
