@@ -11,7 +11,8 @@ reaches it is missed, however far its words are apart. Words that recur elsewher
 anchors there, so windows around the template's rarest words are aligned too, and where a window
 falls short of its longest common subsequence, every span in it that begins and ends with words of
 the template and could do better: a verbatim notice is one of them. The best of all these alignments
-is reported; of equal ones the first window, then the whole text.
+is reported; of equal ones the first window, then the whole text. Notices can differ by a word: a
+template whose span lies within that of a better covered one is reported too, as superseded.
 
 Edge cases: null and empty texts match nothing; a notice that is repeated is found by its best
 alignment only; very long texts are aligned whole; repeated rows are reported each; templates
@@ -131,7 +132,7 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 RESULT = (
     "license string, coverage double, matched int, template_words int, start_word int, end_word int, "
-    "start_char int, end_char int"
+    "start_char int, end_char int, superseded boolean"
 )
 
 
@@ -276,7 +277,7 @@ def scan_licenses(
     schema = docs.select(F.col(id_col)).schema
     for field in docs.sparkSession.createDataFrame([], RESULT).schema:
         schema = schema.add(field)
-    kinds = [pa.string(), pa.float64()] + [pa.int32()] * 6
+    kinds = [pa.string(), pa.float64()] + [pa.int32()] * 6 + [pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,8 +286,9 @@ def scan_licenses(
                 words = words_of(text)
                 found = scanner.scan(words)
                 if found:
+                    better = [any(g[1] > f[1] and g[4] <= f[4] and g[5] >= f[5] for g in found) for f in found]
                     places = [m.span() for m in WORD.finditer(text.decode().translate(_LOWER))]
-                    rows += [(*f, places[f[4]][0], places[f[5] - 1][1]) for f in found]
+                    rows += [(*f, places[f[4]][0], places[f[5] - 1][1], b) for f, b in zip(found, better, strict=True)]
                     source += [at] * len(found)
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays(

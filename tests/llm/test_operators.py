@@ -209,6 +209,8 @@ def test_whole_licenses_are_found_in_long_texts(spark):
     rows = [(1, f"{noise(9000)}\n{licenses.TEMPLATES['MIT-text']}\n{noise(9000)}"), (2, noise(20000))]
     got = {(r["doc_id"], r["license"]): r["coverage"] for r in licenses.scan_licenses(documents(spark, rows)).collect()}
     assert got[(1, "MIT-text")] == 1.0 and all(d == 1 for d, _ in got)
+    told = licenses.scan_licenses(documents(spark, [(3, "this is Licensed under CC BY-NC 4.0, see there")])).collect()
+    assert sorted((r["license"], r["superseded"]) for r in told) == [("CC-BY-NC-4.0", False), ("CC-BY-SA-4.0", True)]
 
 
 # -- nearest neighbours -----------------------------------------------------------------------
