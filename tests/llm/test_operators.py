@@ -334,6 +334,26 @@ def test_clusters(spark, k):
     assert sorted(i for i in ids if i is not None) == sorted({d for d, n, c in want if d is not None and c == d})
 
 
+def test_clusters_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
+    docs = read(spark, "documents").select("doc_id", "text")
+    want = sorted(map(tuple, neardup.cluster(docs, words=2).collect()))
+    left = sorted(r["doc_id"] for r in neardup.deduplicate(docs, words=2).collect())
+    for name in ("BROADCAST_IDS", "MAP_BITS"):
+        monkeypatch.setattr(neardup, name, 0)
+        assert sorted(map(tuple, neardup.cluster(docs, words=2).collect())) == want
+    monkeypatch.setattr(neardup, "COUNTERS", 2)
+    monkeypatch.setattr(shared, "HOT_ROWS", 3)
+    assert sorted(map(tuple, neardup.cluster(docs, words=2).collect())) == want
+    assert sorted(r["doc_id"] for r in neardup.deduplicate(docs, words=2).collect()) == left
+
+
+def test_long_texts_are_one_set(spark):
+    long = [f"w{i}" for i in range(50_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[500:])), (3, " ".join(long[:100]))]
+    got = {r["id"]: (r["n"], r["component_id"]) for r in neardup.cluster(documents(spark, rows), words=2).collect()}
+    assert got == {1: (49_999, 1), 2: (49_499, 1), 3: (99, 3)}
+
+
 def test_no_documents(spark):
     assert neardup.cluster(documents(spark, []), words=2).count() == 0
     assert neardup.deduplicate(documents(spark, [(1, None), (2, "")]), words=2).count() == 2
@@ -783,6 +803,9 @@ def test_placement_follows_the_drawn_matrix(spark, monkeypatch, tmp_path):
         want.setdefault(shard, []).append((key[d], d))
     want = {d: (shard, slot) for shard, own in want.items() for slot, (_, d) in enumerate(sorted(own))}
     assert {r["doc_id"]: (r["shard"], r["slot"]) for r in placed.collect()} == want
+    monkeypatch.setattr(sharding, "BROADCAST_CUTS", 0)
+    again = sharding.shuffle_into_shards(docs, 5, seed=3)
+    assert sorted((r["doc_id"], r["shard"], r["slot"]) for r in again.collect()) == sorted((d, *p) for d, p in want.items())
     sharding.write_shards(placed, str(tmp_path / "out"))
     for shard in range(5):
         files = sorted((tmp_path / "out" / f"shard={shard}").glob("*.parquet"))
@@ -850,6 +873,32 @@ def test_contamination(spark, monkeypatch, table_bytes):
     assert decontam.find_contamination(docs.limit(0), benchmark, carry=["doc_id"]).count() == 0
 
 
+def test_contamination_in_very_long_texts(spark):
+    rng = random.Random(6)
+    words = [rng.choice(("a", "b", "c")) + str(rng.randrange(9)) for _ in range(60_000)]
+    items = [(i, " ".join(words[at : at + n])) for i, (at, n) in enumerate([(0, 10), (30_000, 25), (59_985, 15), (5, 3)])] + [(9, " ".join(["zz"] * 12))]
+    rows = [(1, " ".join(words)), (2, " ".join(words[10_000:20_000])), (3, "zz " * 40_000)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    cols = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    got = decontam.find_contamination(documents(spark, rows), bench, carry=["doc_id"])
+    assert sorted(tuple(r[c] for c in cols) for r in got.collect()) == sorted(brute_hits(rows, items, 10))
+
+
+def test_shift_tables_with_many_collisions(monkeypatch):
+    """Blocks that share a place of the table can only shorten a jump."""
+    rng = random.Random(7)
+    pick = lambda n: " ".join(rng.choices([f"w{i}" for i in range(6)], k=n))
+    items = [(pick(rng.randrange(1, 30)).encode(), str(i)) for i in range(60)]
+    texts = [pick(rng.randrange(0, 200)).encode() for _ in range(80)]
+    matcher = decontam.Matcher(items, 10)
+    want = matcher.search(texts)
+    matcher.tables = [(size, block, np.array([shift.min()], dtype=np.int32), keys, first) for size, block, shift, keys, first in matcher.tables]
+    assert matcher.search(texts) == want
+    rows = [(i, t.decode()) for i, t in enumerate(texts)]
+    hits = brute_hits(rows, [(n, t.decode()) for t, n in items], 10)
+    assert [(n, decontam.covered(r), len(x)) for n, r, x in want] == [(w, h, k) for _, w, h, k, *_ in hits]
+
+
 def test_copies_of_a_contaminated_text_are_searched_once(spark, monkeypatch):
     item = " ".join(f"w{i}" for i in range(40))
     hits, materialise = [], decontam.materialise
