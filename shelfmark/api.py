@@ -136,3 +136,26 @@ def serve(api: Api, host: str = "127.0.0.1", port: int = 8000) -> None:
 
     with make_server(host, port, api, server_class=Server) as server:
         server.serve_forever()
+
+
+def main(argv: list[str] | None = None) -> None:
+    """Serve a store that is seeded from the given files on the first request, unless it was before."""
+    from argparse import ArgumentParser
+
+    from pyspark.sql import SparkSession
+    from shelfmark.plans.catalogue import build_catalogue
+
+    parser = ArgumentParser(description=main.__doc__)
+    parser.add_argument("store", help="folder of the store")
+    parser.add_argument("csv", help="product rows")
+    parser.add_argument("html", nargs="?", help="page or folder of pages with manufacturer cards")
+    parser.add_argument("--host", default="127.0.0.1")
+    parser.add_argument("--port", type=int, default=8000)
+    given = parser.parse_args(argv)
+    spark = SparkSession.builder.appName("shelfmark").getOrCreate()
+    api = Api(lambda: CatalogueStore(spark, given.store), lambda: build_catalogue(spark, given.csv, given.html))
+    serve(api, given.host, given.port)
+
+
+if __name__ == "__main__":
+    main()

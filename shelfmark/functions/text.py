@@ -34,6 +34,8 @@ def sku_form(text: Column) -> Column:
 
 
 def _fold(text: str) -> str:
+    if text.isascii():
+        return text.lower()
     plain = unicodedata.normalize("NFKD", text.replace("ł", "l").replace("Ł", "L"))
     return "".join(c for c in plain if not unicodedata.combining(c)).casefold()
 

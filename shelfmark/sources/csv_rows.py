@@ -17,6 +17,10 @@ HEADER = {
 }
 
 
+#: File partitions whose offsets are broadcast (16 bytes each); beyond, rows meet them by a shuffle.
+BROADCAST_PARTS = 1_000_000
+
+
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
     """row_number (from 1, without the header) and the seven fields as strings, blanks as ''.
 
@@ -40,8 +44,9 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
         offsets.append((r["part"], total))
         total += r["n"]
     starts = spark.createDataFrame(offsets, "part bigint, start bigint")
+    starts = F.broadcast(starts) if len(offsets) <= BROADCAST_PARTS else starts
     return (
         numbered.withColumn("part", part)
-        .join(F.broadcast(starts), "part")
+        .join(starts, "part")
         .select((F.col("start") + F.col("at").bitwiseAND(2**33 - 1) + 1).alias("row_number"), *HEADER.values())
     )

@@ -73,3 +73,17 @@ def test_page_and_seeding_on_first_request(spark, tmp_path, catalogue):
     again = Api(lambda: CatalogueStore(spark, str(tmp_path / "s"), Keywords()), build)
     assert again.store.seeded and opened == [1]
     assert call(api, "PUT", "/")[0] == 405
+
+
+def test_main_serves_a_store_seeded_from_files(spark, tmp_path, monkeypatch):
+    import shelfmark.api as module
+
+    (tmp_path / "p.csv").write_text(
+        "nazwa,nr_katalogowy,producent,kategoria,opakowanie,cena,atrybuty_dodatkowe\nThing,XX-10002,Maker,pomiary,5 szt,1 zl,\n", encoding="utf-8"
+    )
+    served = []
+    monkeypatch.setattr(module, "serve", lambda api, host, port: served.append((api, host, port)))
+    module.main([str(tmp_path / "store"), str(tmp_path / "p.csv"), "--port", "8123"])
+    (api, host, port), = served
+    assert (host, port) == ("127.0.0.1", 8123)
+    assert [r["sku"] for r in api.respond("GET", "/api/search", "q=xx-10002")[1]["results"]] == ["XX-10002"]
