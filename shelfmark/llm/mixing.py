@@ -7,7 +7,8 @@ on the row alone, so a lost task draws the same again.
 
 Edge cases: a null source is a source of its own, named '' for its weight and its hash; a null id
 hashes as ''. Repeated rows draw the same count. Sources that `weights` does not name get no rows;
-without `weights` all sources weigh the same. An empty table gives an empty result. Extra columns
+without `weights` all sources weigh the same. The text plays no part, so null, empty and very long ones
+are carried like others. An empty table gives an empty result. Extra columns
 are carried unless they clash with the output's own names (copy, n_copies, shuffle_key).
 """
 
