@@ -81,7 +81,7 @@ class Matcher:
 
     def search(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], set]]:
         """Of each text its number of words, where patterns occur, as word ranges, and their items."""
-        return [found for group in grouped(texts, 1_000_000) for found in self._search(group)]
+        return [found for group in grouped(texts) for found in self._search(group)]
 
     def _search(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], set]]:
         words = words_in(texts, WORD_BYTES)

@@ -75,7 +75,7 @@ def runs(hashes: np.ndarray, first: np.ndarray | None, k: int) -> np.ndarray:
     return mix(out)
 
 
-def grouped(texts: list[bytes], size: int = 4_000_000) -> Iterator[list[bytes]]:
+def grouped(texts: list[bytes], size: int = 500_000) -> Iterator[list[bytes]]:
     """The texts in groups of about `size` bytes at most, but a text is not cut."""
     group: list[bytes] = []
     total = 0
