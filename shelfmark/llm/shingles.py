@@ -30,6 +30,20 @@ def _byte_values() -> np.ndarray:
     return values
 
 
+_values = _byte_values()
+_known: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The powers of the base and of its inverse up to the n-th at least; kept for the next texts."""
+    if len(_known[0]) <= n:
+        for i, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
+            _known[i] = np.full(n + 1, base, dtype=np.uint64)
+            _known[i][0] = 1
+            np.multiply.accumulate(_known[i], out=_known[i])
+    return _known
+
+
 class Words(NamedTuple):
     """The words of some texts in order: where they are in `data`, their hashes, and the number of their text."""
 
@@ -50,15 +64,10 @@ def words_in(texts: list[bytes], table: bytes = LOWER) -> Words:
     edge = np.flatnonzero(solid[1:] != solid[:-1])
     start, end = edge[::2], edge[1::2]
     # A word's hash is its polynomial: a difference of prefix sums, moved back to position 0.
-    powers = np.full(len(data) + 1, _BASE, dtype=np.uint64)
-    powers[0] = 1
-    np.multiply.accumulate(powers, out=powers)
+    powers, back = _powers(len(data))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_byte_values()[data] * powers[:-1], out=sums[1:])
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    back = np.full(len(data) + 1, inverse, dtype=np.uint64)
-    back[0] = 1
-    np.multiply.accumulate(back, out=back)
+    np.multiply(_values[data], powers[: len(data)], out=sums[1:])
+    np.cumsum(sums, out=sums)
     hashes = mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
     begins = np.cumsum([0] + [len(t) + 1 for t in texts])
     return Words(data, start, end, hashes, np.searchsorted(begins, start, side="right") - 1)
@@ -75,7 +84,7 @@ def runs(hashes: np.ndarray, first: np.ndarray | None, k: int) -> np.ndarray:
     return mix(out)
 
 
-def grouped(texts: list[bytes], size: int = 500_000) -> Iterator[list[bytes]]:
+def grouped(texts: list[bytes], size: int = 250_000) -> Iterator[list[bytes]]:
     """The texts in groups of about `size` bytes at most, but a text is not cut."""
     group: list[bytes] = []
     total = 0
