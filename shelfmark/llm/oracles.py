@@ -85,6 +85,56 @@ OP10 = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract
     SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
     sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN t USING (rid) LEFT JOIN j USING (rid)"""
 
+OP12 = rf"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+    t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY 1),
+    o AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM
+        (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 5) AS s(k) WHERE len(ws) >= k)),
+    f AS (SELECT lang, k, phrase, count(*) AS a FROM o GROUP BY ALL HAVING count(*) >= 30),
+    c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+    x AS (SELECT lang, phrase, a, cut, array_to_string(ws[1:cut], ' ') AS lp, array_to_string(ws[cut + 1:], ' ') AS rp
+        FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+    s AS (SELECT x.lang, x.phrase, x.a, cut, p.a AS l, q.a AS r, CAST(CAST(x.a AS HUGEINT) * 2000000 // (CAST(p.a AS HUGEINT) + q.a) AS BIGINT) AS score
+        FROM x JOIN f p ON p.lang = x.lang AND p.phrase = lp JOIN f q ON q.lang = x.lang AND q.phrase = rp),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+    e AS (SELECT DISTINCT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, a AS longer FROM
+        (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c WHERE k > 2))),
+    z AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.lang = b.lang AND e.phrase = b.phrase AND CAST(longer AS HUGEINT) * 100 >= CAST(b.a AS HUGEINT) * 80))
+    SELECT lang, rank, phrase, a, l, r, n, score FROM
+    (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z) JOIN t USING (lang) WHERE rank <= 2000"""
+
+
+def _lloyd(rounds: int) -> str:
+    """Tables b0 to b<rounds>: codebooks; n0 to n<rounds>: each part's nearest entry and its distance."""
+
+    def assigned(r: int) -> str:
+        return f"""n{r} AS MATERIALIZED (SELECT rid, part, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d FROM
+        (SELECT p.rid, p.part, b.entry, CAST(p.sq - 2 * list_dot_product(p.v, b.v) + list_dot_product(b.v, b.v) AS BIGINT) AS d
+            FROM p JOIN b{r} b USING (part)) GROUP BY 1, 2)"""
+
+    out = [assigned(0)]
+    for r in range(1, rounds + 1):
+        out += [
+            f"""b{r} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM b{r - 1} b LEFT JOIN
+        (SELECT part, entry, list(x ORDER BY place) AS v FROM (SELECT n.part, n.entry, place, floor(sum(p.v[place]) / count(*)) AS x
+            FROM n{r - 1} n JOIN p USING (rid, part), range(1, 17) AS t(place) GROUP BY 1, 2, 3) GROUP BY 1, 2) m USING (part, entry))""",
+            assigned(r),
+        ]
+    return ",\n    ".join(out)
+
+
+#: For vectors of 64 components, as the tables have them.
+OP13 = f"""WITH e AS (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024)) AS v
+        FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS MATERIALIZED (SELECT rid, part, v, list_dot_product(v, v) AS sq FROM
+        (SELECT rid, part, v[part * 16 + 1:part * 16 + 16] AS v FROM e, range(0, 4) AS t(part))),
+    b0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, v FROM p WHERE rid <= 256),
+    {_lloyd(4)},
+    h AS (SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM
+        (SELECT part, entry, unnest(range(1, 17)) AS place, unnest(v) AS x FROM b4)),
+    c AS (SELECT rid, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM n4 GROUP BY 1)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN c USING (rid), h"""
+
 ORACLE_SQL = {
     "op1_warc": OP1,
     "op3_vptree": OP3,
@@ -92,4 +142,6 @@ ORACLE_SQL = {
     "op6_mixing": OP6,
     "op8_secrets": OP8,
     "op10_decontamination": OP10,
+    "op12_phrases": OP12,
+    "op13_codes": OP13,
 }

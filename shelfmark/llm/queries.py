@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, mixing, neardup, quality, secrets, sharding, shared, toxicity, vptree, warc
+from . import codes, decontam, licenses, mixing, neardup, phrases, quality, secrets, sharding, shared, simhash, toxicity, vptree, warc
 from .oracles import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -95,6 +95,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contamination(docs, benchmark, carry=["doc_id"], window=10)
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.cluster(_read(spark, sf_dir, "documents"), words=3, bits=3)
+    mark = F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint")
+    return found.select(F.col("id").alias("doc_id"), mark, "component_id")
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents"), least=30, top=2000)
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.coded(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_licenses": op2_licenses,
@@ -106,4 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
+    "op11_simhash": op11_simhash,
+    "op12_phrases": op12_phrases,
+    "op13_codes": op13_codes,
 }

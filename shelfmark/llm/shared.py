@@ -60,15 +60,19 @@ def drop_table(df: DataFrame) -> None:
 HOT_ROWS, HOT_KEYS = 500, 1000
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, times: str, spread: str, how: str = "inner") -> DataFrame:
+def join_hot(
+    left: DataFrame, right: DataFrame, key: str, times: str, spread: str, how: str = "inner", total: int | None = None
+) -> DataFrame:
     """`left` joined with `right`, which has one row per key and in `times` how many rows of `left` have it.
 
     Rows of a hot key are dealt by the hashed column `spread` to as many tasks as its share of all
     rows asks for, each with a copy of its row of `right`. Fewer than HOT_KEYS keys can be hot, by
     their definition, so those are broadcast. Null keys, which match nothing, are dealt out too.
+    `total`: the sum of `times`, where it is known.
     """
     spark = left.sparkSession
-    total = right.agg(F.sum(times)).collect()[0][0] or 0
+    if total is None:
+        total = right.agg(F.sum(times)).collect()[0][0] or 0
     limit = max(HOT_ROWS, total // HOT_KEYS)
     pieces = F.ceil(F.col(times) / F.lit(limit)).cast("int")
     hot = right.filter(F.col(times) > limit).select(F.col(key).alias("__hot"), pieces.alias("__pieces"))

@@ -33,7 +33,7 @@ def test_agrees_with_sql(spark, name):
 def test_all_are_registered():
     found = __spark_entry__.queries()
     assert set(queries.QUERIES) <= set(found) and "pipeline" in found
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES}
 
 
 def test_mixing_returns_whole_documents(spark):
