@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import parse
 from shelfmark.plans.catalogue import Catalogue
-from shelfmark.store import CatalogueStore, InvalidProduct, ProductConflict, ProductInput, ProductNotFound
+from shelfmark.store import CatalogueStore, ConcurrentWrite, InvalidProduct, ProductConflict, ProductInput, ProductNotFound
 
 PAGE = Path(__file__).parent / "page.html"
 PRODUCTS = "/api/products"
@@ -25,6 +25,7 @@ STATUS = {
     405: "405 Method Not Allowed",
     409: "409 Conflict",
     422: "422 Unprocessable Entity",
+    503: "503 Service Unavailable",
 }
 
 
@@ -63,9 +64,9 @@ def _input(body: bytes) -> ProductInput:
 
 
 class Api:
-    """`build` gives the catalogue that a store never seeded before starts with."""
+    """`build` gives the catalogue that a store never seeded before starts with (see `CatalogueStore.seed`)."""
 
-    def __init__(self, open_store: Callable[[], CatalogueStore], build: Callable[[], Catalogue] | None = None):
+    def __init__(self, open_store: Callable[[], CatalogueStore], build: Callable[[Callable], Catalogue] | None = None):
         self._open, self._build, self._store, self._lock = open_store, build, None, threading.Lock()
 
     @property
@@ -76,7 +77,7 @@ class Api:
                 if self._store is None:
                     store = self._open()
                     if self._build is not None and not store.seeded:
-                        store.seed(self._build())
+                        store.seed(self._build)
                     self._store = store
         return self._store
 
@@ -110,6 +111,8 @@ class Api:
         except (InvalidProduct, ProductConflict, ProductNotFound) as error:
             code = {InvalidProduct: 422, ProductConflict: 409, ProductNotFound: 404}[type(error)]
             return code, {"detail": str(error)}
+        except ConcurrentWrite as error:  # after waiting for others; nothing was changed
+            return 503, {"detail": str(error)}
         except ValueError as error:
             return 422, {"detail": str(error)}
         known = path in ("/", "/api/search", PRODUCTS) or path.startswith(f"{PRODUCTS}/")
@@ -153,7 +156,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--port", type=int, default=8000)
     given = parser.parse_args(argv)
     spark = SparkSession.builder.appName("shelfmark").getOrCreate()
-    api = Api(lambda: CatalogueStore(spark, given.store), lambda: build_catalogue(spark, given.csv, given.html))
+    api = Api(lambda: CatalogueStore(spark, given.store), lambda save: build_catalogue(spark, given.csv, given.html, save))
     serve(api, given.host, given.port)
 
 

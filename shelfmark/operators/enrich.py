@@ -8,6 +8,8 @@ digits, and a positional test keeps the pairs that differ only by a reading of t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,42 +41,43 @@ def is_reading(card: Column, known: Column) -> Column:
 
 
 def match_cards(cards: DataFrame, known: DataFrame, page_col: str = "page", ordinal_col: str = "ordinal") -> DataFrame:
-    """`cards` with card_sku, matched_sku and match_rule; the latter two are null without a match.
+    """`cards` with card_sku, matched_sku, match_rule and `of`, the row of `known`; null without a match.
 
-    `known` has a column sku. The correction is tried only for cards without an exact match.
+    `known` has a column sku and is read once: a card meets the numbers that equal its own when all
+    mistakable characters are read as digits. One that is the card's own is exact; else one reading
+    counts if there is no other.
     """
     place = [page_col, ordinal_col]
     normal = cards.withColumn("card_sku", sku_form(F.col("sku")))
-    have = known.select(F.col("sku").alias("matched_sku")).distinct()
-    exact = normal.join(have, F.col("card_sku") == F.col("matched_sku"), "left")
-    rest = exact.filter(F.col("matched_sku").isNull()).select(*place, "card_sku")
-    readings = (
-        rest.withColumn("digits", as_digits(F.col("card_sku")))
-        .join(have.withColumn("digits", as_digits(F.col("matched_sku"))), "digits")
-        .filter((F.col("card_sku") != F.col("matched_sku")) & is_reading(F.col("card_sku"), F.col("matched_sku")))
+    have = known.select(F.struct(*known.columns).alias("of"), F.coalesce(as_digits(F.col("sku")), "sku").alias("digits"))
+    exact = F.col("of.sku") == F.col("card_sku")
+    found = (
+        normal.select(*place, "card_sku", F.coalesce(as_digits(F.col("card_sku")), "card_sku").alias("digits"))
+        .join(have, "digits")
+        .filter(exact | is_reading(F.col("card_sku"), F.col("of.sku")))
         .groupBy(*place)
-        .agg(F.min("matched_sku").alias("read_sku"), F.max("matched_sku").alias("other"))
-        .filter("read_sku = other")
-        .drop("other")
-    )
-    rule = F.when(F.col("matched_sku").isNotNull(), "exact_sku").when(
-        F.col("read_sku").isNotNull(), "confusable_character_correction"
-    )
-    return (
-        exact.join(readings, place, "left")
-        .withColumn("match_rule", rule)
-        .withColumn("matched_sku", F.coalesce("matched_sku", "read_sku"))
-        .drop("read_sku")
+        .agg(
+            F.first(F.when(exact, F.col("of")), ignorenulls=True).alias("same"),
+            F.min(F.when(~exact, F.col("of.sku"))).alias("least"),
+            F.max(F.when(~exact, F.col("of.sku"))).alias("most"),
+            F.first("of", ignorenulls=True).alias("any"),
+        )
     )
+    alone = F.col("same").isNull() & (F.col("least") == F.col("most"))
+    rule = F.when(F.col("same").isNotNull(), "exact_sku").when(alone, "confusable_character_correction")
+    told = found.select(*place, F.coalesce("same", F.when(alone, F.col("any"))).alias("of"), rule.alias("match_rule"))
+    return normal.join(told, place, "left").withColumn("matched_sku", F.col("of.sku"))
 
 
-def enrich(products: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFrame]:
+def enrich(
+    products: DataFrame, cards: DataFrame, save: Callable[[DataFrame, str], DataFrame] = lambda table, kind: table
+) -> tuple[DataFrame, DataFrame]:
     """Products with `enrichment`, notes and issues; and the cards that match no product.
 
-    The first card of a product in page order wins; later ones are reported as conflicts.
+    The first card of a product in page order wins; later ones are reported as conflicts. `products`
+    is read twice: for its numbers and names, and for the result.
     """
-    names = identifiers(products)
-    matched = match_cards(cards, names)
+    matched = save(match_cards(cards, identifiers(products, "name")), "matched")
     loose = matched.filter(F.col("matched_sku").isNull()).select(
         F.col("card_sku").alias("sku"),
         "name",
@@ -85,8 +88,7 @@ def enrich(products: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFrame]
     )
     hits = (
         matched.filter(F.col("matched_sku").isNotNull())
-        .join(names.select(F.col("sku").alias("matched_sku"), "canonical_sku"), "matched_sku")
-        .join(products.select("canonical_sku", F.col("name").alias("own_name")), "canonical_sku")
+        .withColumns({"canonical_sku": F.col("of.canonical_sku"), "own_name": F.col("of.name")})
         .withColumn("same_name", fold(F.col("own_name")) == fold(F.col("name")))
     )
     order = Window.partitionBy("canonical_sku").orderBy("page", "ordinal")

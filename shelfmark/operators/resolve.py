@@ -189,10 +189,10 @@ def resolve(records: DataFrame) -> DataFrame:
     return _folded(merged, [c for c in merged.columns if c not in KEYS])
 
 
-def identifiers(products: DataFrame) -> DataFrame:
-    """sku, kind (canonical or alias) and canonical_sku of every number that names a product."""
+def identifiers(products: DataFrame, *carried: str) -> DataFrame:
+    """sku, kind (canonical or alias) and canonical_sku of every number that names a product; and carried columns."""
     kinds = F.concat(
         F.array(F.struct(F.col("canonical_sku").alias("sku"), F.lit("canonical").alias("kind"))),
         F.transform("alias_skus", lambda a: F.struct(a.alias("sku"), F.lit("alias").alias("kind"))),
     )
-    return products.select("canonical_sku", F.inline(kinds)).select("sku", "kind", "canonical_sku")
+    return products.select("canonical_sku", *carried, F.inline(kinds)).select("sku", "kind", "canonical_sku", *carried)

@@ -22,13 +22,12 @@ def passes(manufacturer: str | None, category: str | None) -> Column:
     return condition
 
 
-def exact(products: DataFrame, names: DataFrame, sku: str) -> DataFrame:
+def exact(product: DataFrame, sku: str) -> DataFrame:
     """The product that `sku` names, with the reason."""
-    hit = names.filter(F.col("sku") == sku).select("canonical_sku")
     reason = F.when(F.col("canonical_sku") == sku, F.lit(f"exact match on catalogue number {sku}")).otherwise(
         F.concat(F.lit(f"{sku} is a registered alias of "), F.col("canonical_sku"))
     )
-    return products.join(F.broadcast(hit), "canonical_sku").withColumns(  # a number names one product
+    return product.withColumns(
         {
             "score": F.lit(1.0),
             "match_type": F.lit("exact_sku"),

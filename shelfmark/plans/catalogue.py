@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +27,17 @@ class Catalogue:
         return identifiers(self.products)
 
 
-def build_catalogue(spark: SparkSession, csv_path: str, html_path: str | None = None) -> Catalogue:
-    records = normalize(read_rows(spark, csv_path))
-    products = resolve(records)
+def _lazy(table: DataFrame, kind: str) -> DataFrame:
+    return table
+
+
+def build_catalogue(
+    spark: SparkSession, csv_path: str, html_path: str | None = None, save: Callable[[DataFrame, str], DataFrame] = _lazy
+) -> Catalogue:
+    """`save` is given each step (a table, and its kind) and returns it, perhaps written and read again."""
+    records = save(normalize(read_rows(spark, csv_path)), "records")
+    products = save(resolve(records), "merged")
     if html_path is None:
         return Catalogue(without_cards(products), spark.createDataFrame([], CANDIDATES), records)
-    enriched, loose = enrich(products, read_cards(spark, html_path))
+    enriched, loose = enrich(products, save(read_cards(spark, html_path), "cards"), save)
     return Catalogue(enriched, loose, records)

@@ -100,12 +100,16 @@ _files: dict[tuple[str, str], tuple[str, str]] = {}
 _stores: dict[tuple[str, str], CatalogueStore] = {}
 
 
-def _built(spark: SparkSession, sf_dir: str, with_page: bool = True) -> Catalogue:
-    """The build from files, which are written once for a session and a folder."""
+def _paths(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _files:
         _files[key] = _write_files(spark, sf_dir)
-    csv, page = _files[key]
+    return _files[key]
+
+
+def _built(spark: SparkSession, sf_dir: str, with_page: bool = True) -> Catalogue:
+    """The build from files, which are written once for a session and a folder."""
+    csv, page = _paths(spark, sf_dir)
     return build_catalogue(spark, csv, page if with_page else None)
 
 
@@ -125,7 +129,8 @@ def _store(spark: SparkSession, sf_dir: str) -> CatalogueStore:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stores:
         store = CatalogueStore(spark, workspace.new_folder(spark, "store"), LetterCounts())
-        store.seed(_built(spark, sf_dir))
+        csv, page = _paths(spark, sf_dir)
+        store.seed(lambda save: build_catalogue(spark, csv, page, save))
         _stores[key] = store
     return _stores[key]
 
@@ -293,8 +298,7 @@ def _shown(products: DataFrame) -> list[Column]:
 @query(f"SELECT n AS row_number, name, sku, manufacturer, category, package, price, attributes FROM ({_RAW_SQL})")
 def csv_rows_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reader of raw rows: quotes, commas, line breaks, blanks and row numbers."""
-    _built(spark, sf_dir)
-    return csv_rows.read_rows(spark, _files[(spark.sparkContext.applicationId, sf_dir)][0])
+    return csv_rows.read_rows(spark, _paths(spark, sf_dir)[0])
 
 
 @query(

@@ -55,7 +55,7 @@ def test_streamed_state_equals_batch(spark, tmp_path):
 def test_page_and_seeding_on_first_request(spark, tmp_path, catalogue):
     opened = []
 
-    def build():
+    def build(save):
         opened.append(1)
         return catalogue
 

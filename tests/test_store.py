@@ -128,7 +128,7 @@ def test_segments_are_compacted(spark, tmp_path, catalogue, monkeypatch):
     store.delete("XX-10002")
     store.add(ProductInput("A-2", "cold b", "m"))
     state = store._state()[1]
-    assert len(state["segments"]) == 2 and state["deleted"] == []
+    assert len(state["segments"]) == 1 and state["segments"][0]["dead"] == [] and state["segments"][0]["rows"] == 3
     assert {r["canonical_sku"] for r in store.products().collect()} == {"XX-10001", "A-1", "A-2"}
     assert {h["canonical_sku"] for h in store.search("cold").collect()} == {"XX-10001", "A-1", "A-2"}
     assert store.metadata()["dimensions"] == 2 and store.records().count() == 3 and store.candidates().count() == 0
