@@ -2,16 +2,19 @@
 
 Texts are cut into pieces and words. Each n-gram is owned by its rarest word, the pivot (of equals
 the leftmost). For each word that can be a pivot, the piece around it is rewritten: up to three
-words on each side, cut where a rarer word or one under `least` occurrences stands, for no n-gram
-across such a word can belong to this pivot. The fragments go to the pivot's partition, equal ones
-counted together; there each gives the n-grams that hold its pivot, and nothing else.
-
-How rare a word is is read from `COUNTERS` hashed counters of the frequent words, which is all that
-is broadcast. Any order that depends on the word alone gives each occurrence of an n-gram the same
-owner, so words that share a counter change who counts, not what is counted. Pivots of more
-occurrences than a share of all words are dealt to several partitions by fragment; a sum over
-phrases puts their parts together. What a phrase is measured by, its parts' counts and the longer
-phrases that cover it, are joins with the frequent phrases, hot parts dealt out by `join_hot`.
+words on each side, cut where a rarer word stands, one under `least` occurrences, or a pair of words
+that is itself under `least`, for no n-gram across such a place can belong to this pivot and be
+frequent. The fragments go to the pivot's partition, equal ones counted together; there each gives
+the n-grams that hold its pivot, and nothing else. So pairs are mined first and longer phrases next.
+
+How rare a word is is read from `COUNTERS` hashed counters of the frequent words, and which pairs
+are frequent from `PAIR_BITS` bits; these are all that is broadcast. Any order that depends on the
+word alone gives each occurrence of an n-gram the same owner, and a pair that shares a bit is only
+not cut, so hashes that agree change who counts, not what is counted. Pivots of more occurrences than
+a share of all words are dealt to several partitions by fragment; a sum over phrases puts their parts
+together. What a phrase is measured by, its parts' counts and the longer phrases that cover it, are
+joins with the frequent phrases, hot parts dealt out by `join_hot`. Ranks are places in a range
+partitioning plus what stands in the partitions before, so no language is in one task.
 
 Edge cases: a null text is empty; a null language is `und`; texts without words give nothing; very
 long texts are cut into pieces like others; repeated rows count as often as they are there; ties go
@@ -37,6 +40,7 @@ from .shingles import grouped, mix, words_in
 by_value()
 
 COUNTERS = 1 << 20
+PAIR_BITS = 1 << 26
 LONGEST = 4
 #: Keys that a task counts before it sends what it has.
 FLUSH = 300_000
@@ -102,27 +106,69 @@ def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["counter", "n"])
 
 
-def fragments(texts: list[bytes], lang: str, counters: np.ndarray, hot: int) -> dict[tuple[int, int], Counter]:
-    """For each (words before the pivot, partitions that the pivot is dealt to): fragments and how often they occur."""
-    out: dict[tuple[int, int], Counter] = defaultdict(Counter)
+class Words:
+    """The words of some texts of one language, in order, with their ranks and what joins them."""
+
+    def __init__(self, texts: list[bytes], lang: str, counters: np.ndarray):
+        texts = [_BLANKS.sub(b" ", t.translate(PIECES)) for t in texts]
+        words = words_in(texts, _TO_WORDS)
+        self.start, self.end = words.start, words.end
+        self.raw = b"\n".join([*texts, b""])  # the places of `words`, with what ends a piece
+        self.hash, place = _places(words.hash, lang)
+        self.seen = counters[place]
+        # The rarer, the smaller; 0 for words under the limit, which nothing reaches across.
+        self.rank = (np.minimum(self.seen, (1 << 31) - 1).astype(np.uint64) << np.uint64(32)) | (self.hash >> np.uint64(32))
+        self.rank[self.seen == 0] = 0
+        breaks = np.cumsum(np.frombuffer(self.raw, np.uint8) == 10)
+        # With the next word: in one piece, and both frequent.
+        self.joined = (breaks[self.start[1:]] == breaks[self.end[:-1] - 1]) & (self.rank[1:] > 0) & (self.rank[:-1] > 0)
+
+    def pairs(self) -> np.ndarray:
+        """The places in the bit map of the pairs that begin at each word but the last."""
+        return _pair_places(self.hash[:-1], self.hash[1:])
+
+
+def _pair_places(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return (mix(first * np.uint64(0x9FB21C651E98DF25) + second) & np.uint64(PAIR_BITS - 1)).astype(np.int64)
+
+
+#: For each (words before the pivot, partitions that the pivot is dealt to): fragments and how often they occur.
+Fragments = dict[tuple[int, int], Counter]
+
+
+def _slices(words: Words, pivot: np.ndarray, left: np.ndarray, right: np.ndarray, hot: int, out: Fragments) -> None:
+    kinds = left * (1 << 40) + words.seen[pivot] // hot + 1
+    raw = words.raw
+    for kind in np.unique(kinds).tolist():
+        mine = kinds == kind
+        own = pivot[mine]
+        spans = zip(words.start[own - left[mine]].tolist(), words.end[own + right[mine]].tolist(), strict=True)
+        out[kind >> 40, kind & ((1 << 40) - 1)].update([raw[a:b] for a, b in spans])
+
+
+def pair_fragments(texts: list[bytes], lang: str, counters: np.ndarray, hot: int) -> Fragments:
+    """Each pair of frequent words is a fragment of its own."""
+    out: Fragments = defaultdict(Counter)
     for group in grouped(texts, 1 << 20):
-        group = [_BLANKS.sub(b" ", t.translate(PIECES)) for t in group]
-        words = words_in(group, _TO_WORDS)
-        if len(words.start) < 2:
+        words = Words(group, lang, counters)
+        first = np.flatnonzero(words.joined)
+        left = (words.rank[first + 1] < words.rank[first]).astype(np.int64)
+        _slices(words, first + left, left, 1 - left, hot, out)
+    return out
+
+
+def fragments(texts: list[bytes], lang: str, counters: np.ndarray, hot: int, pairs: np.ndarray) -> Fragments:
+    """Fragments of three words or more, across frequent pairs only (`pairs`: their bits)."""
+    out: Fragments = defaultdict(Counter)
+    for group in grouped(texts, 1 << 20):
+        words = Words(group, lang, counters)
+        rank, joined, at = words.rank, words.joined, words.pairs()
+        if not len(at):
             continue
-        raw = b"\n".join([*group, b""])  # the places of `words`, with what ends a piece
-        hashes, place = _places(words.hash, lang)
-        seen = counters[place]
-        # The rarer, the smaller; 0 for words under the limit, which nothing reaches across.
-        rank = (np.minimum(seen, (1 << 31) - 1).astype(np.uint64) << np.uint64(32)) | (hashes >> np.uint64(32))
-        rank[seen == 0] = 0
-        breaks = np.cumsum(np.frombuffer(raw, np.uint8) == 10)
-        joined = breaks[words.start[1:]] == breaks[words.end[:-1] - 1]  # with the next word
+        joined &= (pairs[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         left, right = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
         to_left, to_right = rank > 0, rank > 0
-        for d in range(1, LONGEST):
-            if d >= len(rank):
-                break
+        for d in range(1, min(LONGEST, len(rank))):
             near = joined[: len(rank) - d].copy()
             for step in range(1, d):
                 near &= joined[step : len(rank) - d + step]
@@ -132,19 +178,16 @@ def fragments(texts: list[bytes], lang: str, counters: np.ndarray, hot: int) ->
             to_right[:-d] &= near & (rank[d:] >= rank[:-d])
             left += to_left
             right += to_right
-        pivot = np.flatnonzero(left + right)
-        parts = seen[pivot] // hot + 1
-        kinds = left[pivot] * (1 << 40) + parts
-        for kind in np.unique(kinds).tolist():
-            own = pivot[kinds == kind]
-            spans = zip(words.start[own - left[own]].tolist(), words.end[own + right[own]].tolist(), strict=True)
-            out[kind >> 40, kind & ((1 << 40) - 1)].update([raw[a:b] for a, b in spans])
+        pivot = np.flatnonzero(left + right >= 2)
+        _slices(words, pivot, left[pivot], right[pivot], hot, out)
     return out
 
 
 def _rewrite(shipped: Shipped, hot: int):
+    """The fragments of pairs, or, where bits of pairs are shipped beside the counters, the longer ones."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = shipped.value
+        counters, pairs = shipped.value
         held: dict[tuple[str, int, int], Counter] = defaultdict(Counter)
 
         def sent() -> Iterator[pa.RecordBatch]:
@@ -164,7 +207,8 @@ def _rewrite(shipped: Shipped, hot: int):
 
         for batch in batches:
             for lang, texts in _by_lang(batch).items():
-                for (left, parts), c in fragments(texts, lang, counters, hot).items():
+                found = pair_fragments(texts, lang, counters, hot) if pairs is None else fragments(texts, lang, counters, hot, pairs)
+                for (left, parts), c in found.items():
                     held[lang, left, parts].update(c)
             if sum(map(len, held.values())) > FLUSH:
                 yield from sent()
@@ -173,40 +217,48 @@ def _rewrite(shipped: Shipped, hot: int):
     return run
 
 
-def _mine(least: int):
-    """The n-grams that hold the pivots of a partition sorted by pivot, part and language, counted pivot by pivot."""
+def _n_grams(sizes: range) -> str:
+    """The n-grams of a fragment that hold its pivot."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        key = None
-
-        def sent() -> pa.RecordBatch:
-            enough = least if key and key[3] else 1
-            kept = [(p, n) for p, n in counts.items() if n >= enough]
-            counts.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([key[0] if key else None] * len(kept), pa.string()), _texts([p for p, _ in kept]), pa.array([n for _, n in kept], pa.int64())],
-                names=["lang", "phrase", "f"],
-            )
+    def of(k: int) -> str:
+        low, high = f"greatest(0, before - {k - 1})", f"least(before, size(words) - {k})"
+        grams = f"transform(sequence({low}, {high}), s -> array_join(slice(words, s + 1, {k}), ' '))"
+        return f"CASE WHEN {high} >= {low} THEN {grams} ELSE array() END"
 
-        for batch in batches:
-            lang, pivot, part, whole = (batch.column(i).to_pylist() for i in (0, 1, 2, 3))
-            before, found, n = batch.column(4).to_pylist(), as_bytes(batch.column(5)), batch.column(6).to_pylist()
-            out = []
-            for row in zip(lang, pivot, part, whole, before, found, n, strict=True):
-                if row[:4] != key:
-                    if counts:
-                        out.append(sent())
-                    key = row[:4]
-                words, left, times = row[5].split(b" "), row[4], row[6]
-                for s in range(left + 1):
-                    for e in range(max(left + 1, s + 2), min(s + LONGEST, len(words)) + 1):
-                        counts[b" ".join(words[s:e])] += times
-            if out := [x for x in out if x.num_rows]:
-                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
-        yield sent()
+    return f"concat({', '.join(of(k) for k in sizes)})"
 
-    return run
+
+def _mined(texts: DataFrame, shipped: Shipped, hot: int, parts: int, least: int, sizes: range) -> DataFrame:
+    """lang, phrase, f of the frequent phrases of these sizes."""
+    rows = texts.mapInArrow(_rewrite(shipped, hot), "lang string, before int, fragment string, n bigint, part int, whole boolean")
+    pivot = F.split_part("fragment", F.lit(" "), F.col("before") + 1).alias("pivot")
+    dealt = rows.select("lang", pivot, "part", "whole", "before", "fragment", "n").repartition(parts, "lang", "pivot", "part")
+    if len(sizes) == 1:  # fragments of pairs are the pairs
+        grams = dealt.withColumnRenamed("fragment", "phrase")
+    else:
+        grams = dealt.withColumn("words", F.split("fragment", " ")).withColumn("phrase", F.explode(F.expr(_n_grams(sizes))))
+    # A partition has all fragments of its pivots: this sum needs no exchange.
+    own = grams.groupBy("lang", "pivot", "part", "whole", "phrase").agg(F.sum("n").alias("f"))
+    own = own.filter((F.col("f") >= least) | ~F.col("whole"))
+    # What is left to add up are the parts of pivots that were dealt out.
+    return own.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+
+
+def _pair_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lang, pairs in _by_lang(batch).items():
+            hashes = _places(words_in(pairs).hash, lang)[0].reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(_pair_places(hashes[:, 0], hashes[:, 1]))], names=["at"])
+
+
+def _frequent_pairs(pairs: DataFrame) -> np.ndarray:
+    """A bit for the hash of each pair, in PAIR_BITS bits."""
+    at = pairs.select("lang", "phrase").mapInArrow(_pair_bits, "at bigint")
+    page, place = F.floor(F.col("at") / 32768), F.col("at") % 32768
+    out = np.zeros((max(1, PAIR_BITS // 32768), 4096), np.uint8)
+    for r in at.groupBy(page.alias("page")).agg(F.bitmap_construct_agg(place).alias("bits")).collect():
+        out[r["page"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
 
 
 def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30) -> tuple[DataFrame, DataFrame]:
@@ -223,14 +275,11 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", le
     counters = np.zeros(COUNTERS, np.int64)
     counters[told.column("counter").to_numpy()] = told.column("n").to_numpy()
     hot = min(MOST_WORDS, max(HOT_WORDS, total // HOT_SHARE))
-    rows = texts.mapInArrow(_rewrite(Shipped(spark, counters), hot), "lang string, before int, fragment string, n bigint, part int, whole boolean")
-    rows = rows.select("lang", F.split_part("fragment", F.lit(" "), F.col("before") + 1).alias("pivot"), "part", "whole", "before", "fragment", "n")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART_WORDS)
-    dealt = rows.repartition(parts, "lang", "pivot", "part").sortWithinPartitions("lang", "pivot", "part", "whole")
-    grams = dealt.mapInArrow(_mine(least), "lang string, phrase string, f bigint")
-    # Sums only matter to pivots that were dealt out; of the others what is frequent arrives, once.
-    grams = grams.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
-    both = single.select("lang", "phrase", "f").unionAll(grams)
+    pairs = materialise(_mined(texts, Shipped(spark, (counters, None)), hot, parts, least, range(2, 3)), "pairs", few=True)
+    known = Shipped(spark, (counters, _frequent_pairs(pairs)))
+    longer = _mined(texts, known, hot, parts, least, range(3, LONGEST + 1))
+    both = single.select("lang", "phrase", "f").unionAll(pairs).unionAll(longer)
     size = (F.length("phrase") - F.length(F.translate("phrase", " ", "")) + 1).cast("int")
     return materialise(both.withColumn("size", size), "phrases", few=True), totals
 
@@ -277,9 +326,15 @@ def collocations(
     """lang, rank, phrase, a, l, r, n, score: the `top` phrases of each language."""
     found, totals = frequent(docs, text_col, lang_col, least)
     left = score(found).join(covered(found), ["lang", "phrase"], "left_anti")
+    left = materialise(left, "scored", few=True)
     order = [F.desc("score"), F.desc("a"), "phrase"]
-    # First the best of each of many parts of a language, for one task can't sort all of it.
-    deal = F.pmod(F.xxhash64("phrase"), F.lit(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    some = left.withColumn("rank", F.row_number().over(Window.partitionBy("lang", deal).orderBy(*order))).filter(F.col("rank") <= top)
-    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
+    # Places in ranges of the whole order; a place counts from what the language has in the ranges before.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = left.repartitionByRange(parts, "lang", *order).withColumn("range", F.spark_partition_id())
+    ranged = materialise(ranged, "ranged")
+    sizes = ranged.groupBy("lang", "range").agg(F.count("*").alias("size"))
+    through = F.sum("size").over(Window.partitionBy("lang").orderBy("range"))
+    before = sizes.select("lang", "range", (through - F.col("size")).alias("before")).filter(F.col("before") < top)
+    own = F.row_number().over(Window.partitionBy("lang", "range").orderBy(*order))
+    ranked = ranged.join(before, ["lang", "range"]).withColumn("rank", own + F.col("before")).filter(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -74,21 +74,30 @@ def test_counters_that_words_share_change_nothing(spark, monkeypatch):
     """With two counters nearly all words tie, so owners are told apart by hash or position alone."""
     rows = texts()
     monkeypatch.setattr(phrases, "COUNTERS", 2)
+    monkeypatch.setattr(phrases, "PAIR_BITS", 32768)
     got = phrases.collocations(spark.createDataFrame(rows, DOCS).repartition(3), least=5)
     assert sorted(map(tuple, got.collect())) == brute(rows, 5)
 
 
-def test_each_occurrence_has_one_owner():
-    """What the fragments give, without any limit, is each n-gram as often as it occurs."""
-    text = b"a b a c b a a d. c a b b a"
-    counters = np.ones(phrases.COUNTERS, np.int64)
+def mined(fragments, sizes):
+    """The n-grams of these sizes that hold the pivot of each fragment."""
     got = Counter()
-    for (left, _), found in phrases.fragments([text], "en", counters, 100).items():
+    for (left, _), found in fragments.items():
         for fragment, times in found.items():
             words = fragment.split(b" ")
             for s in range(left + 1):
                 for e in range(max(left + 1, s + 2), min(s + 4, len(words)) + 1):
-                    got[tuple(words[s:e])] += times
+                    if e - s in sizes:
+                        got[tuple(words[s:e])] += times
+    return got
+
+
+def test_each_occurrence_has_one_owner():
+    """What the fragments give, without any limit, is each n-gram as often as it occurs."""
+    text = b"a b a c b a a d. c a b b a"
+    counters, every = np.ones(phrases.COUNTERS, np.int64), np.full(phrases.PAIR_BITS // 8, 255, np.uint8)
+    got = mined(phrases.pair_fragments([text], "en", counters, 100), {2})
+    got += mined(phrases.fragments([text], "en", counters, 100, every), {3, 4})
     want = Counter()
     for piece in text.split(b". "):
         words = piece.split(b" ")
@@ -97,15 +106,25 @@ def test_each_occurrence_has_one_owner():
     assert got == want
 
 
-def test_rare_words_cut_fragments():
+def test_rare_words_and_pairs_cut_fragments():
     counters = np.zeros(phrases.COUNTERS, np.int64)
     for word, n in ((b"the", 90), (b"of", 80), (b"city", 50)):
         counters[phrases._places(phrases.words_in([word]).hash, "en")[1]] = n
-    found = phrases.fragments([b"the city of the rare the of the the the city"], "en", counters, 10**6)
+    bits = np.full(phrases.PAIR_BITS // 8, 255, np.uint8)
+    text = b"the city of the rare the of the the the city"
+    found = phrases.fragments([text], "en", counters, 10**6, bits)
     assert found == {
         (1, 1): {b"the city of the": 1, b"the of the the the": 1},
         (3, 1): {b"the the the city": 1},
-        (0, 1): {b"of the": 1, b"the the the": 1, b"the the": 1},
+        (0, 1): {b"the the the": 1},
+    }
+    hashes = phrases._places(phrases.words_in([b"of the"]).hash, "en")[0]
+    (at,) = phrases._pair_places(hashes[:1], hashes[1:])
+    bits[at >> 3] &= 255 ^ (1 << (at & 7))
+    assert phrases.fragments([text], "en", counters, 10**6, bits) == {
+        (1, 1): {b"the city of": 1},
+        (3, 1): {b"the the the city": 1},
+        (0, 1): {b"the the the": 1},
     }
 
 
