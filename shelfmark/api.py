@@ -9,11 +9,13 @@ from dataclasses import MISSING, fields
 from pathlib import Path
 from urllib.parse import parse_qs, unquote
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark import workspace
 from shelfmark.functions import parse
-from shelfmark.plans.catalogue import Catalogue
+from shelfmark.operators import words
+from shelfmark.plans.catalogue import Catalogue, build_catalogue
 from shelfmark.store import CatalogueStore, ConcurrentWrite, InvalidProduct, ProductConflict, ProductInput, ProductNotFound
 
 PAGE = Path(__file__).parent / "page.html"
@@ -141,12 +143,33 @@ def serve(api: Api, host: str = "127.0.0.1", port: int = 8000) -> None:
         server.serve_forever()
 
 
+def from_files(spark: SparkSession, path: str, csv: str, html: str | None = None) -> Api:
+    """A store whose embedder has learnt its words from the catalogue that the store starts with.
+
+    The model is kept in the store's folder `model`; the first request builds the catalogue, step by
+    step and once, learns from its products and seeds the store with them.
+    """
+    built: list[Catalogue] = []
+
+    def step(table: DataFrame, kind: str) -> DataFrame:
+        folder = workspace.new_folder(spark, kind)
+        table.write.parquet(folder)
+        return spark.read.parquet(folder)
+
+    def opened() -> CatalogueStore:
+        if not CatalogueStore.has_model(spark, path):
+            built.append(build_catalogue(spark, csv, html, step))
+            words.save(words.train(built[0].products), spark, f"{path}/model")
+        return CatalogueStore(spark, path, words.load(spark, f"{path}/model"))
+
+    return Api(opened, lambda save: built.pop() if built else build_catalogue(spark, csv, html, save))
+
+
 def main(argv: list[str] | None = None) -> None:
     """Serve a store that is seeded from the given files on the first request, unless it was before."""
     from argparse import ArgumentParser
 
     from pyspark.sql import SparkSession
-    from shelfmark.plans.catalogue import build_catalogue
 
     parser = ArgumentParser(description=main.__doc__)
     parser.add_argument("store", help="folder of the store")
@@ -156,8 +179,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--port", type=int, default=8000)
     given = parser.parse_args(argv)
     spark = SparkSession.builder.appName("shelfmark").getOrCreate()
-    api = Api(lambda: CatalogueStore(spark, given.store), lambda save: build_catalogue(spark, given.csv, given.html, save))
-    serve(api, given.host, given.port)
+    serve(from_files(spark, given.store, given.csv, given.html), given.host, given.port)
 
 
 if __name__ == "__main__":

@@ -180,7 +180,7 @@ class CatalogueStore:
             "embedding_recipe": embedding.RECIPE,
         }
         if not self._versions():
-            if self._exists() and any(s.getPath().getName() != "manifests" for s in self._fs.listStatus(self._jvm_path(self.path))):
+            if any(name not in ("manifests", "model") for name, _ in self._names("")):
                 raise RuntimeError("the folder has files but no manifest")
             try:
                 self._publish(0, expected | {"seeded": False, "dimensions": None, "segments": [], "events": []})
@@ -191,6 +191,12 @@ class CatalogueStore:
             if state.get(key) != value:
                 raise RuntimeError(f"store has {key} {state.get(key)!r}, expected {value!r}")
 
+    @staticmethod
+    def has_model(spark: SparkSession, path: str) -> bool:
+        """Whether the folder `model` of the store at `path` is written."""
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/model/_SUCCESS")
+        return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
     # -- manifests and files -------------------------------------------------------------------
 
     def _exists(self, name: str = "") -> bool:
@@ -567,7 +573,7 @@ class CatalogueStore:
         changed = dict(self._names("manifests"))
         gone = [f"manifests/{v:010d}.json" for v in versions if v not in kept and changed.get(f"{v:010d}.json", old) <= old]
         for kind, _ in self._names(""):
-            if kind not in ("manifests", "leases"):
+            if kind not in ("manifests", "leases", "model"):
                 gone += [f"{kind}/{n}" for n, at in self._names(kind) if f"{kind}/{n}" not in named and at <= old]
         for name in gone:  # manifests first: a version is never without its files
             self._remove(name)
