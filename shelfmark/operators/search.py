@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .vectors import dot
+from .vectors import _matrix, dot
+
+#: Queries that go through one scan; more are taken in blocks of so many, a scan for each.
+QUERIES = 2_000
 
 
 def passes(manufacturer: str | None, category: str | None) -> Column:
@@ -57,6 +64,69 @@ def top_k(products: DataFrame, vectors: DataFrame, query: list[float], limit: in
     return best(products.join(F.broadcast(hits), "canonical_sku"), limit)
 
 
+class Best:
+    """The best rows of each of some queries so far; of equal scores those with the smaller keys."""
+
+    def __init__(self, queries: np.ndarray, limit: int):
+        self.queries, self.limit = queries, limit
+        self.place, self.score, self.key = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+        self.worst = np.full(len(queries), -np.inf)
+        #: More than rounding can make of a product, however it is summed, for vectors of length one.
+        self.slack = 4 * (queries.shape[1] + 4) * np.finfo(float).eps * np.sqrt((queries**2).sum(axis=1))
+
+    def take(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        rough = rows @ self.queries.T
+        slack = self.slack * np.sqrt((rows**2).sum(axis=1).max(initial=0.0))
+        low = self.worst - slack
+        if len(rows) >= self.limit:
+            low = np.maximum(low, np.partition(rough, len(rows) - self.limit, axis=0)[len(rows) - self.limit] - 2 * slack)
+        row, place = np.nonzero(rough >= low)
+        score = np.zeros(len(row))  # summed in the order of components, as any engine sums it
+        for x, q in zip(rows.T, self.queries.T, strict=True):
+            score += x[row] * q[place]
+        place, score = np.concatenate([self.place, place]), np.concatenate([self.score, score])
+        key = np.concatenate([self.key, keys[row]])
+        order = np.lexsort((key, -score, place))
+        place = place[order]
+        turn = np.arange(len(place)) - np.searchsorted(place, place)
+        order, place = order[turn < self.limit], place[turn < self.limit]
+        self.place, self.score, self.key = place, score[order], key[order]
+        full = turn[turn < self.limit] == self.limit - 1
+        self.worst[place[full]] = self.score[full]
+
+
+def _best_of_each(queries: np.ndarray, limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(queries, limit)
+        for batch in batches:
+            if batch.num_rows:
+                best.take(np.array(batch.column(0).to_pylist(), object), _matrix(batch.column(1)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(best.place), pa.array(best.key.tolist(), pa.string()), pa.array(best.score)], names=["query", "key", "score"]
+        )
+
+    return run
+
+
+def top_k_many(table: DataFrame, key: str, vector: str, queries: list[list[float]], limit: int) -> DataFrame:
+    """query (its place in `queries`), rank, key, score: the `limit` best rows of each query, ties to the smaller key.
+
+    All queries are scored in one scan, a block of rows at a time; a task sends `limit` rows of each
+    query at most. `key` is a string.
+    """
+    slim = table.select(F.col(key).alias("key"), F.col(vector).alias("vector"))
+    out = None
+    for at in range(0, len(queries), QUERIES):
+        found = slim.mapInArrow(_best_of_each(np.array(queries[at : at + QUERIES], float), limit), "query bigint, key string, score double")
+        found = found.withColumn("query", F.col("query") + at)
+        out = found if out is None else out.unionAll(found)
+    if out is None:
+        out = slim.sparkSession.createDataFrame([], "query bigint, key string, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "key")
+    ranked = out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    return ranked.select("query", "rank", F.col("key").alias(key), "score")
+
+
 def strongest_fields(field_vectors: DataFrame, hits: DataFrame, query: list[float], limit: int = 2) -> DataFrame:
     """canonical_sku, drivers: `field 0.12` of the best fields of each hit; only the hits' vectors are read.
 

@@ -9,6 +9,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,15 +110,78 @@ def product_vectors(fields: DataFrame, key: str = "canonical_sku") -> DataFrame:
     )
 
 
+#: Keys whose sums a task holds before it sends them.
+HELD_KEYS = 1_000
+
+
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    """The vectors of a batch as rows; they must be of one length."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if len(lengths) and lengths.min() != lengths.max():
+        raise RuntimeError("embedding dimensions differ")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lengths), -1 if len(column.flatten()) else 0)
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial sums and counts by key; a hot key is one row of a task, many keys are sent as they come."""
+    held: dict = {}
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        if held:
+            keys, (sums, counts) = list(held), zip(*held.values(), strict=True)
+            columns = [pa.array(keys, kind), pa.array([x.tobytes() for x in sums], pa.binary()), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "sum", "n"])
+            held.clear()
+
+    for batch in batches:
+        keys = batch.column(0)
+        kind = keys.type
+        told = keys.dictionary_encode("encode") if not pa.types.is_dictionary(keys.type) else keys
+        code, rows = told.indices.to_numpy(), _matrix(batch.column(1))
+        sums = np.zeros((len(told.dictionary), rows.shape[1]))
+        np.add.at(sums, code, rows)
+        counts = np.bincount(code, minlength=len(sums))
+        for key, total, n in zip(told.dictionary.to_pylist(), sums, counts.tolist(), strict=True):
+            before = held.get(key)
+            if before is not None and len(before[0]) != len(total):
+                raise RuntimeError("embedding dimensions differ")
+            held[key] = (total, n) if before is None else (before[0] + total, before[1] + n)
+        if len(held) > HELD_KEYS:
+            yield from sent()
+    yield from sent()
+
+
+def _means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The means of a partition that is sorted by key."""
+    now, total, count = None, None, 0
+
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([(total / count).tolist()], pa.list_(pa.float64()))], names=["key", "mean"])
+
+    for batch in batches:
+        kind, out = batch.column(0).type, []
+        for key, part, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            part = np.frombuffer(part)
+            if count and key == now:
+                if len(part) != len(total):
+                    raise RuntimeError("embedding dimensions differ")
+                total, count = total + part, count + n
+                continue
+            if count:
+                out.append(told())
+            now, total, count = key, part, n
+        yield from pa.Table.from_batches(out).combine_chunks().to_batches() if out else []
+    if count:
+        yield told()
+
+
 def centroids(vectors: DataFrame, key: str, vector: str = "vector") -> DataFrame:
     """key, vector, dims: the normalized mean of each key's vectors, of any number. Unequal lengths stop the job.
 
-    One aggregate with a partial mean for each component: a row of vectors is never taken apart.
+    Each task adds up what it reads, in blocks; only sums travel. Null vectors count for nothing.
     """
-    told = vectors.agg(F.min(F.size(vector)).alias("least"), F.max(F.size(vector)).alias("most")).collect()[0]
-    dims = told["most"] or 0
-    if dims != (told["least"] or 0):
-        raise RuntimeError("embedding dimensions differ")
-    means = [F.avg(F.col(vector)[i].cast("double")) for i in range(dims)]
-    mean = F.array(*means) if means else F.array().cast("array<double>")
-    return vectors.groupBy(key).agg(mean.alias("mean")).select(key, unit(F.col("mean")).alias("vector"), F.lit(dims).alias("dims"))
+    kind = vectors.schema[key].dataType.simpleString()
+    rows = vectors.filter(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("vector"))
+    sums = rows.mapInArrow(_sums, f"key {kind}, sum binary, n bigint").repartition("key").sortWithinPartitions("key")
+    means = sums.mapInArrow(_means, f"key {kind}, mean array<double>")
+    return means.select(F.col("key").alias(key), unit(F.col("mean")).alias("vector"), F.size("mean").alias("dims"))

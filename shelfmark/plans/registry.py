@@ -419,6 +419,24 @@ def filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select(F.col("canonical_sku").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
+#: Query vectors by rule, so that SQL has them too.
+MANY = 40
+_MANY_SQL = f"SELECT q, list_transform(range(0, 64), lambda i: CAST((i * (q + 2) + q * q) % 11 - 5 AS DOUBLE)) AS v FROM range(0, {MANY}) AS t(q)"
+
+
+@query(
+    f"""WITH a AS ({_MANY_SQL}), s AS (SELECT q, vec_id, list_dot_product(CAST(embedding AS DOUBLE[]), v) AS score FROM embeddings, a WHERE label IN (1, 3, 5))
+        SELECT q AS query, rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, CAST(vec_id AS VARCHAR)) AS rank FROM s)
+        WHERE rank <= 10"""
+)
+def filtered_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of queries in one scan, a filter before the ranking."""
+    queries = [[float((i * (q + 2) + q * q) % 11 - 5) for i in range(64)] for q in range(MANY)]
+    table = _read(spark, sf_dir, "embeddings").filter(F.col("label").isin(1, 3, 5)).withColumn("sku", F.col("vec_id").cast("string"))
+    found = ranking.top_k_many(table, "sku", "embedding", queries, 10)
+    return found.select("query", F.col("rank").cast("bigint").alias("rank"), F.col("sku").cast("bigint").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 @query(
     """WITH m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, range(1, 65) AS r(i) GROUP BY 1, 2),
         n AS (SELECT label, sqrt(sum(x * x)) AS length FROM m GROUP BY 1)

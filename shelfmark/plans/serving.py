@@ -77,10 +77,10 @@ def _escaped(text: Column) -> Column:
 
 
 def _write_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    """Paths of the CSV file and the page. Row order is part of the format, so each is one file."""
+    """Folders of CSV files and of pages. Order is part of the formats: rows and cards are in that of the files' names."""
     csv, page = workspace.new_folder(spark, "rows-csv"), workspace.new_folder(spark, "page-html")
     fields = {field: column for column, field in csv_rows.HEADER.items()}
-    rows = raw_rows(spark, sf_dir).repartition(1).sortWithinPartitions("row_number").drop("row_number")
+    rows = raw_rows(spark, sf_dir).repartitionByRange("row_number").sortWithinPartitions("row_number").drop("row_number")
     keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     rows.select(*[F.col(f).alias(fields[f]) for f in rows.columns]).write.options(header=True, quoteAll=True, escape='"', **keep).csv(csv)
     card = F.concat(
@@ -90,9 +90,11 @@ def _write_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
         F.lit('</p><ul class="specs"><li>Przechowywanie: '), _escaped(F.col("storage")),
         F.lit("</li><li>Zastosowania: "), _escaped(F.col("applications")), F.lit("</li></ul></div>"),
     )
-    cards = _cards(spark, sf_dir).agg(F.array_sort(F.collect_list(F.struct("at", card.alias("html")))).alias("all"))
+    cards = _cards(spark, sf_dir).groupBy(F.expr("at div 100").alias("page"))
+    cards = cards.agg(F.array_sort(F.collect_list(F.struct("at", card.alias("html")))).alias("all"))
     body = F.concat(F.lit("<html><body>"), F.array_join(F.transform("all", lambda c: c["html"]), "\n"), F.lit("</body></html>"))
-    cards.select(body.alias("value")).write.text(page)
+    pages = cards.repartitionByRange("page").sortWithinPartitions("page")
+    pages.select(body.alias("value")).write.text(page)
     return csv, page
 
 

@@ -660,3 +660,29 @@ class CatalogueStore:
         hits = ranking.top_k(products.drop("row"), vectors, vector, limit, condition)
         drivers = ranking.strongest_fields(fields, hits, vector)
         return ranking.explain(hits, drivers, manufacturer, category)
+
+    def search_many(
+        self, queries: list[str], manufacturer: str | None = None, category: str | None = None, limit: int = 5
+    ) -> DataFrame | None:
+        """query, rank, canonical_sku, score and match_type of many searches in one scan, each as `search` gives it."""
+        if limit < 1:
+            raise ValueError(f"limit must be at least 1, got {limit}")
+        now = self.snapshot()
+        if not now.state["segments"]:
+            return None
+        folded = _fold(" ".join(manufacturer.split())) if manufacturer and manufacturer.strip() else None
+        key = " ".join(category.split()).upper() if category and category.strip() else None
+        wanted = lambda s: can_pass(s, folded, key)
+        asked = self.spark.createDataFrame(list(enumerate(queries)), "query bigint, text string")
+        asked = asked.select("query", sku_form(F.col("text")).alias("sku"))
+        named = now.table("identifiers").join(F.broadcast(asked), "sku").select("query", "canonical_sku")  # the caller's list
+        exact = {r["query"]: r["canonical_sku"] for r in named.collect()}
+        rest = [i for i in range(len(queries)) if i not in exact]
+        vectors = [embedding.unit_vector(v) for v in self.embedder.embed([queries[i] for i in rest])] if rest else []
+        passing = now.table("products", wanted).filter(ranking.passes(folded, key)).select("canonical_sku")
+        table = now.table("vectors", wanted).join(passing, "canonical_sku", "left_semi")
+        found = ranking.top_k_many(table, "canonical_sku", "vector", vectors, limit).withColumn("match_type", F.lit("semantic"))
+        places = self.spark.createDataFrame(list(enumerate(rest)), "query bigint, place bigint")
+        found = found.join(F.broadcast(places), "query").select(F.col("place").alias("query"), "rank", "canonical_sku", "score", "match_type")
+        hits = self.spark.createDataFrame(sorted(exact.items()), "query bigint, canonical_sku string").join(passing, "canonical_sku", "left_semi")
+        return found.unionAll(hits.select("query", F.lit(1).alias("rank"), "canonical_sku", F.lit(1.0).alias("score"), F.lit("exact_sku").alias("match_type")))

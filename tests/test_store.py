@@ -1,5 +1,6 @@
 """The store: seed once, add, delete, search, and what it refuses."""
 
+import numpy as np
 import pytest
 from shelfmark.operators.normalize import normalize
 from shelfmark.operators.resolve import resolve
@@ -145,6 +146,64 @@ def test_vectors_of_products_and_groups(spark):
     bad = fields.unionAll(spark.createDataFrame([("a", "z", [1.0])], fields.schema))
     with pytest.raises(Exception, match="dimensions differ"):
         product_vectors(bad).collect()
-    with pytest.raises(RuntimeError, match="dimensions differ"):
-        centroids(bad, "canonical_sku")
+    for spread in (bad.coalesce(1), bad.repartition(4, "vector")):
+        with pytest.raises(Exception, match="dimensions differ"):
+            centroids(spread, "canonical_sku").collect()
     assert centroids(fields.limit(0), "canonical_sku").count() == 0 and product_vectors(fields.limit(0)).count() == 0
+
+
+def test_centroids_of_many_and_hot_keys(spark, monkeypatch):
+    from shelfmark.operators import vectors
+
+    rng = np.random.default_rng(1)
+    keys = [None if k > 90 else 0 if k > 40 else int(k) for k in rng.integers(0, 100, size=3000)]
+    rows = [(k, [float(x) for x in v]) for k, v in zip(keys, rng.normal(size=(3000, 6)) + 1, strict=True)] + [(5, None)]
+    table = spark.createDataFrame(rows, "k int, v array<double>").repartition(5)
+    for held in (1000, 7):
+        monkeypatch.setattr(vectors, "HELD_KEYS", held)
+        got = {r["k"]: r["vector"] for r in vectors.centroids(table, "k", "v").collect()}
+        assert set(got) == set(keys)
+        for k, vector in got.items():
+            mean = np.mean([v for x, v in rows if x == k and v], axis=0)
+            assert np.allclose(vector, mean / np.linalg.norm(mean))
+
+
+@pytest.mark.parametrize("kind", ["random", "ties"])
+def test_many_queries_in_one_scan(spark, monkeypatch, kind):
+    """Each query's best rows as a full sort gives them, with ties in any number and blocks of queries."""
+    from shelfmark.operators import search
+
+    rng = np.random.default_rng(3)
+    make = (lambda n: rng.normal(size=(n, 5))) if kind == "random" else (lambda n: rng.integers(-1, 2, size=(n, 5)).astype(float))
+    rows, queries = make(700), make(23)
+    monkeypatch.setattr(search, "QUERIES", 10)
+    table = spark.createDataFrame([(f"k{i}", v.tolist()) for i, v in enumerate(rows)], "sku string, v array<double>").repartition(6)
+    got = search.top_k_many(table, "sku", "v", queries.tolist(), 9).orderBy("query", "rank").collect()
+    want = []
+    for q, query in enumerate(queries):
+        scores = []
+        for i, v in enumerate(rows):
+            total = 0.0
+            for x, y in zip(v, query, strict=True):
+                total += x * y
+            scores.append((-total, f"k{i}"))
+        want += [(q, r + 1, key, -s) for r, (s, key) in enumerate(sorted(scores)[:9])]
+    assert [tuple(r) for r in got] == want
+    assert search.top_k_many(table, "sku", "v", [], 3).count() == 0
+    assert search.top_k_many(table.limit(2), "sku", "v", queries.tolist(), 9).count() == 46
+
+
+def test_searching_many_is_searching_each(spark, tmp_path, catalogue):
+    store = CatalogueStore(spark, str(tmp_path / "s"), Keywords())
+    assert store.search_many(["a"]) is None
+    store.seed(catalogue)
+    store.add(ProductInput("A-1", "cold a", "Łódź"))
+    queries = ["cold", "xx-10001a", "balance", " A – 1 ", "cold"]
+    for given in ({}, {"manufacturer": " lodz "}, {"category": "lab_chemical", "limit": 1}):
+        got = sorted(map(tuple, store.search_many(queries, **given).collect()))
+        want = []
+        for i, q in enumerate(queries):
+            for r, hit in enumerate(store.search(q, **given).collect()):
+                want.append((i, r + 1, hit["canonical_sku"], hit["score"], hit["match_type"]))
+        assert [x[:3] + x[4:] for x in got] == [x[:3] + x[4:] for x in want]
+        assert np.allclose([x[3] for x in got], [x[3] for x in want])
