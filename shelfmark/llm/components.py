@@ -75,55 +75,57 @@ def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """node, comp: the smallest node of each connected component, for all nodes of the edges a, b (bigint).
 
     Loops and repeated edges do no harm. Every round is written to the shared folder and reread.
+    `rows`: about how many edges there are, if that is known.
     """
     short = edges.select("a", "b").mapInArrow(_contracted, "a bigint, b bigint")
     alone = edges.filter("a = b").select("a", "b")  # a node whose only edge is a loop
     both = short.unionAll(short.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionAll(alone)
-    both = materialise(both.distinct(), "edges", few=True)
+    both = materialise(both.distinct(), "edges", few=rows is None, rows=rows)
     ends = both.count()
     low = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("times"))
     labels = low.select(F.col("a").alias("node"), F.least("a", "low").alias("comp"), "times")
-    labels = materialise(labels, "labels", few=True)
-    total = labels.count()
+    labels = materialise(labels, "labels", rows=ends)
+    total, most = labels.agg(F.count("*"), F.max("times")).collect()[0]
     while True:
         # `both` holds each edge both ways, so a node ends as many edges as it begins.
-        near = join_hot(both.withColumnRenamed("b", "node"), labels.select("node", "comp", "times"), "node", "times", "a", total=ends)
+        near = join_hot(both.withColumnRenamed("b", "node"), labels.select("node", "comp", "times"), "node", "times", "a", total=ends, most=most or 0)
         near = near.groupBy("a").agg(F.min("comp").alias("near"))
         met = labels.join(near, labels["node"] == near["a"]).select("node", "comp", F.least("comp", "near").alias("near"))
         # The nodes and the tops of their components both take the neighbours' smallest label.
         told = met.select("node", "near").unionAll(met.filter("near < comp").select("comp", "near"))
         lower = told.groupBy("node").agg(F.min("near").alias("low"))
         hooked = labels.join(lower, "node").select("node", F.col("comp").alias("was"), F.least("comp", "low").alias("comp"), "times")
-        hooked = materialise(hooked, "hooked", few=True)
+        hooked = materialise(hooked, "hooked", rows=total)
+        if not hooked.filter("was <> comp").limit(1).count():
+            drop_table(hooked)
+            drop_table(both)
+            return labels.select("node", "comp")
         sizes = hooked.groupBy(F.col("comp").alias("top")).agg(F.count("*").alias("size"))
         tops = hooked.select(F.col("node").alias("top"), F.col("comp").alias("above")).join(sizes, "top")
-        jumped = join_hot(hooked.withColumnRenamed("comp", "top"), tops, "top", "size", "node", total=total)
-        after = materialise(jumped.select("node", "was", F.least("top", "above").alias("comp"), "times"), "labels", few=True)
-        changed = after.filter("was <> comp").limit(1).count()
+        # In a graph of few nodes no component is hot.
+        jumped = join_hot(hooked.withColumnRenamed("comp", "top"), tops, "top", "size", "node", total=total, most=total)
+        after = materialise(jumped.select("node", F.least("top", "above").alias("comp"), "times"), "labels", rows=total)
         drop_table(hooked)
         drop_table(labels)
-        labels = after.select("node", "comp", "times")
-        if not changed:
-            drop_table(both)
-            return labels.select("node", "comp")
+        labels = after
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """The components after further links: those between components join them, as a graph of components."""
     ends = links.select("a", "b")
+    size, nodes = ends.count(), labels.count()
     for end, other in (("a", "b"), ("b", "a")):
-        count = ends.groupBy(F.col(end).alias("node")).agg(F.count("*").alias("times"))
-        own = labels.select("node", "comp").join(count, "node").withColumnRenamed("node", end)
-        ends = join_hot(ends, own, end, "times", other, "left")
-        ends = ends.select(F.coalesce("comp", end).alias(end), other)
-    above = components(ends.filter("a <> b"))
+        count = ends.groupBy(end).agg(F.count("*").alias("times"))
+        own = count.join(labels.select(F.col("node").alias(end), "comp"), end)
+        ends = join_hot(ends, own, end, "times", other, "left").select(F.coalesce("comp", end).alias(end), other)
+    above = components(ends.filter("a <> b"), rows=size)
     sizes = labels.groupBy("comp").agg(F.count("*").alias("times"))
     up = sizes.join(above.select(F.col("node").alias("comp"), F.col("comp").alias("higher")), "comp", "left")
     lifted = join_hot(labels.select("node", "comp"), up, "comp", "times", "node").select("node", F.coalesce("higher", "comp").alias("comp"))
     # Nodes without a label so far are components of their own.
     fresh = above.join(labels, "node", "left_anti")
-    return materialise(lifted.unionAll(fresh), "labels", few=True)
+    return materialise(lifted.unionAll(fresh), "labels", rows=nodes + size)

@@ -30,6 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+from .components import components, merged
 from .shared import Shipped, as_bytes, by_value, drop_table, join_hot, materialise, small_batches
 from .shingles import mix, shingle_sets
 
@@ -41,6 +43,8 @@ BROADCAST_IDS = 2_000_000
 NODES_PER_TASK = 5_000
 #: Counters of shingles by their hash, which the driver adds up and broadcasts (1 MB).
 COUNTERS = 1 << 17
+#: Longs of a set's bit map, in which a shingle turns the bit of its hash.
+LONGS = 8
 #: Bits of the map of keys that several nodes have (16 MB); beyond so many keys all keys are shuffled again.
 MAP_BITS = 1 << 27
 _NO_ID = -(2**63)
@@ -92,7 +96,7 @@ def _signatures(k: int):
 
 
 def _table_keys(marked: Shipped | None = None):
-    """key, node of every table; with `marked`, a bit map of keys, only those whose bit is set."""
+    """key, node, n of every table; with `marked`, a bit map of keys, only those whose bit is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = np.triu_indices(HALVES, 1)
@@ -100,12 +104,12 @@ def _table_keys(marked: Shipped | None = None):
         for batch in batches:
             half = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint64).reshape(-1, HALVES)
             keys = mix(half[:, left] * np.uint64(0x9FB21C651E98DF25) + half[:, right]).ravel().view(np.int64)
-            node = np.repeat(batch.column(0).to_numpy(), len(left))
+            node, n = (np.repeat(batch.column(i).to_numpy(), len(left)) for i in (0, 2))
             if bits is not None:
                 at = keys & (8 * len(bits) - 1)
                 go = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                keys, node = keys[go], node[go]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node)], names=["key", "node"])
+                keys, node, n = keys[go], node[go], n[go]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node), pa.array(n)], names=["key", "node", "n"])
 
     return run
 
@@ -142,64 +146,19 @@ def _full_sets(k: int):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, comp: the smallest node of each connected component, by hooking and pointer jumping.
-
-    Every round is written to the shared folder and reread, so the lineage stays short.
-    """
-    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialise(both.distinct(), "edges", few=True)
-    low = both.groupBy("a").agg(F.min("b").alias("low"))
-    labels = materialise(low.select(F.col("a").alias("node"), F.least("a", "low").alias("comp")), "labels", few=True)
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("low"))
-        hooked = labels.join(near, labels["node"] == near["a"]).select(
-            "node", F.col("comp").alias("was"), F.least("comp", "low").alias("comp")
-        )
-        up = labels.select(F.col("node").alias("up"), F.col("comp").alias("top"))
-        jumped = hooked.join(up, F.col("comp") == F.col("up")).select("node", "was", F.least("comp", "top").alias("comp"))
-        after = materialise(jumped, "labels", few=True)
-        changed = after.filter("was <> comp").limit(1).count()
-        drop_table(labels)
-        labels = after.select("node", "comp")
-        if not changed:
-            drop_table(both)
-            return labels
-
-
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """The components after further links: those between components join them, as a graph of components."""
-    ends = links
-    for end in ("a", "b"):
-        own = labels.select(F.col("node").alias("__node"), F.col("comp").alias("__comp"))
-        ends = ends.join(own, F.col(end) == F.col("__node"), "left").withColumn(end, F.coalesce("__comp", end)).drop("__node", "__comp")
-    above = components(ends.filter("a <> b"))
-    up = above.select(F.col("node").alias("__node"), F.col("comp").alias("__comp"))
-    lifted = labels.join(up, F.col("comp") == F.col("__node"), "left").select("node", F.coalesce("__comp", "comp").alias("comp"))
-    # Nodes without a label so far are components of their own.
-    fresh = above.join(labels, "node", "left_anti")
-    return materialise(lifted.unionAll(fresh), "labels", few=True)
-
-
-def _sized(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose set sizes allow the similarity."""
-    a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"))
-    b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"))
-    fit = pairs.join(a, "a").join(b, "b").filter(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
-    return fit.select("a", "b")
-
-
 def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b and linked of each pair, by full sets."""
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
+    """a, b and linked of the pairs, by full sets. A node can be `a` in any number of pairs, which are dealt out."""
+    size = pairs.count()
+    count = materialise(pairs.groupBy("a").agg(F.count("*").alias("times")), "times", rows=size)
+    left = count.join(sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a")
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .select("a", "b", "na", "nb", common.alias("common"))
-        .select("a", "b", (den * F.col("common") >= num * (F.col("na") + F.col("nb") - F.col("common"))).alias("linked"))
-    )
+    most = count.agg(F.max("times")).collect()[0][0] or 0
+    met = join_hot(pairs.join(right, "b"), left, "a", "times", "b", total=size, most=most)
+    met = met.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("common"))
+    linked = den * F.col("common") >= num * (F.col("na") + F.col("nb") - F.col("common"))
+    tested = materialise(met.select("a", "b", linked.alias("linked")), "tested", rows=size)
+    drop_table(count)
+    return tested
 
 
 def cluster(
@@ -214,11 +173,13 @@ def cluster(
 
     Texts are linked if den * |intersection| >= num * |union| of their `words`-word shingle sets.
     """
-    return _clustered(docs, id_col, text_col, words, num, den).drop("comp")
+    return _clustered(docs, id_col, text_col, words, num, den)[0].drop("comp")
 
 
-def _clustered(docs: DataFrame, id_col: str, text_col: str, words: int, num: int = 80, den: int = 100) -> DataFrame:
-    """As `cluster`, with comp: a node that names the component; null where n is 0."""
+def _clustered(
+    docs: DataFrame, id_col: str, text_col: str, words: int, num: int = 80, den: int = 100
+) -> tuple[DataFrame, list[DataFrame]]:
+    """As `cluster`, with comp: a node that names the component, null where n is 0; and the tables it reads."""
     spark = docs.sparkSession
     small_batches(spark)
     plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
@@ -229,41 +190,44 @@ def _clustered(docs: DataFrame, id_col: str, text_col: str, words: int, num: int
         F.min("id").alias("min_id"), F.first("n").alias("n"), F.first("half").alias("half"), F.count("*").alias("times")
     )
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    size = nodes.count()
     comp = _link(plain, nodes, words, num, den)
     named = nodes.select("node", "digest", "min_id", "times").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = named.groupBy("comp").agg(F.min("min_id").alias("component_id"), F.count("*").alias("members"))
-    names = materialise(names, "names", few=True)
+    names = materialise(names, "names", rows=size)
     # A component can have any number of texts, and a digest, below, any number of copies.
     by_digest = join_hot(named, names, "comp", "members", "node").select("digest", "component_id", "comp", "times")
-    by_digest = materialise(by_digest, "named", few=True)
+    by_digest = materialise(by_digest, "named", rows=size)
+    drop_table(nodes)
+    drop_table(names)
     # Empty texts have no digest.
     out = join_hot(rows.select("id", "key", "n", "digest").withColumn("deal", F.xxhash64("id", "key")), by_digest, "digest", "times", "deal", "left")
-    return out.select(
-        "id",
-        "key",
-        "n",
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-        "comp",
-    ).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
+    out = out.select("id", "key", "n", component, "comp")
+    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))), [rows, by_digest]
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """The rows of `docs`, one of each component: that with the smallest id, of several the smallest key."""
-    found = _clustered(docs, id_col, text_col, words)
+    found, tables = _clustered(docs, id_col, text_col, words)
     fate = found.groupBy("id", "key").agg(
         F.max("kept").alias("kept"), F.count("*").alias("times"), F.min("comp").alias("comp")
     )
     fate = materialise(fate, "fate")
+    for table in tables:
+        drop_table(table)
     # Rows of the kept id with other texts of the component; few, for ids seldom repeat.
     stays = F.when(F.col("kept"), F.col("key"))
     first = fate.filter("comp is not null").groupBy("comp").agg(
         F.min(stays).alias("first"), F.count(stays).alias("texts"), F.count("*").alias("members")
     )
-    first = materialise(first.filter("texts > 1").drop("texts"), "first", few=True)
+    all_fates, first = fate, materialise(first.filter("texts > 1").drop("texts"), "first", few=True)
     if first.limit(1).count():
         told = join_hot(fate.withColumn("deal", F.xxhash64("id", "key")), first, "comp", "members", "deal", "left")
         fate = told.withColumn("kept", F.col("kept") & F.coalesce(F.col("key") == F.col("first"), F.lit(True)))
     fate = materialise(fate.filter(~F.col("kept") | (F.col("times") > 1)).select("id", "key", "kept", "times"), "fate", few=True)
+    drop_table(first)
+    drop_table(all_fates)
     drop, twins = fate.filter(~F.col("kept")), fate.filter("kept")
     columns = docs.columns
     keyed = docs.withColumns({"__id": F.col(id_col).cast("bigint"), "__key": F.xxhash64(F.col(id_col).cast("bigint"), text_col)})
@@ -284,35 +248,46 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _link(plain: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """node, comp of every node that has a link."""
     # A node becomes 120 keys: small tasks, for the keys are many times the nodes.
-    spread = nodes.select("node", "half").repartition(max(1, math.ceil(nodes.count() / NODES_PER_TASK)))
-    keys = spread.mapInArrow(_table_keys(), "key bigint, node bigint")
+    size = nodes.count()
+    spread = nodes.select("node", "half", "n").repartition(max(1, math.ceil(size / NODES_PER_TASK)))
+    kinds = "key bigint, node bigint, n bigint"
+    keys = spread.mapInArrow(_table_keys(), kinds)
     # Most keys have one node: they go in the first aggregate, which adds up hot keys before its shuffle.
-    met = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    met = materialise(met.select("key", "low"), "met", few=True)
+    met = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.max("node").alias("high"), F.count("*").alias("times"))
+    met = met.filter("low.node <> high").select("key", F.col("low.node").alias("low"), F.col("low.n").alias("n_low"), "times")
+    met = materialise(met, "met", rows=4 * size)
     # The bit map keeps nearly all of the lone keys out of the second shuffle.
-    again = spread.mapInArrow(_table_keys(_bit_map(met)), "key bigint, node bigint")
-    every = materialise(again.join(met, "key"), "members", few=True)
+    again = spread.mapInArrow(_table_keys(_bit_map(met)), kinds)
+    total, most = (x or 0 for x in met.agg(F.sum("times"), F.max("times")).collect()[0])
+    every = materialise(join_hot(again, met, "key", "times", "node", total=total, most=most), "members", rows=total)
     drop_table(met)
     # Buckets of equal members are one bucket.
     same = every.groupBy("key", "low").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("members"))
-    buckets = same.groupBy("low", "size", "members").agg(F.min("key").alias("key"))
-    member = materialise(every.join(buckets.select("key"), "key", "left_semi"), "members", few=True)
+    buckets = same.groupBy("low", "size", "members").agg(F.min("key").alias("key")).select("key", "size")
+    buckets = materialise(buckets, "buckets", rows=size)
+    total, most = (x or 0 for x in buckets.agg(F.sum("size"), F.max("size")).collect()[0])
+    member = join_hot(every, buckets, "key", "size", "node", "left_semi", total=total, most=most)
+    member = materialise(member, "members", rows=total)
     drop_table(every)
-    pairs = member.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = materialise(pairs, "pairs", few=True)
-    sets = _sets_of(plain, nodes, pairs, words)
-    tested = materialise(_confirm(_sized(pairs, sets, num, den), sets, num, den), "tested", few=True)
-    comp = components(tested.filter("linked"))
+    able = den * F.least("n", "n_low") >= num * F.greatest("n", "n_low")
+    pairs = member.filter(F.col("node") != F.col("low")).filter(able).select(F.col("low").alias("a"), F.col("node").alias("b"))
+    pairs = materialise(pairs.distinct(), "pairs", rows=size)
+    wanted = member.select("node").distinct()
+    sets = _sets_of(plain, nodes, wanted, words, size)
+    tested = _confirm(pairs, sets, num, den)
+    comp = components(tested.filter("linked"), rows=size)
     labelled = member.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most")
-    still = labelled.join(mixed.select("key"), "key").select("node", "comp").distinct()
-    still = materialise(still, "open", few=True)
-    used = [member, pairs, sets, tested, still]
+    labelled = materialise(labelled.select("key", "node", "comp"), "labelled", rows=total)
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("times"))
+    mixed = materialise(mixed.filter("least <> most").select("key", "times"), "mixed", rows=size)
+    still = join_hot(labelled, mixed, "key", "times", "node", "left_semi").select("node", "comp").distinct()
+    still = materialise(still, "open", rows=size)
+    used = [member, buckets, pairs, sets, tested, labelled, mixed, still]
     if still.limit(1).count():
         prefixes = _prefixes(still, sets, num, den)
         rest = _across(prefixes, num, den).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        rest = materialise(rest, "pairs", few=True)
-        found = materialise(_confirm(rest, sets, num, den), "tested", few=True)
+        rest = materialise(rest, "pairs", rows=size)
+        found = _confirm(rest, sets, num, den)
         used += [prefixes, rest, found]
         comp = merged(comp, found.filter("linked").select("a", "b"))
     for table in used:
@@ -328,6 +303,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["counter", "n"])
 
 
+_MAPS = [f"m{i}" for i in range(LONGS)]
+
+
 def _in_order(shipped: Shipped, num: int, den: int):
     """The shingles of each set's prefix, those with the smallest counters first."""
 
@@ -336,10 +314,12 @@ def _in_order(shipped: Shipped, num: int, den: int):
         for batch in batches:
             sets = batch.column(3)
             flat, ends = sets.flatten().to_numpy(), np.cumsum([0, *sets.value_lengths().to_numpy()])
-            s, row, pos = [], [], []
+            s, row, pos, maps = [], [], [], np.zeros((LONGS, len(sets)), np.int64)
             for i, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)):
                 longest = (hi - lo) - -(-(hi - lo) * num // den) + 1
                 own = flat[lo:hi]
+                odd = np.bincount(mix(own.view(np.uint64)) & np.uint64(64 * LONGS - 1), minlength=64 * LONGS) & 1
+                maps[:, i] = np.packbits(odd, bitorder="little").view(np.int64)
                 first = own[np.lexsort((own, counts[own & (COUNTERS - 1)]))[:longest]]
                 s.append(first)
                 row.append(np.full(len(first), i))
@@ -348,8 +328,9 @@ def _in_order(shipped: Shipped, num: int, den: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([np.zeros(0, np.int64), *s]))]
                 + [batch.column(i).take(pa.array(at)) for i in range(3)]
-                + [pa.array(np.concatenate([np.zeros(0, np.int64), *pos]))],
-                names=["s", "node", "comp", "n", "pos"],
+                + [pa.array(np.concatenate([np.zeros(0, np.int64), *pos]))]
+                + [pa.array(m[at]) for m in maps],
+                names=["s", "node", "comp", "n", "pos", *_MAPS],
             )
 
     return run
@@ -370,40 +351,54 @@ def _prefixes(still: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     counts = np.zeros(COUNTERS, np.int64)
     counts[told.column("counter").to_numpy()] = told.column("n").to_numpy()
     order = _in_order(Shipped(spark, counts), num, den)
-    return materialise(mine.mapInArrow(order, "s bigint, node bigint, comp bigint, n bigint, pos bigint"), "prefixes")
+    return materialise(mine.mapInArrow(order, "s bigint, node bigint, comp bigint, n bigint, pos bigint, " + ", ".join(f"{m} bigint" for m in _MAPS)), "prefixes")
 
 
 def _across(prefix: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs of nodes in different components that can be similar enough, by prefix and position.
 
-    What stands before the first shared shingle bounds the overlap. This is exact for all pairs of
-    the prefixes' nodes. In the group of a shingle, members of its most frequent component meet the
-    others only, so a group of copies is not paired with itself.
+    What stands before the first shared shingle bounds the overlap, and the sets' bit maps bound
+    what they don't share. This is exact for all pairs of the prefixes' nodes. In the group of a
+    shingle, members of its most frequent component meet the others only, so a group of copies is not
+    paired with itself.
     """
     groups = prefix.groupBy("s", "comp").agg(F.count("*").alias("k"))
-    groups = groups.groupBy("s").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps"))
-    told = prefix.join(groups.filter("comps > 1").select("s", "main"), "s")
-    x = told.filter("comp <> main").select("s", *[F.col(c).alias(f"x_{c}") for c in ("node", "comp", "n", "pos")])
-    y = told.select("s", "main", *[F.col(c).alias(f"y_{c}") for c in ("node", "comp", "n", "pos")])
+    groups = groups.groupBy("s").agg(
+        F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("k").alias("times")
+    )
+    groups = groups.filter("comps > 1").select("s", "main", "times", F.col("times").alias("all"))
+    # A frequent shingle's group is dealt out by one side; the other, without the main component, goes to each piece.
+    pieces = F.ceil(F.col("all") / F.lit(shared.HOT_ROWS)).cast("int")
+    told = join_hot(prefix, groups, "s", "times", "node").withColumn("pieces", pieces)
+    x = told.filter("comp <> main").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    sides = ("node", "comp", "n", "pos", *_MAPS)
+    x = x.select("s", "piece", *[F.col(c).alias(f"x_{c}") for c in sides])
+    y = told.withColumn("piece", F.pmod(F.xxhash64("node"), "pieces").cast("int"))
+    y = y.select("s", "piece", "main", *[F.col(c).alias(f"y_{c}") for c in sides])
     overlap = 1 + F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
+    # Each bit that differs is of a shingle that one set has and the other lacks.
+    differ = sum((F.bit_count(F.col(f"x_{m}").bitwiseXOR(F.col(f"y_{m}"))) for m in _MAPS), F.lit(0))
     able = (
         (x["s"] == y["s"])
+        & (x["piece"] == y["piece"])
         & (F.col("x_comp") != F.col("y_comp"))
         & ((F.col("y_comp") == F.col("main")) | (F.col("x_node") < F.col("y_node")))
         & (den * F.least("x_n", "y_n") >= num * F.greatest("x_n", "y_n"))
         & ((num + den) * overlap >= num * (F.col("x_n") + F.col("y_n")))
+        & ((num + den) * differ <= (den - num) * (F.col("x_n") + F.col("y_n")))
     )
     return x.join(y, able).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
-def _sets_of(plain: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """node, n, shingles of every node in `pairs`; only their texts are read into sets."""
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+def _sets_of(plain: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int, size: int) -> DataFrame:
+    """node, n, shingles of every node in `wanted`; only their texts are read into sets."""
     wanted = nodes.select("node", "digest", "n", F.coalesce("min_id", F.lit(_NO_ID)).alias("ident")).join(wanted, "node")
-    wanted = materialise(wanted, "wanted", few=True)
+    wanted = materialise(wanted, "wanted", rows=size)
     idents = wanted.select("ident").distinct()
     if wanted.count() <= BROADCAST_IDS:
         idents = F.broadcast(idents)
     texts = plain.withColumn("ident", F.coalesce("id", F.lit(_NO_ID))).join(idents, "ident", "left_semi").select("text")
     full = texts.mapInArrow(_full_sets(words), "digest binary, shingles array<bigint>").dropDuplicates(["digest"])
-    return materialise(wanted.join(full, "digest").select("node", "n", "shingles"), "sets")
+    sets = materialise(wanted.join(full, "digest").select("node", "n", "shingles"), "sets")
+    drop_table(wanted)
+    return sets

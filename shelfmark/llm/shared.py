@@ -34,14 +34,21 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str, few: bool = False) -> DataFrame:
+#: Narrow rows in a file of a table whose size is known.
+FILE_ROWS = 20_000
+
+
+def materialise(df: DataFrame, tag: str, few: bool = False, rows: int | None = None) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: cuts lineage and pins ids.
 
     `few`: the rows are small for the tasks that make them, so they are gathered into files of the
-    advisory partition size first. Many small files cost more than that exchange.
+    advisory partition size first. Many small files cost more than that exchange. `rows`: about how
+    many rows there are, if that is known; then files have `FILE_ROWS` each.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
+    if rows is not None:
+        df = df.repartition(min(max(1, -(-rows // FILE_ROWS)), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     (df.hint("rebalance") if few else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -61,19 +68,21 @@ HOT_ROWS, HOT_KEYS = 500, 1000
 
 
 def join_hot(
-    left: DataFrame, right: DataFrame, key: str, times: str, spread: str, how: str = "inner", total: int | None = None
+    left: DataFrame, right: DataFrame, key: str, times: str, spread: str, how: str = "inner", total: int | None = None, most: int | None = None
 ) -> DataFrame:
     """`left` joined with `right`, which has one row per key and in `times` how many rows of `left` have it.
 
     Rows of a hot key are dealt by the hashed column `spread` to as many tasks as its share of all
     rows asks for, each with a copy of its row of `right`. Fewer than HOT_KEYS keys can be hot, by
     their definition, so those are broadcast. Null keys, which match nothing, are dealt out too.
-    `total`: the sum of `times`, where it is known.
+    Where no key is hot this is a plain join. `total`, `most`: the sum and the maximum of `times`, where known.
     """
     spark = left.sparkSession
-    if total is None:
-        total = right.agg(F.sum(times)).collect()[0][0] or 0
+    if total is None or most is None:
+        total, most = (x or 0 for x in right.agg(F.sum(times), F.max(times)).collect()[0])
     limit = max(HOT_ROWS, total // HOT_KEYS)
+    if most <= limit and how != "left":
+        return left.join(right.drop(times), key, how)
     pieces = F.ceil(F.col(times) / F.lit(limit)).cast("int")
     hot = right.filter(F.col(times) > limit).select(F.col(key).alias("__hot"), pieces.alias("__pieces"))
     lone = F.when(F.col(key).isNull(), int(spark.conf.get("spark.sql.shuffle.partitions"))).otherwise(1)
