@@ -243,28 +243,30 @@ class Scanner:
             if len(found) >= needed and len(found) > len(best):
                 best = [(i + lo, j) for i, j in found]
 
-        tried: set[tuple[int, int]] = set()
+        known = [(i, marks[w]) for i, w in enumerate(words) if w in marks]
+        places = [i for i, _ in known]
+        # Windows overlap. Of each first word: the next word to add, and the state of the words before it.
+        reached: dict[int, tuple[int, int]] = {}
         for lo, hi in windows:
             if len(best) == size:
                 break
-            known = [(i, marks[w]) for i, w in enumerate(words[lo:hi], lo) if w in marks]
+            begin, end = bisect_left(places, lo), bisect_left(places, hi)
             state = none
-            for _, mark in known:
+            for _, mark in known[begin:end]:
                 state = in_common(state, mark)
             most = size - (state & none).bit_count()
             if most < needed or most <= len(best):
                 continue
             align(lo, hi)
-            for at, (first, _) in enumerate(known):
-                state = none
-                for last, mark in known[at:]:
-                    if len(best) == most:
-                        break
-                    state = in_common(state, mark) & none
+            for first in range(begin, end):
+                at, state = reached.get(first, (first, none))
+                while at < end and len(best) < most:
+                    state = in_common(state, known[at][1]) & none
                     can = size - state.bit_count()
-                    if can >= needed and can > len(best) and (first, last) not in tried:
-                        tried.add((first, last))
-                        align(first, last + 1)
+                    if can >= needed and can > len(best):
+                        align(places[first], places[at] + 1)
+                    at += 1
+                reached[first] = at, state
         return best
 
 

@@ -7,6 +7,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 import zlib
 
 import numpy as np
@@ -203,6 +204,71 @@ def test_no_notice_is_lost_to_words_put_in_between():
             assert {f[0]: f[1] for f in scanner.scan(spread)}[name] >= 0.95  # words that recur within a gap stay unmatched
 
 
+def recursive_patience(a, b):
+    """Patience alignment straight from its definition, gaps by recursion."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0)] + [(i + 1, j + 1) for i, j in recursive_patience(a[1:], b[1:])]
+    if a[-1] == b[-1]:
+        return recursive_patience(a[:-1], b[:-1]) + [(len(a) - 1, len(b) - 1)]
+    anchors = [(a.index(w), b.index(w)) for w in dict.fromkeys(a) if a.count(w) == 1 and b.count(w) == 1]
+    chains = [[]]
+    for n in range(len(anchors), 0, -1):
+        found = [c for c in itertools.combinations(anchors, n) if all(x[1] < y[1] for x, y in zip(c, c[1:], strict=False))]
+        if found:
+            chains = [list(c) for c in found]
+            break
+    chain = licenses.increasing(anchors)
+    assert len(chain) == len(chains[0])
+    out, i, j = [], 0, 0
+    for x, y in [*chain, (len(a), len(b))]:
+        out += [(i + p, j + q) for p, q in recursive_patience(a[i:x], b[j:y])] if chain else []
+        out += [(x, y)] if (x, y) != (len(a), len(b)) else []
+        i, j = x + 1, y + 1
+    return out
+
+
+def test_patience_recurses_into_gaps_of_repeated_words():
+    rng = random.Random(8)
+    deep = 0
+    for _ in range(2000):
+        a, b = ([rng.choice("abcdefg") for _ in range(rng.randrange(11))] for _ in range(2))
+        got = licenses.patience(a, b)
+        assert got == recursive_patience(a, b)
+        deep += any(a.count(a[i]) > 1 for i, _ in got[1:-1])
+    assert deep > 40
+
+
+def test_dense_license_words_take_time_in_proportion():
+    """Copies of a license with words dropped and its own words mixed in; what is found is what all spans would give."""
+    rng = random.Random(3)
+    base = licenses.words_of(licenses.TEMPLATES["MIT-text"].encode())
+
+    def dense(copies, share):
+        out = []
+        for _ in range(copies):
+            for w in base:
+                out += [w] * (rng.random() > share) + [rng.choice(base)] * (rng.random() < share)
+        return out
+
+    small = {"T": "permission is hereby granted free of charge to any person the person is free"}
+    scanner = licenses.Scanner(small, 0.8)
+    template = scanner.templates["T"]
+    for _ in range(15):
+        words = [rng.choice(template + [b"other"]) for _ in range(70)]
+        found = [m for lo in range(70) for hi in range(lo + 1, 71) for m in [len(licenses.patience(words[lo:hi], template))]]
+        got = scanner.scan(words)
+        assert bool(got) == (max(found) >= 12) and (not got or got[0][2] <= max(found))
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    words = dense(27, 0.25)
+    began = time.time()
+    scanner.scan(words[: len(words) // 4])
+    quarter = time.time() - began
+    scanner.scan(words)
+    assert time.time() - began - quarter < 12 * quarter + 1
+
+
 def test_whole_licenses_are_found_in_long_texts(spark):
     rng = random.Random(2)
     noise = lambda n: " ".join(rng.choices("lorem ipsum dolor sit amet consectetur".split(), k=n))
