@@ -255,11 +255,19 @@ def test_dense_license_words_take_time_in_proportion():
     small = {"T": "permission is hereby granted free of charge to any person the person is free"}
     scanner = licenses.Scanner(small, 0.8)
     template = scanner.templates["T"]
+    hits = 0
     for _ in range(15):
-        words = [rng.choice(template + [b"other"]) for _ in range(70)]
-        found = [m for lo in range(70) for hi in range(lo + 1, 71) for m in [len(licenses.patience(words[lo:hi], template))]]
+        inside = [w for w in template if rng.random() > 0.05]
+        words = [rng.choice(template + [b"other"]) for _ in range(70 - len(inside))]
+        at = rng.randrange(len(words))
+        words = words[:at] + inside + words[at:]
+        matched = {(lo, hi): len(licenses.patience(words[lo:hi], template)) for lo in range(70) for hi in range(lo + 1, 71)}
+        near = max(m for (lo, hi), m in matched.items() if hi - lo <= len(template) + 2)
         got = scanner.scan(words)
-        assert bool(got) == (max(found) >= 12) and (not got or got[0][2] <= max(found))
+        assert not got or 12 <= got[0][2] <= max(matched.values())
+        assert near < 12 or got[0][2] >= near
+        hits += near >= 12
+    assert hits
     scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
     words = dense(27, 0.25)
     began = time.time()
