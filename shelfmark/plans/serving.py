@@ -8,6 +8,7 @@ seeded once; its embedder counts letters, which SQL can do as well.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -581,3 +582,32 @@ def api_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
         "no such path": ("GET", "/nothing"),
     }
     return spark.createDataFrame([(name, api.respond(*r)[0]) for name, r in requests.items()], "request string, status int")
+
+
+@query(
+    """SELECT r_regionkey AS key, 201 AS added, 'RG-' || r_regionkey AS sku, trim(r_name) AS name, '5 gram' AS package, 409 AS added_again,
+        1 AS found, 200 AS deleted, 'RG-' || r_regionkey AS deleted_sku, 404 AS deleted_again, 0 AS found_then FROM region"""
+)
+def api_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """POST and DELETE for each row of a table: what succeeds, what clients see of it, and that doing it twice is refused."""
+    api = Api(lambda: CatalogueStore(spark, workspace.new_folder(spark, "store"), LetterCounts()))
+    rows = _read(spark, sf_dir, "region").orderBy("r_regionkey").collect()  # a handful of regions
+    number = lambda r: f"RG-{r['r_regionkey']}"
+    told = {r["r_regionkey"]: [] for r in rows}
+    for turn in range(2):
+        for r in rows:
+            body = {"sku": f" {number(r).lower()} ", "name": r["r_name"], "manufacturer": "Acme", "package": "5 g"}
+            code, made = api.respond("POST", "/api/products", body=json.dumps(body).encode())
+            told[r["r_regionkey"]] += [code] if turn else [code, made["product"]["sku"], made["product"]["name"], made["product"]["package"]]
+    found = lambda r: len(api.respond("GET", "/api/search", f"q={number(r)}")[1]["results"][:1])
+    for turn in range(2):
+        for r in rows:
+            if not turn:
+                told[r["r_regionkey"]].append(found(r))
+            code, gone = api.respond("DELETE", f"/api/products/{number(r)}")
+            told[r["r_regionkey"]] += [code] if turn else [code, gone["deleted_sku"]]
+    out = [(key, *values, found(r)) for (key, values), r in zip(told.items(), rows, strict=True)]
+    return spark.createDataFrame(
+        out,
+        "key int, added int, sku string, name string, package string, added_again int, found int, deleted int, deleted_sku string, deleted_again int, found_then int",
+    )

@@ -377,8 +377,11 @@ class CatalogueStore:
 
     # -- changes -----------------------------------------------------------------------------
 
-    def _segment(self, products: DataFrame, kind: str) -> tuple[dict, int | None]:
-        """Write products, what is searched of them and their numbers; the segment's entry, and its vectors' dimension."""
+    def _segment(self, products: DataFrame, kind: str, rows: int | None = None) -> tuple[dict, int | None]:
+        """Write products, what is searched of them and their numbers; the segment's entry, and its vectors' dimension.
+
+        `rows`: how many products there are, if that is known; else they are written once more, to be counted.
+        """
         stored = products.withColumns(
             {
                 "product_id": F.expr("uuid()"),
@@ -388,11 +391,12 @@ class CatalogueStore:
                 "row": F.monotonically_increasing_id(),
             }
         )
-        return self._indexed(self._save(stored, "drafts"))
+        return self._indexed(stored, rows)
 
-    def _indexed(self, draft: str) -> tuple[dict, int | None]:
-        table = self._load([draft])
-        rows = table.count()
+    def _indexed(self, table: DataFrame, rows: int | None = None) -> tuple[dict, int | None]:
+        draft = self._save(table, "drafts") if rows is None else None
+        table = self._load([draft]) if draft else table
+        rows = table.count() if rows is None else rows
         buckets = max(1, -(-rows // BUCKET_ROWS))
         hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
         segment = {"products": self._save_buckets(table.withColumn("bucket", hashed("canonical_sku")), "products", buckets, "row")}
@@ -405,14 +409,22 @@ class CatalogueStore:
         named = identifiers(stored.select("canonical_sku", "alias_skus")).join(places.drop("product_id"), "canonical_sku")
         named = named.select("sku", "kind", "canonical_sku", F.col("bucket").alias("home"), "row", hashed("sku").alias("bucket"))
         segment["identifiers"] = self._save_buckets(named, "identifiers", buckets, "sku")
-        self._remove(draft)
+        if draft:
+            self._remove(draft)
         some = lambda df, n: [r[0] for r in df.distinct().limit(n + 1).collect()]
-        numbers = some(self._load([segment["identifiers"]]).select("sku"), NUMBERS)
-        makers = some(stored.select("manufacturer_folded").filter("manufacturer_folded IS NOT NULL"), MANUFACTURERS)
+        told = stored.select("canonical_sku", "alias_skus", "manufacturer_folded", "category")
+        few = told.collect() if rows <= NUMBERS else None
+        if few is not None:  # one job for all that the manifest tells
+            numbers = sorted({n for r in few for n in (r["canonical_sku"], *r["alias_skus"])})
+            makers, categories = ({r[c] for r in few if r[c] is not None} for c in ("manufacturer_folded", "category"))
+        else:
+            numbers = some(self._load([segment["identifiers"]]).select("sku"), NUMBERS)
+            makers = some(told.select("manufacturer_folded").filter("manufacturer_folded IS NOT NULL"), MANUFACTURERS)
+            categories = some(told.select("category").filter("category IS NOT NULL"), 1_000)
         grams = None
         if len(makers) > MANUFACTURERS:
-            places3 = F.expr("transform(sequence(1, length(manufacturer_folded) - 2), i -> substring(manufacturer_folded, i, 3))")
-            grams = some(stored.filter("length(manufacturer_folded) > 2").select(F.explode(places3)), TRIGRAMS)
+            places = F.expr("transform(sequence(1, length(manufacturer_folded) - 2), i -> substring(manufacturer_folded, i, 3))")
+            grams = some(told.filter("length(manufacturer_folded) > 2").select(F.explode(places)), TRIGRAMS)
         dims = self._load([segment["vectors"]]).agg(F.min("dims"), F.max("dims")).collect()[0]
         if dims[0] != dims[1]:
             raise RuntimeError(f"embeddings have {dims[0]} to {dims[1]} dimensions")
@@ -421,7 +433,7 @@ class CatalogueStore:
             "buckets": buckets,
             "dead": [],
             "numbers": sorted(numbers) if len(numbers) <= NUMBERS else None,
-            "categories": some(stored.select("category").filter("category IS NOT NULL"), 1_000),
+            "categories": sorted(categories),
             "manufacturers": sorted(makers) if len(makers) <= MANUFACTURERS else None,
             "trigrams": sorted(grams) if grams is not None and len(grams) <= TRIGRAMS else None,
         }, dims[0]
@@ -485,7 +497,7 @@ class CatalogueStore:
         free(before)
         self._with_dimension(before.state, len(self.embedder.embed([row["name"]])[0]))
         seen = frozenset(s["products"] for s in before.state["segments"])
-        segment, dims = self._segment(product, "runtime")
+        segment, dims = self._segment(self.spark.createDataFrame([row], product.schema), "runtime", rows=1)
         event = self._event("add", number, row.asDict(recursive=True))
 
         def rebase(state: dict) -> dict:
@@ -537,7 +549,7 @@ class CatalogueStore:
         fresh = []
         if many:
             live = Snapshot(self, -1, state).table("products").withColumn("row", F.monotonically_increasing_id())
-            fresh = [self._indexed(self._save(live, "drafts"))[0]]
+            fresh = [self._indexed(live)[0]]
 
         def rebase(now: dict) -> dict | None:
             out = now
